@@ -1,10 +1,450 @@
-"""Every query of the engine by name, and its SQL where it has any."""
+"""Every query of the engine by name, and its SQL where it has any (oracles.py)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace.functions import maths
+from millrace.functions import text as T
+from millrace.operators import contamination as C
+from millrace.operators import contracts, interleave, matching, metrics, packing, segments
+from millrace.plans import oracles
+from millrace.plans.settings import BENCHMARK, CHUNK, CHUNKS, LENGTH, MTP_WEIGHTS, SEED, STEP
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL = oracles.SQL
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to so many places: sums of floats depend on the order in which partitions come."""
+    return df.select(*(F.round(c, places).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+
+
+# Text
+
+
+def normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.with_nfkc(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def norm_chars(spark, sf_dir):
+    return normal(spark, sf_dir).select("doc_id", T.chars_of(F.col("nfkc")).alias("chars"))
+
+
+@query
+def norm_words(spark, sf_dir):
+    return normal(spark, sf_dir).select("doc_id", F.array_join(T.words_of(F.col("nfkc")), " ").alias("words"))
+
+
+@query
+def is_cjk(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.is_cjk(F.col("text")).alias("is_cjk"))
+
+
+@query
+def line_documents(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines_of(F.col("text"))).alias("line", "text"))
+    return lines.where(~T.is_blank(F.col("text"))).select("doc_id", F.col("line").cast("long").alias("line"), "text")
+
+
+@query
+def record_keys(spark, sf_dir):
+    return records(spark, sf_dir).select("record_id", "key", F.char_length("key").cast("long").alias("key_chars"))
+
+
+@query
+def text_digest(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.records(table(spark, sf_dir, "benchmark"), BENCHMARK)
+
+
+def grams_query(script: str):
+    def run(spark, sf_dir):
+        g = C.grams.exploded(records(spark, sf_dir), "record_id", scripts=(script,))
+        return g.select("record_id", "pos", "gram")
+
+    return run
+
+
+QUERIES["char_ngrams"], QUERIES["word_ngrams"] = grams_query("cjk"), grams_query("latin")
+
+
+@query
+def index_stats(spark, sf_dir):
+    return rounded(C.index_stats(records(spark, sf_dir)))
+
+
+# Contamination
+
+
+@query
+def contamination_span(spark, sf_dir):
+    return C.check_documents(table(spark, sf_dir, "documents"), records(spark, sf_dir), None)
+
+
+@query
+def contamination_screen(spark, sf_dir):
+    return C.check_documents(table(spark, sf_dir, "documents"), records(spark, sf_dir)).select("doc_id", "distinct", "span", "script")
+
+
+@query
+def contamination_word_span(spark, sf_dir):
+    """The join form, words only."""
+    docs = C.grams.exploded(table(spark, sf_dir, "documents"), scripts=("latin",))
+    index = C.index_grams(records(spark, sf_dir)).where("script = 'latin'")
+    return C.spans(docs.join(index, ["script", "gram"], "left_semi"), None).select("doc_id", "distinct", "span")
+
+
+@query
+def exact_record(spark, sf_dir):
+    """Documents with a line that is, as a whole, a line of a benchmark record."""
+    lines = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.lines_of(F.col("text"))).alias("text"))
+    recs = C.records(lines, BENCHMARK)
+    keys = recs.where(F.char_length("key") >= T.MIN_SHORT_KEY).select("key").distinct()
+    return C.exact_records(table(spark, sf_dir, "documents"), keys)
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.analyse(table(spark, sf_dir, "documents"), records(spark, sf_dir), matching.rules(spark))
+
+
+@query
+def record_coverage(spark, sf_dir):
+    return rounded(findings(spark, sf_dir).select("doc_id", "record_id", "record_ngrams", "matched", "coverage", "contaminated"))
+
+
+@query
+def record_longest_run(spark, sf_dir):
+    return rounded(findings(spark, sf_dir).select("doc_id", "record_id", "contiguous_ngrams", "contiguous_units", "contiguous_fraction", "matched_text"))
+
+
+@query
+def record_substring(spark, sf_dir):
+    return findings(spark, sf_dir).where("substring").select("doc_id", "record_id", "record_chars")
+
+
+@query
+def best_finding(spark, sf_dir):
+    return rounded(matching.best(findings(spark, sf_dir)).select("doc_id", "record_id", "benchmark", "coverage", "contiguous_units"))
+
+
+@query
+def part_selection(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    named = b.select(F.element_at(F.array(*map(F.lit, ("gsm8k", "humaneval", "mbpp", "jnli"))), (F.col("item_id") % 4 + 1).cast("int")).alias("benchmark"), "text", F.substring_index("text", ".", 1).alias("first"), F.element_at(F.split("text", r"\."), -1).alias("second"))
+    return matching.parts(named).groupBy("benchmark").agg(F.count("*").alias("records"), F.sum(F.char_length("text")).alias("chars"))
+
+
+# Packing
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.tokenised(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
+
+
+def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(spark, sf_dir).select("source_id", "doc_seq", "n_tokens")
+
+
+@query
+def pack_tokens(spark, sf_dir):
+    return tokens(spark, sf_dir).select("source_id", "doc_seq", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query
+def pack_offsets(spark, sf_dir):
+    return packing.offsets(lengths(spark, sf_dir))
+
+
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = F.when(F.col("doc_seq") % 10 == 0, "validation").otherwise("train")
+    return packing.shard_totals(lengths(spark, sf_dir), split)
+
+
+@query
+def shard_totals(spark, sf_dir):
+    return shards(spark, sf_dir)
+
+
+@query
+def split_totals(spark, sf_dir):
+    return packing.split_totals(shards(spark, sf_dir))
+
+
+@query
+def source_weights(spark, sf_dir):
+    return rounded(packing.source_weights(shards(spark, sf_dir).where("split = 'train'")), 9)
+
+
+@query
+def source_upsert(spark, sf_dir):
+    s = shards(spark, sf_dir)
+    new = s.where("split = 'train'").where("documents % 2 = 0").withColumn("tokens", F.col("tokens") + 1)
+    return packing.upserted(s, new, ["path"]).select("split", "source_id", "tokens", "documents", "path")
+
+
+@query
+def manifest_violations(spark, sf_dir):
+    s = packing.source_weights(shards(spark, sf_dir))
+    bad = s.select("source_id", F.when(F.col("tokens") % 3 == 0, 0.0).otherwise(F.col("weight")).alias("weight"), F.when(F.col("tokens") % 5 != 0, F.col("major")).alias("major"), "tokens")
+    return packing.violations(bad)
+
+
+@query
+def legacy_source(spark, sf_dir):
+    return shards(spark, sf_dir).select("path", T.legacy_source_id(F.col("path"), "train").alias("source_id"))
+
+
+# Interleaving
+
+
+def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = packing.source_weights(shards(spark, sf_dir)).select("source_id", F.round("weight", 9).alias("weight"))
+    return interleave.schedule(spark, weights, SEED, CHUNKS)
+
+
+def stream(spark: SparkSession, sf_dir: str, p: DataFrame) -> DataFrame:
+    return interleave.streams(lengths(spark, sf_dir), p, CHUNK, interleave.portable_order(SEED))
+
+
+@query
+def interleave_schedule(spark, sf_dir):
+    return plan(spark, sf_dir)
+
+
+@query
+def chunk_assembly(spark, sf_dir):
+    p = plan(spark, sf_dir)
+    return interleave.pieces(stream(spark, sf_dir, p), p, CHUNK)
+
+
+@query
+def first_locations(spark, sf_dir):
+    p = plan(spark, sf_dir)
+    return interleave.first_locations(interleave.pieces(stream(spark, sf_dir, p), p, CHUNK))
+
+
+@query
+def source_accounting(spark, sf_dir):
+    p = plan(spark, sf_dir)
+    return interleave.accounting(stream(spark, sf_dir, p), p, CHUNK)
+
+
+@query
+def step_composition(spark, sf_dir):
+    return interleave.composition(plan(spark, sf_dir), CHUNK, STEP)
+
+
+@query
+def major_coverage(spark, sf_dir):
+    s = packing.source_weights(shards(spark, sf_dir))
+    return interleave.missing_majors(interleave.composition(plan(spark, sf_dir), CHUNK, STEP), s, 5)
+
+
+@query
+def sequence_pieces(spark, sf_dir):
+    p = plan(spark, sf_dir)
+    return interleave.sequences(interleave.pieces(stream(spark, sf_dir, p), p, CHUNK), CHUNK, 1024).select("seq_id", "seq_offset", "source_id", "epoch", "doc_seq", "doc_offset", "n_tokens")
+
+
+# Segments
+
+
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = packing.offsets(tokens(spark, sf_dir))
+    return segments.packed_rows(t, LENGTH)
+
+
+@query
+def packed_rows(spark, sf_dir):
+    return rows(spark, sf_dir)
+
+
+@query
+def segment_ids(spark, sf_dir):
+    return segments.with_segments(rows(spark, sf_dir)).select("source_id", "row", "pos", "segment")
+
+
+@query
+def masked_targets(spark, sf_dir):
+    return segments.with_targets(rows(spark, sf_dir)).groupBy("source_id", "row").agg(F.sum("target").alias("targets"), F.count_if(F.col("target") == segments.IGNORED).alias("ignored"), F.count("*").alias("positions"))
+
+
+@query
+def mtp_triples(spark, sf_dir):
+    return segments.triples(rows(spark, sf_dir)).groupBy("source_id", "row").agg(F.sum("target").alias("targets"), F.sum(F.col("token") * F.col("next")).alias("products"), F.count_if(F.col("target") == segments.IGNORED).alias("ignored"))
+
+
+@query
+def cu_seqlens(spark, sf_dir):
+    return segments.cu_seqlens(rows(spark, sf_dir), LENGTH)
+
+
+@query
+def document_mask(spark, sf_dir):
+    return segments.mask_pairs(rows(spark, sf_dir)).groupBy("source_id", "row").agg(F.count("*").alias("pairs"), F.sum("k").alias("keys"))
+
+
+@query
+def lagged_sum(spark, sf_dir):
+    r = segments.lagged_sum(rows(spark, sf_dir).withColumn("value", F.col("token").cast("double")), "value", MTP_WEIGHTS)
+    return rounded(r.groupBy("source_id", "row").agg(F.sum("lagged").alias("lagged")), 3)
+
+
+@query
+def segment_boundaries(spark, sf_dir):
+    return segments.boundaries(rows(spark, sf_dir))
+
+
+# Metrics
+
+
+def values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
+
+
+@query
+def tensor_stats(spark, sf_dir):
+    return rounded(metrics.tensor_stats(values(spark, sf_dir), ["label"], "v"))
+
+
+@query
+def gate_stats(spark, sf_dir):
+    return rounded(metrics.gate_stats(values(spark, sf_dir).withColumn("v", 1 / (1 + F.exp(-F.col("v") * 4))), ["label"], "v"))
+
+
+@query
+def optimizer_summary(spark, sf_dir):
+    v = values(spark, sf_dir).select(F.when(F.col("i") < 32, "momentum").otherwise("variance").alias("name"), F.col("vec_id").alias("tensor_id"), F.col("v").alias("value"))
+    return rounded(metrics.optimizer_summary(v))
+
+
+@query
+def head_variation(spark, sf_dir):
+    heads = values(spark, sf_dir).groupBy("label", "vec_id").agg(maths.rms(F.col("v")).alias("r"))
+    return rounded(heads.groupBy("label").agg(maths.variation(F.col("r")).alias("variation")))
+
+
+@query
+def route_stats(spark, sf_dir):
+    v = values(spark, sf_dir).withColumn("w", F.exp("v"))
+    total = F.sum("w").over(Window.partitionBy("vec_id"))
+    return rounded(metrics.route_stats(v.withColumn("p", F.col("w") / total), ["vec_id"], "p", "v", "w"))
+
+
+@query
+def vector_similarity(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    o = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    j = e.join(o, "vec_id")
+    return rounded(j.select("vec_id", maths.cosine(F.col("embedding"), F.col("other")).alias("cosine"), maths.relative_error(F.get("embedding", F.lit(0)).cast("double"), F.get("other", F.lit(0)).cast("double")).alias("relative_error")), 5)
+
+
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    loss = F.abs(F.col("value")) / 100
+    return metrics.source_metrics(e.select("event_type", loss.alias("loss"), (F.col("event_id") % 3 == 0).alias("correct"), (F.col("value") / 7).alias("margin")), "event_type", "loss", "correct", "margin")
+
+
+@query
+def source_metrics(spark, sf_dir):
+    return rounded(measured(spark, sf_dir))
+
+
+@query
+def weighted_validation(spark, sf_dir):
+    weights = table(spark, sf_dir, "events").select(F.col("event_type").alias("source")).distinct().where("length(source) % 2 = 0").withColumn("weight", F.length("source").cast("double"))
+    return rounded(metrics.weighted(measured(spark, sf_dir), weights))
+
+
+@query
+def validation_nll(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    windows = e.groupBy(F.floor(F.col("event_id") / 500).alias("shard"), (F.floor(F.col("event_id") / 10) % 50).alias("window")).agg(F.sum(F.abs("value")).alias("loss_sum"), F.count("*").alias("valid"), F.max("event_id").alias("e"))
+    return rounded(metrics.validation_nll(windows.withColumn("source", F.concat(F.lit("s"), F.col("shard") % 4)), 4000), 5)
+
+
+@query
+def steady_throughput(spark, sf_dir):
+    return rounded(metrics.steady_throughput(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", "value", 95.0))
+
+
+@query
+def recent_records(spark, sf_dir):
+    return contracts.recent(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"], 5).select("user_id", "event_id")
+
+
+@query
+def lr_schedule(spark, sf_dir):
+    return rounded(spark.range(0, 4000, 7).select(F.col("id").alias("step"), maths.learning_rate(F.col("id"), 200, 3000, 3e-4, 3e-5).alias("lr")), 10)
+
+
+@query
+def target_steps(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", maths.target_step(F.col("o_orderkey") * 1_000_003 + 1, F.lit(65_536)).alias("steps"))
+
+
+@query
+def activations(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("value is not null")
+    v = F.col("value") / 50
+    return rounded(e.select("event_id", maths.gate(v).alias("gate"), maths.softcap(v).alias("softcap"), maths.perplexity(v).alias("perplexity")), 5)
+
+
+# Contracts
+
+
+@query
+def compare_screen(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 7 < 5")
+    arm = o.select(F.floor(F.col("o_orderkey") / 8).alias("pair"), (F.col("o_orderkey") % 2).alias("side"), "o_orderkey", "o_totalprice")
+    arm = arm.groupBy("pair", "side").agg(F.max("o_orderkey").alias("k"), F.round(F.max("o_totalprice") / 1000, 0).alias("weighted_nll"))
+    status = F.when(F.col("k") % 11 == 0, "failed").otherwise("complete")
+    scope = F.when(F.col("k") % 13 == 0, "diagnostic").otherwise("full")
+    arm = arm.select("pair", "side", status.alias("status"), scope.alias("scope"), (F.floor(F.col("pair") / 4) * 200_000 + 60_000_000).alias("tokens_done"), "weighted_nll").withColumn("validation_tokens_done", F.col("tokens_done"))
+    return contracts.screen(arm.where("side = 0"), arm.where("side = 1"), ["pair"], ("normal", "routed"))
+
+
+@query
+def contract_mismatch(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    left = o.where("o_orderkey % 3 != 0").select("o_orderkey", F.col("o_orderstatus").alias("v"))
+    right = o.where("o_orderkey % 5 != 0").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, F.lit("X")).otherwise(F.col("o_orderstatus")).alias("v"))
+    return contracts.mismatches(left, right, ["o_orderkey"], "v")
+
+
+@query
+def retain_latest(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    names = o.select("o_custkey", F.concat(F.lit("step_"), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 8, "0")).alias("name")).distinct()
+    return contracts.retained(names, "o_custkey", "name")
+
+
+@query
+def latest_validation(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    names = o.select("o_custkey", F.concat(F.lit("validation_final_step"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.when(F.col("o_orderkey") % 2 == 0, "_diagnostic.json").otherwise(".json")).alias("name"))
+    return contracts.latest(names, "o_custkey", "name")
+
+
+@query
+def missing_weights(spark, sf_dir):
+    s = shards(spark, sf_dir)
+    return contracts.missing(s, s.where("split = 'validation' and documents % 2 = 1"), "source_id")
