@@ -288,7 +288,7 @@ def masked_targets(spark, sf_dir):
 
 @query
 def mtp_triples(spark, sf_dir):
-    return segments.triples(rows(spark, sf_dir)).groupBy("source_id", "row").agg(F.sum("target").alias("targets"), F.sum(F.col("token") * F.col("next")).alias("products"), F.count_if(F.col("target") == segments.IGNORED).alias("ignored"))
+    return segments.triples(rows(spark, sf_dir)).groupBy("source_id", "row").agg(F.sum("target").alias("targets"), F.sum(F.col("token").cast("long") * F.col("next")).alias("products"), F.count_if(F.col("target") == segments.IGNORED).alias("ignored"))
 
 
 @query
