@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,38 +38,42 @@ class Settings:
 
 
 class Bags:
-    """Bags of words in compressed rows: bucket numbers and weights that average words and n-grams."""
+    """Bags of words as numbers of words, and each word's buckets once; both in compressed rows."""
 
     def __init__(self, bags: list[list[str]], buckets: int):
-        known: dict[str, np.ndarray] = {}
-        ids, weights, starts = [], [], [0]
-        for words in bags:
-            parts = []
-            for w in words:
-                if (h := known.get(w)) is None:
-                    h = known[w] = np.array(hashed(w, buckets), dtype=np.int64)
-                if h.size:
-                    parts.append(h)
-            if parts:
-                flat = np.concatenate(parts)
-                share = np.concatenate([np.full(len(h), 1 / (len(h) * len(parts)), dtype=np.float32) for h in parts])
-                u, inverse = np.unique(flat, return_inverse=True)
-                ids.append(u)
-                weights.append(np.bincount(inverse, share).astype(np.float32))
-            starts.append(starts[-1] + (len(ids[-1]) if parts else 0))
-        self.ids = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
-        self.weights = np.concatenate(weights) if weights else np.zeros(0, dtype=np.float32)
-        self.starts = np.array(starts)
+        known: dict[str, int] = {}
+        grams: list[np.ndarray] = []
+        words, starts = array("i"), [0]
+        for bag in bags:
+            for w in bag:
+                if (k := known.get(w)) is None:
+                    h = hashed(w, buckets)
+                    k = known[w] = len(grams) if h else -1
+                    if h:
+                        grams.append(np.array(h, dtype=np.int32))
+                if k >= 0:
+                    words.append(k)
+            starts.append(len(words))
+        self.words, self.starts = np.frombuffer(words, dtype=np.int32) if words else np.zeros(0, dtype=np.int32), np.array(starts)
+        self.grams = np.concatenate(grams) if grams else np.zeros(0, dtype=np.int32)
+        self.gram_starts = np.concatenate([[0], np.cumsum([len(g) for g in grams], dtype=np.int64)])
 
     def __len__(self) -> int:
         return len(self.starts) - 1
 
     def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bucket numbers, weights and, for each, the position in rows."""
+        """Bucket numbers of the bags' words, weights that average n-grams and words, and positions in rows."""
         size = self.starts[rows + 1] - self.starts[rows]
         row = np.repeat(np.arange(len(rows)), size)
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.starts[rows], size)
-        return self.ids[at], self.weights[at], row
+        word = self.words[_ranges(self.starts[rows], size)]
+        inner = self.gram_starts[word + 1] - self.gram_starts[word]
+        weight = (1 / (np.maximum(size, 1)[row] * inner)).astype(np.float32)
+        return self.grams[_ranges(self.gram_starts[word], inner)], np.repeat(weight, inner), np.repeat(row, inner)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each of the starts, so many each."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
 
 
 class Model:
@@ -77,10 +82,13 @@ class Model:
     def __init__(self, classes: list, scores: np.ndarray, bias: np.ndarray):
         self.classes, self.scores, self.bias = classes, scores, bias
 
-    def logits(self, bags: Bags) -> np.ndarray:
-        ids, weights, row = bags.of(np.arange(len(bags)))
-        out = [np.bincount(row, self.scores[ids, k] * weights, minlength=len(bags)) for k in range(len(self.classes))]
-        return np.stack(out, axis=1) + self.bias
+    def logits(self, bags: Bags, at_once: int = 2048) -> np.ndarray:
+        out = []
+        for lo in range(0, len(bags), at_once):
+            rows = np.arange(lo, min(lo + at_once, len(bags)))
+            ids, weights, row = bags.of(rows)
+            out.append(np.stack([np.bincount(row, self.scores[ids, k] * weights, minlength=len(rows)) for k in range(len(self.classes))], axis=1))
+        return np.concatenate(out) + self.bias if out else np.zeros((0, len(self.classes)))
 
 
 class Trainer:

@@ -25,8 +25,8 @@ SETTINGS = Settings()
 
 
 def windows(words: list[str], size: int = WINDOW) -> list[list[str]]:
-    """Consecutive windows of a training text, overlapping by half; the last holds what is left."""
-    return [words[i : i + size] for i in range(0, max(1, len(words) - size // 2), size // 2)] if words else []
+    """Consecutive windows of a training text; the last holds what is left."""
+    return [words[i : i + size] for i in range(0, len(words), size)]
 
 
 def fit(texts: list[str], toxic: list[int], s: Settings = SETTINGS) -> Model | None:
