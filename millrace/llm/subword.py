@@ -17,14 +17,21 @@ import numpy as np
 NOT_WORD = re.compile(r"[\W_]+")
 
 
+def normal(word: str) -> str:
+    """Letters and digits of a word, in lower case."""
+    return word.lower() if word.isalnum() else NOT_WORD.sub("", word.lower())
+
+
 def hashed(word: str, buckets: int, least: int = 3, most: int = 5) -> list[int]:
-    """Buckets of a word (letters and digits, lower case) and its n-grams; empty for none."""
-    w = NOT_WORD.sub("", word.lower())
-    if not w:
+    """Buckets of a word (as normal() gives it) and its n-grams; empty for none."""
+    if not word:
         return []
-    raw = f"<{w}>"
-    grams = {raw, *(raw[i : i + n] for n in range(least, most + 1) for i in range(len(raw) - n + 1))}
-    return [zlib.crc32(g.encode()) % buckets for g in sorted(grams)]
+    raw = f"<{word}>"
+    if raw.isascii():  # a byte for each character: cut the bytes
+        b, crc = raw.encode(), zlib.crc32
+        return [crc(b) % buckets, *[crc(b[i : i + n]) % buckets for n in range(least, most + 1) for i in range(len(b) - n + 1)]]
+    grams = [raw, *(raw[i : i + n] for n in range(least, most + 1) for i in range(len(raw) - n + 1))]
+    return [zlib.crc32(g.encode()) % buckets for g in grams]
 
 
 @dataclass
@@ -47,7 +54,7 @@ class Bags:
         for bag in bags:
             for w in bag:
                 if (k := known.get(w)) is None:
-                    h = hashed(w, buckets)
+                    h = hashed(normal(w), buckets)
                     k = known[w] = len(grams) if h else -1
                     if h:
                         grams.append(np.array(h, dtype=np.int32))
@@ -144,44 +151,47 @@ class Trainer:
 class Scorer:
     """Class scores of words, remembered by spelling; for one worker."""
 
-    REMEMBERED = 600_000
+    REMEMBERED = 1_000_000
 
     def __init__(self, model: Model):
         self.model = model
-        self.table = np.zeros((1024, len(model.classes)), dtype=np.float32)
-        self.place = _Places(self)
-        self.n = 0
-
-    def add(self, word: str) -> int:
-        """Row of a word's scores; -1 for what holds no letter or digit."""
-        h = hashed(word, len(self.model.scores))
-        if not h:
-            return -1
-        if self.n == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.n] = self.model.scores[h].mean(axis=0)
-        self.n += 1
-        return self.n - 1
+        self.forget()
+
+    def forget(self) -> None:
+        self.table = np.zeros((4096, len(self.model.classes)), dtype=np.float32)
+        #: Row 0 stands for what holds no letter or digit.
+        self.spelt: dict[str, int] = {}
+        self.known: dict[str, int] = {"": 0}
+        self.n = 1
+
+    def add(self, words: list[str]) -> None:
+        """Scores of new spellings, all at once."""
+        grams, sizes = array("i"), []
+        for w in words:
+            key = normal(w)
+            if (place := self.known.get(key)) is None:
+                h = hashed(key, len(self.model.scores))
+                grams.extend(h)
+                sizes.append(len(h))
+                place = self.known[key] = self.n + len(sizes) - 1
+            self.spelt[w] = place
+        if sizes:
+            while self.n + len(sizes) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            starts = np.cumsum([0, *sizes[:-1]])
+            total = np.add.reduceat(self.model.scores[np.frombuffer(grams, dtype=np.int32)], starts)
+            self.table[self.n : self.n + len(sizes)] = total / np.array(sizes)[:, None]
+            self.n += len(sizes)
 
     def words(self, text: str) -> np.ndarray:
         """Scores of each word of the whole text, in order (words x classes)."""
-        if self.n >= self.REMEMBERED:
-            self.place.clear()
-            self.n = 0
+        if len(self.spelt) >= self.REMEMBERED:
+            self.forget()
         split = text.split()
-        at = np.fromiter(map(self.place.__getitem__, split), dtype=np.int64, count=len(split))
-        return self.table[at[at >= 0]]
-
-
-class _Places(dict):
-    def __init__(self, scorer: Scorer):
-        self.scorer = scorer
-
-    def __missing__(self, word: str) -> int:
-        place = self.scorer.add(word)
-        if len(word) <= 64:
-            self[word] = place
-        return place
+        if new := [w for w in set(split) if w not in self.spelt]:
+            self.add(new)
+        at = np.fromiter(map(self.spelt.__getitem__, split), dtype=np.int64, count=len(split))
+        return self.table[at[at > 0]]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
