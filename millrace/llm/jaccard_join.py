@@ -12,7 +12,9 @@ segments, so a linked pair agrees on whole segments: at least 1 + slack of them.
    there is slack. Sets that lose more (or have empty segments) get values by cost: crowded and empty segments 0, others 1
    (agree) or 2 (differ in one at most: looked up under the content with one shingle left out), the smallest first, until the
    values reach H + 1. Two sets linked across lost segments both have them, so only such sets are indexed again.
-5. Sets with too few other segments for that are tried against each other under the crowded hashes they share.
+5. Sets that would have to let segments of fewer than SMALL shingles differ (with one left out, these are the same in many
+   sets) meet under their rarest shingles: of n shingles, ordered by how few such sets have them, linked sets share one of the
+   first n - ceil(similarity * n) + 1.
 6. All tries are verified exactly on the sets of the whole texts.
 
 Sets are compared as sets of 64-bit shingle hashes, and equal sets are one node, known by a 64-bit hash of the set.
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, dropped, release, scratch, stored, texts_of
@@ -42,7 +44,7 @@ class Join:
     shingle: int = 4
     num: int = 85
     den: int = 100
-    few: int = 24
+    few: int = 4
     slack_every: int = 16
     slack_least: int = 1
 
@@ -54,6 +56,8 @@ LEVEL_BITS = 8
 SEED = np.uint64(0x9E3779B97F4A7C15)
 #: Stands for a null id where rows are found again by id.
 NO_ID = -(1 << 63)
+#: Least shingles of a segment that an allocation lets differ.
+SMALL = 3
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -220,7 +224,7 @@ def _recut(lost: DataFrame, table: DataFrame, df: DataFrame, j: Join, doc_id: st
     """Index rows (code, node, role) of sets with lost segments. lost: node, level, codes (crowded ones).
 
     role 0: a segment as it is; 1: with one shingle left out; 2: a segment that this set's allocation lets differ in one, as it
-    is; 3: the same with one left out; 4: the set has too few segments left, and code is a crowded one.
+    is; 3: the same with one left out; 4: a shingle of a set that has too few such segments.
     """
     rows = lost.join(_texts(lost.select("node").distinct(), table, df, doc_id, text), "node").select("node", "level", "codes", "text")
 
@@ -243,13 +247,11 @@ def _recut(lost: DataFrame, table: DataFrame, df: DataFrame, j: Join, doc_id: st
                 gone = np.isin(_code(sums[filled], filled, level), np.array(crowded, dtype=np.int64))
                 usable = filled[~gone]
                 short = levels.difference(level) + 1 - len(usable)
-                if short > len(usable):
-                    add(np.array(crowded, dtype=np.int64), node, 4)
-                    if len(filled) + levels.slack(level) < len(count):  # linked sets may agree on empty segments alone
-                        add(_code(np.zeros(1, np.uint64), np.zeros(1), level, 2), node, 4)
-                # segments of two or fewer shingles come last: with one left out, many sets have them
-                cost = np.where(count[usable] > 2, count[usable], 1_000_000 - count[usable])
-                doubled = usable[np.argsort(cost, kind="stable")[: max(0, short)]]
+                cheap = usable[count[usable] >= SMALL]
+                if short > len(cheap):
+                    add(s.view(np.int64), node, 4)
+                    short = 0
+                doubled = cheap[np.argsort(count[cheap], kind="stable")[: max(0, short)]]
                 without = _code(sums[segment] - value, segment, level, 1)
                 add(_code(sums, every, level, 1), node, 0)
                 add(without, node, 1)
@@ -268,6 +270,15 @@ def _across(rows: DataFrame, left: str, right: str) -> DataFrame:
     return a.join(b, "code").where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _rare(rows: DataFrame, j: Join) -> DataFrame:
+    """(code, node, comp) of the rarest shingles of each set of role 4, as many as any linked set must share one of."""
+    sets = rows.where("role = 4").select("code", "node", "comp").distinct()
+    counted = sets.join(sets.groupBy("code").agg(F.count("*").alias("n_sets")), "code")
+    w = Window.partitionBy("node")
+    placed = counted.withColumns({"place": F.row_number().over(w.orderBy("n_sets", "code")), "size": F.count("*").over(w)})
+    return placed.where(F.col("place") <= F.col("size") - F.floor((F.col("size") * j.num + (j.den - 1)) / j.den) + 1).select("code", "node", "comp")
+
+
 def node_links(table: DataFrame, df: DataFrame, j: Join, doc_id: str, text: str) -> DataFrame:
     """Verified links between nodes: not all of them, but enough that their components are those of all links."""
     spark = df.sparkSession
@@ -296,7 +307,7 @@ def node_links(table: DataFrame, df: DataFrame, j: Join, doc_id: str, text: str)
     if not lost.isEmpty():
         again = stored(own(_recut(lost, table, df, j, doc_id, text)), scratch(spark, "again"))
         more = (
-            _across(again, "role = 2", "role = 1").union(_across(again, "role = 3", "role = 0")).union(_across(again, "role = 4", "role = 4"))
+            _across(again, "role = 2", "role = 1").union(_across(again, "role = 3", "role = 0")).union(_across(_rare(again, j), "true", "true"))
         ).where("a != b").distinct().join(tried, ["a", "b"], "left_anti")
         tries = few.union(more).distinct()
     tries = stored(tries, scratch(spark, "tries"))
