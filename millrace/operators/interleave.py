@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 COVERAGE_STEPS = 100
+#: Draws made at once.
+BLOCK = 1 << 16
 
 
 def draws(seed: int, n: int) -> list[float]:
@@ -23,6 +27,50 @@ def draws(seed: int, n: int) -> list[float]:
     return [r.random() for _ in range(n)]
 
 
+def _twister(seed: int) -> np.random.RandomState:
+    """NumPy's Mersenne Twister in the state of Python's: random_sample gives the numbers of draws."""
+    state = random.Random(seed).getstate()[1]
+    r = np.random.RandomState()
+    r.set_state(("MT19937", np.array(state[:-1], dtype=np.uint32), state[-1]))
+    return r
+
+
+def drawn(spark: SparkSession, seed: int, n: int) -> DataFrame:
+    """(chunk_id, u): n draws, made block by block from the generator's state at the block's start, so the driver holds none."""
+    r, starts = _twister(seed), []
+    for first in range(0, n, BLOCK):
+        _, key, pos, *_ = r.get_state()
+        starts.append((first, min(BLOCK, n - first), bytearray(key.tobytes()), int(pos)))
+        r.random_sample(starts[-1][1])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.to_pylist():
+                r = np.random.RandomState()
+                r.set_state(("MT19937", np.frombuffer(b["key"], dtype=np.uint32), b["pos"]))
+                ids = np.arange(b["first"], b["first"] + b["n"], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(r.random_sample(b["n"]))], ["chunk_id", "u"])
+
+    return spark.createDataFrame(starts, "first long, n int, key binary, pos int").mapInArrow(rows, "chunk_id long, u double")
+
+
+def draws_for_all(tokens: list[int], weights: list[float], seed: int, chunk: int, least: int = 0) -> int:
+    """The number of draws, no fewer than least, after which every source has given all its tokens. Sources in order of id."""
+    if not weights:
+        return least
+    if not all(0 < w < float("inf") for w in weights):
+        raise ValueError("source weights must be finite and positive")  # such a source would never be drawn
+    upto, need = np.cumsum(weights), -(-np.array(tokens, dtype=np.int64) // chunk)
+    r, n = _twister(seed), 0
+    while True:
+        picked = np.minimum(np.searchsorted(upto, r.random_sample(BLOCK) * upto[-1], "right"), len(upto) - 1)
+        counts = np.bincount(picked, minlength=len(upto))
+        if (counts >= need).all():
+            last = [np.flatnonzero(picked == i)[k - 1] for i, k in enumerate(need.tolist()) if k > 0]
+            return max(least, n + int(max(last, default=-1)) + 1)
+        need, n = need - counts, n + BLOCK
+
+
 def derived_seed(seed: int, source: str, epoch: int, purpose: str) -> int:
     return int.from_bytes(hashlib.sha256(f"{seed}\0{source}\0{epoch}\0{purpose}".encode()).digest()[:8], "little")
 
@@ -41,7 +89,7 @@ def schedule(spark: SparkSession, sources: DataFrame, seed: int, chunks: int) ->
     cumulative = sources.select("source_id", F.sum("weight").over(w).alias("upto"), F.row_number().over(w).alias("__n"))
     total = F.max("upto").over(Window.partitionBy())
     bounds = cumulative.withColumn("total", total).withColumn("low", F.coalesce(F.lag("upto").over(w), F.lit(0.0))).withColumn("last", F.col("__n") == F.max("__n").over(Window.partitionBy()))
-    u = spark.createDataFrame(list(enumerate(draws(seed, chunks))), "chunk_id long, u double")
+    u = drawn(spark, seed, chunks)
     point = F.col("u") * F.col("total")
     picked = u.join(F.broadcast(bounds), (point >= F.col("low")) & ((point < F.col("upto")) | F.col("last")))  # bounds: a row per source
     return picked.select("chunk_id", "source_id", (F.row_number().over(Window.partitionBy("source_id").orderBy("chunk_id")) - 1).cast("long").alias("rank"))

@@ -215,8 +215,11 @@ def legacy_source(spark, sf_dir):
 
 
 def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = packing.source_weights(shards(spark, sf_dir)).select("source_id", F.round("weight", 9).alias("weight"))
-    return interleave.schedule(spark, weights, SEED, CHUNKS)
+    """CHUNKS draws or, where these leave tokens of a source out, as many as every source takes to pass one epoch."""
+    weights = packing.source_weights(shards(spark, sf_dir)).select("source_id", "tokens", F.round("weight", 9).alias("weight"))
+    sources = weights.orderBy("source_id").collect()  # a row per source
+    n = interleave.draws_for_all([r.tokens for r in sources], [r.weight for r in sources], SEED, CHUNK, CHUNKS)
+    return interleave.schedule(spark, spark.createDataFrame(sources, weights.schema), SEED, n)
 
 
 def stream(spark: SparkSession, sf_dir: str, p: DataFrame) -> DataFrame:

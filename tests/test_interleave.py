@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import interleave as I
 from millrace.operators import packing, segments
+from millrace.plans import catalogue
 
 
 def test_published_share_of_the_schedule(spark):
@@ -110,3 +111,30 @@ def test_packing_checks(spark):
         packing.tokenised(spark.createDataFrame([("-bad", 1, "a")], "source string, id long, text string"), "source", "id", "text").collect()
     bad = spark.createDataFrame([("a", 0.0, True, 5), ("a", 1.0, None, 5), ("", 1.0, True, 0)], "source_id string, weight double, major boolean, tokens long")
     assert packing.violations(bad).count() == 6
+
+
+def test_draws_in_blocks_are_the_same_numbers(spark, monkeypatch):
+    monkeypatch.setattr(I, "BLOCK", 700)  # the generator's state turns over every 312 draws
+    got = I.drawn(spark, 11, 2000).orderBy("chunk_id").collect()
+    assert [r.chunk_id for r in got] == list(range(2000)) and [r.u for r in got] == I.draws(11, 2000)
+
+
+def test_draws_until_every_source_has_given_all(monkeypatch):
+    monkeypatch.setattr(I, "BLOCK", 16)
+    picks = ["ab"[u * 1.0 >= 0.9] for u in I.draws(3, 1000)]
+    n = I.draws_for_all([95, 41], [0.9, 0.1], 3, 10)
+    assert picks[:n].count("a") >= 10 and picks[:n].count("b") >= 5 and min(picks[: n - 1].count("a") - 10, picks[: n - 1].count("b") - 5) < 0
+    assert I.draws_for_all([95, 41], [0.9, 0.1], 3, 10, 400) == 400
+    with pytest.raises(ValueError, match="positive"):
+        I.draws_for_all([95, 1], [1.0, 0.0], 3, 10)
+
+
+def test_every_token_is_in_a_chunk_and_a_sequence(spark, tmp_path):
+    docs = [(k, "w " * 2999, "a" if k % 8 else "b") for k in range(400)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    total = 400 * 3000
+    for name in ("chunk_assembly", "sequence_pieces"):
+        first = catalogue.QUERIES[name](spark, str(tmp_path)).where("epoch = 0").agg(F.sum("n_tokens"), F.countDistinct("doc_seq")).first()
+        assert tuple(first) == (total, 400)
+    done = catalogue.QUERIES["source_accounting"](spark, str(tmp_path)).collect()
+    assert all(r.documents_completed >= n for r, n in zip(sorted(done), (350, 50), strict=True))
