@@ -127,3 +127,19 @@ def test_pages_equal_their_articles(spark):
         body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         blocks = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", " ", b))).strip() for b in re.split(r"</?(?:p|h1|article)>", body))
         assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_names_of_the_page_and_the_article_mark_no_noise():
+    text = "Long enough a paragraph of the article that it stands out from all the rest of the page. " * 3
+    body = f"<h1>Title of it</h1><p>{text}</p><p>{text}</p>"
+    rest = "<nav><a>Home</a></nav>{}<div class='sidebar'><p>Other pages to see.</p></div><footer>Imprint</footer>"
+    for page in (
+        f"<html class='no-sidebar'><body class='single has-sidebar'>{rest.format(body)}</body></html>",
+        f"<body>{rest.format(f"<div id='page' class='no-sidebar'>{body}</div>")}</body>",
+        f"<body>{rest.format(f"<main class='widget'><article class='post comment-open'>{body}</article></main>")}</body>",
+    ):
+        assert html_text.extract(page) == "\n\n".join(["Title of it", text.strip(), text.strip()]), page
+    two = f"<div class='promo'><p>{text}</p></div><div class='social'><p>{text}</p></div>"
+    assert html_text.extract(two) == f"{text.strip()}\n\n{text.strip()}"  # all would be noise
+    comments = f"<div class='comments'>{f'<p>{text}</p>' * 5}</div>"
+    assert html_text.extract(f"<article><h1>Title of it</h1><p>{text}</p></article>{comments}") == f"Title of it\n\n{text.strip()}"
