@@ -137,8 +137,8 @@ class Index:
         out = []
         for k, places in sorted(hits.items()):
             item = self.items[k]
-            if len(np.unique(h[places])) + (self.least - 1) * len(places) < threshold * len(item):
-                continue  # even side by side these seeds cover too little
+            if self.least * len(places) < threshold * len(item):
+                continue  # even apart from one another these seeds cover too little
             tiles = tile(self.covered(doc, places), item, self.least)
             share = sum(n for *_, n in tiles) / len(item)
             if share >= threshold:

@@ -95,6 +95,13 @@ def test_leaks_in_any_order_and_block(spark):
     assert dc.leaks(d, b.limit(0)).collect() == [] and dc.leaks(d.limit(0), b).collect() == []
 
 
+def test_tiles_of_a_repeated_phrase_count_each_time():
+    p, a, b = "p1 p2 p3 p4 p5", "a1 a2 a3 a4 a5", "b1 b2 b3 b4 b5"
+    index = dc.Index([(7, f"{p} {a} {p} {b}")], 5)
+    assert index.matches(f"{p} x1 x2 {p}", 0.5) == [(7, 0.5, 2, 5)]
+    assert index.matches(f"{p} x1 x2", 0.5) == []
+
+
 def test_every_planted_item_is_found(spark):
     docs, b = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     words = lambda t: " ".join(re.findall(r"\w+", t.lower()))
