@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, held_out, texts_of
-from .sample import bounded_ids
+from .sample import spread_ids
 from .subword import Bags, Model, Scorer, Settings, Trainer, softmax
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -56,18 +56,20 @@ def fit(texts: list[str], langs: list[str], s: Settings = SETTINGS) -> Identifie
 
 
 def training_rows(df: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, longest: int = LONGEST) -> tuple[list[str], list[str]]:
-    """Texts and languages outside the held-out fifth, at most sample of them; doc_id is only used to pick rows."""
+    """Texts and languages outside the held-out fifth, at most sample of them (or one of each language), spread over the languages; doc_id is only used to pick rows."""
     usable = df.select("doc_id", df[text].alias("__text"), df[lang].alias("__lang")).where("doc_id is not null and __lang is not null and __text is not null").where(~held_out())
-    ids = bounded_ids(usable.select("doc_id"), "doc_id", sample)
+    ids = spread_ids(usable.select("doc_id", "__lang"), "doc_id", "__lang", sample).groupBy("doc_id", "__lang").agg(F.min("rank").alias("rank")).collect()
+    most = max(sample, len({r[1] for r in ids}))
+    ids = df.sparkSession.createDataFrame(ids, "doc_id " + df.schema["doc_id"].dataType.simpleString() + ", __lang string, rank int")
     rows = (
         usable.where(F.char_length("__text") <= longest)
-        .join(F.broadcast(ids.distinct()), "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "__text", "__lang")
-        .limit(sample)
-        .select("__text", "__lang")
+        .join(F.broadcast(ids), ["doc_id", "__lang"])
+        .select("__text", "__lang", F.xxhash64("doc_id").alias("hash"), "rank")
+        .orderBy("rank", "hash", "__text", "__lang")
+        .limit(most)
         .collect()
     )
-    rows = [r for r in rows if LETTER.search(r[0])]
+    rows = [r for r in sorted(rows, key=lambda r: (r[2], r[0], r[1])) if LETTER.search(r[0])]
     return [r[0] for r in rows], [r[1] for r in rows]
 
 

@@ -30,6 +30,15 @@ def test_language_edges(spark):
     assert language.language(df.limit(0), ["doc_id"]).collect() == []
 
 
+def test_a_rare_language_is_learned(spark):
+    df = spark.range(600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 200 == 1, "und der die").otherwise("the of and").alias("text"), F.when(F.col("id") % 200 == 1, "de").otherwise("en").alias("lang"))
+    rare = df.where("lang = 'de'").where(~held_out()).count()
+    for sample in (1, 12, 40):
+        texts, langs = language.training_rows(df, sample=sample)
+        assert len(langs) == max(sample, 2) and langs.count("de") == min(rare, len(langs) // 2)
+        assert all((t == "und der die") == (x == "de") for t, x in zip(texts, langs, strict=True))
+
+
 def test_toxicity_finds_planted_words_and_misspellings(spark):
     rng = np.random.default_rng(0)
     plain = [f"w{k}ord" for k in range(200)]
