@@ -59,6 +59,13 @@ def test_toxicity_finds_planted_words_and_misspellings(spark):
     assert toxicity.fit(["a"], [1]) is None
 
 
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.toxicity(docs, labels, ["doc_id"]).where(held_out()).join(labels, "doc_id")
+    shares = {r.toxic: r.flagged for r in scored.groupBy("toxic").agg(F.avg("predicted").alias("flagged")).collect()}
+    assert shares[1] >= 0.75 and shares[0] <= 0.03, shares
+
+
 def brute_statistics(text):
     words, word = [], ""
     for c in text:
