@@ -17,3 +17,11 @@ def test_every_sql_has_a_query():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_every_training_data_query_is_timed():
+    sys.path.insert(0, ROOT)
+    import __spark_entry__ as e
+    import bench
+
+    assert {n for n in e.queries() if n == "pipeline" or n.startswith("op") and n[2].isdigit()} | {"contamination_word_span"} <= set(bench.HEADLINE) <= set(e.queries())
