@@ -39,6 +39,36 @@ def arrow_map(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(rows, schema)
 
 
+class Room:
+    """Scratch tables of one operator run; those that nothing reads any more are removed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, str] = {}
+        self.kept: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, label: str, tidy: bool = True) -> DataFrame:
+        """df, written to a fresh folder and read again; shuffle files of the steps before can go (tidy: at once)."""
+        path = scratch(self.spark, label)
+        out = stored(df, path)
+        self.paths[id(out)] = path
+        self.kept.append(out)  # so that its id isn't used again
+        if tidy:
+            release(self.spark)
+        return out
+
+    def drop(self, table: DataFrame) -> None:
+        if path := self.paths.pop(id(table), None):
+            dropped(self.spark, path)
+
+    def clear(self, *but: DataFrame) -> None:
+        """Remove all tables but those given."""
+        stay = {id(t) for t in but}
+        for t in self.kept:
+            if id(t) not in stay:
+                self.drop(t)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, scratch, stored
+from .common import Room
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -21,18 +21,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", room: Room | None = None) -> DataFrame:
     """(node, component) of every node that has a link; component is the smallest node that links reach.
 
-    Each round is written to the shared folder; rounds end when the edges no longer change. Repeated and self links are fine.
+    Each round is written to the shared folder; rounds end when the edges no longer change, by their number, the exact sum and
+    the exclusive or of their 64-bit hashes. Repeated and self links are fine.
     """
-    spark = links.sparkSession
+    room = room or Room(links.sparkSession)
     edges = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a != b").distinct()
-    edges, before = stored(edges, scratch(spark, "edges")), None
+    edges, before = room.stored(edges, "edges"), None
+    hashed = F.xxhash64("a", "b")
     while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.countDistinct("a")).first()
+        state = edges.agg(F.count("*"), F.sum(hashed.cast("decimal(20,0)")), F.bit_xor(hashed)).first()
         if state == before or not state[0]:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select("a", "a").distinct())
-        before = state
-        edges = stored(_star(_star(edges, True), False), scratch(spark, "edges"))
-        release(spark)
+        before, last = state, edges
+        edges = room.stored(_star(_star(edges, True), False), "edges", tidy=False)
+        room.drop(last)

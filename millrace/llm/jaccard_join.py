@@ -8,16 +8,18 @@ segments, so a linked pair agrees on whole segments: at least 1 + slack of them.
 2. Under each hash the least set is tried against the others, a number of pairs that grows with the sets, not their squares;
    verified links give components. A large group of near copies falls into one component here.
 3. Where a hash still joins several components, the pairs across them are tried, if it has at most FEW sets.
-4. The rest are crowded hashes: segments that hold nothing but widespread shingles. A set can do without as many segments as
-   there is slack. Sets that lose more (or have empty segments) get values by cost: crowded and empty segments 0, others 1
-   (agree) or 2 (differ in one at most: looked up under the content with one shingle left out), the smallest first, until the
-   values reach H + 1. Two sets linked across lost segments both have them, so only such sets are indexed again.
-5. Sets that would have to let segments of fewer than SMALL shingles differ (with one left out, these are the same in many
-   sets) meet under their rarest shingles: of n shingles, ordered by how few such sets have them, linked sets share one of the
-   first n - ceil(similarity * n) + 1.
+4. The rest are crowded hashes. A linked pair agrees on 1 + slack segments, so a set is lost only if its crowded and empty
+   segments are more than the slack, and two sets linked by none of the above are both lost and share a crowded hash (or, with
+   empty segments only, nothing).
+5. Lost sets that crowded hashes bring together are seen by what they differ in from one set, the pivot of their hashes: a shift
+   of all sets by one keeps their symmetric differences, and near copies of one text keep next to nothing in common. Each of
+   these differences, from the rarest to the most frequent, costs one of the H that a linked pair may have, so both sets hold
+   their first common one at places i and j with i + j <= H (or hold H in all and nothing in common). Differences that no
+   other set of the pivot has are never looked up: this is the allocation by cost.
 6. All tries are verified exactly on the sets of the whole texts.
 
-Sets are compared as sets of 64-bit shingle hashes, and equal sets are one node, known by a 64-bit hash of the set.
+Sets are compared as sets of 64-bit shingle hashes, and equal sets are one node, known by a 64-bit hash of the set. A second
+64-bit hash tells whether two sets share a node; if so, all is hashed anew with another salt.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, dropped, release, scratch, stored, texts_of
+from .common import Room, arrow_map, texts_of
 from .components import components
 
 
@@ -56,8 +58,8 @@ LEVEL_BITS = 8
 SEED = np.uint64(0x9E3779B97F4A7C15)
 #: Stands for a null id where rows are found again by id.
 NO_ID = -(1 << 63)
-#: Least shingles of a segment that an allocation lets differ.
-SMALL = 3
+#: Rarest shared differences of a set that are compared before a try, and a key above all others.
+HEAD, ALL = 64, (1 << 63) - 1
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -68,10 +70,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
+    """Hashes of recent words; at most 65,536 words of up to 64 bytes, some 10 MB."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 1 << 16:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -140,25 +146,28 @@ def cut(set_: np.ndarray, level: int, levels: Levels) -> tuple[np.ndarray, np.nd
     return segment, value, sums, np.bincount(segment, minlength=m)
 
 
-def node_of(set_: np.ndarray) -> int:
+def node_of(set_: np.ndarray, salt: int = 0) -> int:
     """The 64-bit hash that stands for a set."""
     with np.errstate(over="ignore"):
-        return int(mixed(np.array([mixed(set_ ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(set_))])).view(np.int64)[0])
+        total = mixed(set_ ^ np.uint64(0x5851F42D4C957F2D + salt)).sum(dtype=np.uint64) + np.uint64(len(set_))
+        return int(mixed(np.array([total])).view(np.int64)[0])
 
 
-def indexed(df: DataFrame, j: Join, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: id, place (a hash of its text), n_shingles, node (null for the empty set), codes of its filled
-    segments, and for each of its levels how many segments it can do without besides its empty ones (spare)."""
+def indexed(df: DataFrame, j: Join, doc_id: str = "doc_id", text: str = "text", salt: int = 0) -> DataFrame:
+    """A row per document: id, place (a hash of its text), n_shingles, node (null for the empty set) and check (a second hash of
+    the set), codes of its filled segments, and for each of its levels how many segments it can do without besides its empty
+    ones (spare)."""
     chosen = df.select(df[doc_id].cast("long").alias("id"), F.xxhash64(df[text]).alias("place"), df[text].alias("__text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, kind = Levels(j), pa.list_(pa.struct([("level", pa.int32()), ("spare", pa.int32())]))
         for batch in batches:
-            sizes, nodes, codes, spare = [], [], [], []
+            sizes, nodes, checks, codes, spare = [], [], [], [], []
             for t in texts_of(batch, "__text"):
                 s = shingles(t, j.shingle)
                 sizes.append(len(s))
-                nodes.append(node_of(s) if len(s) else None)
+                nodes.append(node_of(s, salt) if len(s) else None)
+                checks.append(node_of(s, salt + (1 << 32)) if len(s) else None)
                 own, left = [], []
                 for level in levels.of(len(s)) if len(s) else []:
                     _, _, sums, count = cut(s, level, levels)
@@ -168,9 +177,9 @@ def indexed(df: DataFrame, j: Join, doc_id: str = "doc_id", text: str = "text")
                 codes.append(np.concatenate(own) if own else np.zeros(0, dtype=np.int64))
                 spare.append(left)
             flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(c) for c in codes])]), pa.int32()), pa.array(np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("place"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), flat, pa.array(spare, kind)], ["id", "place", "n_shingles", "node", "codes", "spare"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("place"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), flat, pa.array(spare, kind)], ["id", "place", "n_shingles", "node", "check", "codes", "spare"])
 
-    return arrow_map(chosen, rows, "id long, place long, n_shingles long, node long, codes array<long>, spare array<struct<level:int,spare:int>>")
+    return arrow_map(chosen, rows, "id long, place long, n_shingles long, node long, check long, codes array<long>, spare array<struct<level:int,spare:int>>")
 
 
 def _texts(nodes: DataFrame, table: DataFrame, df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -181,29 +190,36 @@ def _texts(nodes: DataFrame, table: DataFrame, df: DataFrame, doc_id: str, text:
     return found.select("node", "at.*").join(rows, ["key", "place"]).select("node", "text")
 
 
-def verified(pairs: DataFrame, table: DataFrame, df: DataFrame, j: Join, doc_id: str, text: str) -> DataFrame:
+def _sets(j: Join, salt: int):
+    """A function of (node, text) that gives the set of a text, or None if the text isn't the node's; it keeps recent sets, as
+    many as hold about a million shingles."""
+    recent: OrderedDict[int, np.ndarray] = OrderedDict()
+    held = 0
+
+    def set_of(node: int, text: str) -> np.ndarray | None:
+        nonlocal held
+        if (s := recent.get(node)) is None:
+            s = shingles(text, j.shingle)
+            if node_of(s, salt) != node:  # another text under the same id and hash
+                return None
+            recent[node] = s
+            held += len(s)
+            while held > 1_000_000:
+                held -= len(recent.popitem(last=False)[1])
+        return s
+
+    return set_of
+
+
+def verified(pairs: DataFrame, table: DataFrame, df: DataFrame, j: Join, doc_id: str, text: str, room: Room, salt: int = 0) -> DataFrame:
     """The pairs (a, b) of nodes that are linked, by the exact sizes of the sets of their whole texts."""
-    spark = df.sparkSession
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    path = scratch(spark, "texts")
-    texts = stored(_texts(nodes, table, df, doc_id, text), path)
-    release(spark)
+    texts = room.stored(_texts(nodes, table, df, doc_id, text), "texts")
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     whole = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: OrderedDict[int, np.ndarray] = OrderedDict()
-
-        def set_of(node: int, t: str) -> np.ndarray | None:
-            if (s := recent.get(node)) is None:
-                s = shingles(t, j.shingle)
-                if node_of(s) != node:  # another text under the same id and hash
-                    return None
-                recent[node] = s
-                if len(recent) > 64:
-                    recent.popitem(last=False)
-            return s
-
+        set_of = _sets(j, salt)
         for batch in batches:
             out = []
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
@@ -214,114 +230,126 @@ def verified(pairs: DataFrame, table: DataFrame, df: DataFrame, j: Join, doc_id:
                         out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    links = stored(arrow_map(whole, rows, "a long, b long").distinct(), scratch(spark, "links"))
-    dropped(spark, path)
-    release(spark)
+    links = room.stored(arrow_map(whole, rows, "a long, b long").distinct(), "links")
+    room.drop(texts)
     return links
 
 
-def _recut(lost: DataFrame, table: DataFrame, df: DataFrame, j: Join, doc_id: str, text: str) -> DataFrame:
-    """Index rows (code, node, role) of sets with lost segments. lost: node, level, codes (crowded ones).
+def _pivots(crowded: DataFrame) -> DataFrame:
+    """(node, level, pivot) of lost sets. crowded: their rows (code, node, level, least).
 
-    role 0: a segment as it is; 1: with one shingle left out; 2: a segment that this set's allocation lets differ in one, as it
-    is; 3: the same with one left out; 4: a shingle of a set that has too few such segments.
+    The least set of a hash would do as its pivot. To have few pivots for a set, each hash takes the most popular one among
+    those of its sets' other hashes.
     """
-    rows = lost.join(_texts(lost.select("node").distinct(), table, df, doc_id, text), "node").select("node", "level", "codes", "text")
+    rows = crowded.join(crowded.groupBy("level", "least").agg(F.count("*").alias("n")), ["level", "least"]).select("code", "node", "level", F.struct("n", "least").alias("own"))
+    best = rows.groupBy("node", "level").agg(F.max("own").alias("best"))
+    chosen = rows.select("code", "node", "level").join(best, ["node", "level"]).groupBy("code").agg(F.max("best").alias("best"))
+    return crowded.select("code", "node", "level").join(chosen, "code").select("node", "level", F.col("best.least").alias("pivot")).distinct()
+
 
-    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = Levels(j)
+def _differences(members: DataFrame, table: DataFrame, df: DataFrame, j: Join, doc_id: str, text: str, room: Room, salt: int) -> DataFrame:
+    """(part, node, h, shingles): the shingles in which a lost set differs from its pivot (none: the empty set); part stands
+    for level and pivot, h for H."""
+    nodes = members.select("node").union(members.select("pivot")).where("node is not null").distinct()
+    texts = room.stored(_texts(nodes, table, df, doc_id, text), "texts")
+    whole = members.join(texts, "node").join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("text_p")), "pivot", "left")
+    whole = whole.select(F.xxhash64("level", "pivot").alias("part"), "node", "level", "pivot", "text", "text_p")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        set_of, levels = _sets(j, salt), Levels(j)
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-
-            def add(codes: np.ndarray, node: int, role: int, out=out) -> None:
-                out[0].append(codes)
-                out[1].append(np.full(len(codes), node, dtype=np.int64))
-                out[2].append(np.full(len(codes), role, dtype=np.int32))
-
-            for node, level, crowded, t in zip(*(batch.column(c).to_pylist() for c in ("node", "level", "codes", "text")), strict=True):
-                s = shingles(t or "", j.shingle)
-                if node_of(s) != node:
-                    continue
-                segment, value, sums, count = cut(s, level, levels)
-                every, filled = np.arange(len(count)), np.flatnonzero(count)
-                gone = np.isin(_code(sums[filled], filled, level), np.array(crowded, dtype=np.int64))
-                usable = filled[~gone]
-                short = levels.difference(level) + 1 - len(usable)
-                cheap = usable[count[usable] >= SMALL]
-                if short > len(cheap):
-                    add(s.view(np.int64), node, 4)
-                    short = 0
-                doubled = cheap[np.argsort(count[cheap], kind="stable")[: max(0, short)]]
-                without = _code(sums[segment] - value, segment, level, 1)
-                add(_code(sums, every, level, 1), node, 0)
-                add(without, node, 1)
-                add(_code(sums[doubled], doubled, level, 1), node, 2)
-                add(without[np.isin(segment, doubled)], node, 3)
-            flat = [np.concatenate(x) if x else np.zeros(0) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.int64()), pa.array(flat[2], pa.int32())], ["code", "node", "role"])
-
-    return arrow_map(rows, cuts, "code long, node long, role int")
-
-
-def _across(rows: DataFrame, left: str, right: str) -> DataFrame:
-    """Pairs of rows (code, node, comp) under one code whose components differ."""
-    a = rows.where(left).select("code", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    b = rows.where(right).select("code", F.col("node").alias("y"), F.col("comp").alias("cy"))
-    return a.join(b, "code").where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def _rare(rows: DataFrame, j: Join) -> DataFrame:
-    """(code, node, comp) of the rarest shingles of each set of role 4, as many as any linked set must share one of."""
-    sets = rows.where("role = 4").select("code", "node", "comp").distinct()
-    counted = sets.join(sets.groupBy("code").agg(F.count("*").alias("n_sets")), "code")
-    w = Window.partitionBy("node")
-    placed = counted.withColumns({"place": F.row_number().over(w.orderBy("n_sets", "code")), "size": F.count("*").over(w)})
-    return placed.where(F.col("place") <= F.col("size") - F.floor((F.col("size") * j.num + (j.den - 1)) / j.den) + 1).select("code", "node", "comp")
-
-
-def node_links(table: DataFrame, df: DataFrame, j: Join, doc_id: str, text: str) -> DataFrame:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for part, node, level, pivot, x, y in zip(*(batch.column(c).to_pylist() for c in ("part", "node", "level", "pivot", "text", "text_p")), strict=True):
+                own = set_of(node, x or "")
+                base = np.zeros(0, dtype=np.uint64) if pivot is None else set_of(pivot, y or "")
+                if own is not None and base is not None:
+                    for column, value in zip(out, (part, node, levels.difference(level), np.setxor1d(own, base, assume_unique=True).view(np.int64)), strict=True):
+                        column.append(value)
+            ends = pa.array(np.cumsum([0, *map(len, out[3])]), pa.int32())
+            flat = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out[3]) if out[3] else np.zeros(0, dtype=np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), flat], ["part", "node", "h", "shingles"])
+
+    found = room.stored(arrow_map(whole, rows, "part long, node long, h long, shingles array<long>"), "differences")
+    room.drop(texts)
+    return found
+
+
+def _near_pivots(differences: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of one part and two components that can differ in H shingles at most.
+
+    A difference's key has its number of sets in the highest bits and some of its hash below: the order of keys is by rarity.
+    Keys that fall together only lessen the places and the counts of what differs, so no linked pair is lost.
+    """
+    held = differences.select("part", "node", F.explode("shingles").alias("shingle"))
+    counted = held.join(held.groupBy("part", "shingle").agg(F.count("*").alias("n")).where("n > 1"), ["part", "shingle"])
+    key = F.shiftleft(F.least("n", F.lit((1 << 20) - 1)), 43).bitwiseOR(F.col("shingle").bitwiseAND(F.lit((1 << 43) - 1)))
+    # of one set: at most as many as its shingles and its pivot's
+    keys = counted.groupBy("part", "node").agg(F.array_sort(F.collect_set(key)).alias("keys"), F.count("*").alias("n_keys"))
+    sets = differences.select("part", "node", "h", F.size("shingles").alias("size")).join(keys, ["part", "node"], "left").withColumns(
+        {"keys": F.coalesce("keys", F.array().cast("array<long>")), "lone": F.col("size") - F.coalesce("n_keys", F.lit(0))}
+    )
+    sets = sets.where("lone <= h").join(comp, "node")
+    most = sets.groupBy("part", "comp").agg(F.count("*").alias("n")).groupBy("part").agg(F.max(F.struct("n", "comp")).alias("most"))
+    sets = sets.join(most, "part").withColumn("main", F.col("comp") == F.col("most.comp"))
+    first = F.slice("keys", 1, F.least(F.lit(HEAD), F.col("h") + 1).cast("int"))
+    last = F.when(F.size("first") < F.size("keys"), F.element_at("first", -1)).otherwise(F.lit(ALL))
+    sets = sets.withColumn("first", first).withColumn("last", last)
+    # a key for sets that may have nothing in common, their differences together being H at most
+    alone = F.when(F.col("size") <= F.col("h"), F.array(F.struct(F.col("size").alias("place"), F.lit(ALL).alias("key"))))
+    shared = F.transform(F.slice("keys", 1, (F.col("h") + 1 - F.col("lone")).cast("int")), lambda k, i: F.struct((i + F.col("lone")).cast("int").alias("place"), k.alias("key")))
+    rows = sets.select("part", "node", "comp", "main", "lone", "h", "first", "last", F.inline(F.concat(shared, F.coalesce(alone, F.array().cast("array<struct<place:int,key:bigint>>")))))
+    x, y = rows.where("not main").alias("x"), rows.alias("y")
+    common = F.expr("array_intersect(x.first, y.first)")
+    differ = F.expr("x.lone + y.lone + size(filter(x.first, k -> k <= y.last)) + size(filter(y.first, k -> k <= x.last))") - 2 * F.size(common)
+    meet = (
+        (F.col("x.part") == F.col("y.part")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("y.main") | F.expr("x.node < y.node"))
+        & (F.expr("x.place + y.place") <= F.col("x.h")) & ((F.size(common) == 0) | (F.get(common, F.lit(0)) == F.col("x.key"))) & (differ <= F.col("x.h"))
+    )
+    return x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
+def node_links(table: DataFrame, df: DataFrame, j: Join, doc_id: str, text: str, room: Room, salt: int = 0) -> DataFrame:
     """Verified links between nodes: not all of them, but enough that their components are those of all links."""
-    spark = df.sparkSession
     codes = table.where("node is not null").select("node", F.explode("codes").alias("code"))
-    least = stored(codes.groupBy("code").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("code", "least"), scratch(spark, "least"))
-    release(spark)
-    shared = stored(codes.join(least, "code").select("code", "node", "least").distinct(), scratch(spark, "shared"))
-    release(spark)
-    tried = stored(shared.where("node != least").groupBy(F.col("least").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n")).select("a", "b"), scratch(spark, "tried"))
-    links = verified(tried, table, df, j, doc_id, text)
-    comp = components(links)
+    least = room.stored(codes.groupBy("code").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("code", "least"), "least")
+    shared = room.stored(codes.join(least, "code").select("code", "node", "least").distinct(), "shared")
+    room.drop(least)
+    tried = room.stored(shared.where("node != least").groupBy(F.col("least").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n")).select("a", "b"), "tried")
+    links = verified(tried, table, df, j, doc_id, text, room, salt)
+    comp = room.stored(components(links, room=room), "components")
     own = lambda d: d.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    labelled = stored(own(shared.select("code", "node")), scratch(spark, "labelled"))
+    labelled = room.stored(own(shared), "labelled")
+    room.drop(shared)
     open_ = labelled.groupBy("code").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("code", "n")
-    open_ = stored(labelled.join(open_, "code"), scratch(spark, "open"))
-    release(spark)
-    few = _across(open_.where(F.col("n") <= j.few), "true", "true").where("a < b").distinct().join(tried, ["a", "b"], "left_anti")
-    few = stored(few, scratch(spark, "few"))
+    open_ = room.stored(labelled.join(open_, "code"), "open")
+    room.drop(labelled)
+    small = open_.where(F.col("n") <= j.few).select("code", "node", "comp")
+    few = small.alias("x").join(small.alias("y"), F.expr("x.code = y.code and x.node < y.node and x.comp != y.comp")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     # sets that lose more segments than the slack allows, at the level in the code's lowest bits
-    crowded = open_.where(F.col("n") > j.few).select("node", F.col("code").bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)).cast("int").alias("level"), "code")
-    crowded = crowded.groupBy("node", "level").agg(F.collect_set("code").alias("codes"))  # at most the segments of a set
+    crowded = open_.where(F.col("n") > j.few).select("code", "node", F.col("code").bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)).cast("int").alias("level"), "least")
     spare = table.where("node is not null").select("node", F.inline("spare")).distinct()
-    codes_ = F.coalesce("codes", F.array().cast("array<long>"))
-    lost = stored(spare.join(crowded, ["node", "level"], "left").where(F.size(codes_) > F.col("spare")).select("node", "level", codes_.alias("codes")), scratch(spark, "lost"))
-    tries = few
-    if not lost.isEmpty():
-        again = stored(own(_recut(lost, table, df, j, doc_id, text)), scratch(spark, "again"))
-        more = (
-            _across(again, "role = 2", "role = 1").union(_across(again, "role = 3", "role = 0")).union(_across(_rare(again, j), "true", "true"))
-        ).where("a != b").distinct().join(tried, ["a", "b"], "left_anti")
-        tries = few.union(more).distinct()
-    tries = stored(tries, scratch(spark, "tries"))
-    release(spark)
-    return links if tries.isEmpty() else links.union(verified(tries, table, df, j, doc_id, text))
-
-
-def _classes(df: DataFrame, j: Join, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The indexed table and (node, component) of every node."""
-    spark = df.sparkSession
-    table = stored(indexed(df, j, doc_id, text), scratch(spark, "codes"))
-    comp = components(node_links(table, df, j, doc_id, text))
-    nodes = table.where("node is not null").select("node").distinct()
-    return table, nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    lost = crowded.groupBy("node", "level").agg(F.count("*").alias("n")).join(spare, ["node", "level"]).where("n > spare").select("node", "level")
+    members = _pivots(crowded.join(lost, ["node", "level"], "left_semi")).union(spare.where("spare < 0").select("node", "level", F.lit(None).cast("long")))
+    differences = _differences(room.stored(members, "members"), table, df, j, doc_id, text, room, salt)
+    near = _near_pivots(differences, own(differences.select("node").distinct()))
+    tries = room.stored(few.union(near).distinct().join(tried, ["a", "b"], "left_anti"), "tries")
+    return links if tries.isEmpty() else room.stored(links.union(verified(tries, table, df, j, doc_id, text, room, salt)), "links")
+
+
+def _classes(df: DataFrame, j: Join, doc_id: str, text: str, room: Room) -> tuple[DataFrame, DataFrame]:
+    """The indexed table without its codes and (node, component) of every node."""
+    salt = 0
+    while True:
+        table = room.stored(indexed(df, j, doc_id, text, salt), "codes")
+        nodes = room.stored(table.where("node is not null").groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")), "nodes")
+        if nodes.where("lo != hi").isEmpty():
+            break
+        room.drop(table)
+        room.drop(nodes)
+        salt += 1
+    comp = components(node_links(table, df, j, doc_id, text, room, salt), room=room)
+    found = room.stored(nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "classes")
+    return table, found
 
 
 def groups(df: DataFrame, j: Join = STRICT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -329,27 +357,34 @@ def groups(df: DataFrame, j: Join = STRICT, doc_id: str = "doc_id", text: str =
 
     Null, empty and blank texts have no set and link with nothing: component_id is their own id. A row with a null id is in its
     component, but the smallest id is taken over ids that aren't null; if there is none it is null. Repeated rows each give a
-    row. An empty table gives an empty result.
+    row. An empty table gives an empty result. Texts of any length are read whole. Other columns of df don't matter, whatever
+    their names.
     """
-    spark = df.sparkSession
-    table, comp = _classes(df, j, doc_id, text)
+    room = Room(df.sparkSession)
+    table, comp = _classes(df, j, doc_id, text, room)
     ids = table.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
     named = ids.join(comp, "node")
     by_node = named.join(named.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("node", "component_id")
     out = table.select("id", "n_shingles", "node").join(by_node, "node", "left")
-    out = stored(out.select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")), scratch(spark, "groups"))
-    release(spark)
+    out = room.stored(out.select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")), "groups")
+    room.clear(out)
     return out
 
 
 def deduplicated(df: DataFrame, j: Join = NEAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with one row of each component: that of the smallest id (null ids last). Texts without a set all stay."""
-    table, comp = _classes(df, j, doc_id, text)
+    """df with one row of each component: that of the smallest id (null ids last). Texts without a set all stay.
+
+    Null, empty and blank texts are texts without a set. Repeated rows are copies of one another: one stays. An empty table
+    gives an empty result. All columns of df are kept, whatever their names (but for __millrace_id and __millrace_place).
+    """
+    room = Room(df.sparkSession)
+    table, comp = _classes(df, j, doc_id, text, room)
     at = F.struct(F.col("id").isNull().alias("none"), F.coalesce(F.col("id"), F.lit(NO_ID)).alias("id"), "place")
     first = table.where("node is not null").groupBy("node").agg(F.min(at).alias("at")).join(comp, "node").groupBy("component").agg(F.min("at").alias("at"))
-    first = stored(first.select(F.col("at.id").alias("__id"), F.col("at.place").alias("__place")), scratch(df.sparkSession, "first"))
-    release(df.sparkSession)
+    own = ["__millrace_id", "__millrace_place"]
+    first = room.stored(first.select(F.col("at.id").alias(own[0]), F.col("at.place").alias(own[1])), "first")
+    room.clear(first)
     filled = F.coalesce(df[text], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = df.where(filled).withColumns({"__id": F.coalesce(df[doc_id].cast("long"), F.lit(NO_ID)), "__place": F.xxhash64(df[text])})
-    one = rows.join(first, ["__id", "__place"], "left_semi").dropDuplicates(["__id", "__place"]).drop("__id", "__place")
+    rows = df.where(filled).withColumns({own[0]: F.coalesce(df[doc_id].cast("long"), F.lit(NO_ID)), own[1]: F.xxhash64(df[text])})
+    one = rows.join(first, own, "left_semi").dropDuplicates(own).drop(*own)
     return one.union(df.where(~filled).select(one.columns))
