@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Largest Arrow batch handed to a Python worker. Bounds worker memory when texts are long.
 BATCH_BYTES = 32 << 20
@@ -18,10 +20,13 @@ BATCH_BYTES = 32 << 20
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which every executor shares.
 
-    Where the session names none (tests, local mode) a temporary folder is chosen and recorded in the session.
+    Where a local session (tests) names none, a temporary folder is chosen and recorded in the session; on a cluster that is an
+    error, as executors wouldn't share it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/millrace/{label}-{uuid.uuid4().hex[:12]}"
@@ -74,6 +79,25 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def kept(df: DataFrame, keep: list[str], *results: str) -> list[Column]:
+    """The columns to keep; one that has the name of a result (in any case) comes out as input_<name>."""
+    taken = {r.lower() for r in results}
+    return [df[c].alias(f"input_{c}") if c.lower() in taken else df[c] for c in keep]
+
+
+def shielded(df: DataFrame, *own: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """df for an operator that reads the columns own, whatever its other columns are called: all columns of df under other names,
+    beside own; these names; and a function that gives a result back under df's names."""
+    names = [f"__millrace_{i}" for i in range(len(df.columns))]
+    inner = df.select(*(df[c].alias(n) for n, c in zip(names, df.columns, strict=True)), *own)
+    return inner, names, lambda out: out.select(*(F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)))
+
+
+def fields(schema: StructType) -> list[str]:
+    """The columns of a schema as text, for the schema of a result."""
+    return [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """Texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]
