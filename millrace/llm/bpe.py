@@ -2,8 +2,9 @@
 
 Long texts are cut at safe boundaries before the library sees them: right before white space that follows something else.
 No alternative of the split pattern matches white space after another character, and none looks behind, so the matches on
-both sides are the same with and without the cut. A long white-space run at the end of a text is one match by itself (the
-pattern's look-ahead holds there) and goes to the merges directly, as the library's regular expressions overflow on it.
+both sides are the same with and without the cut. Of a long white-space run all but the last character (at the end of a text:
+all of it) is one match by itself, by the pattern's look-ahead, and goes to the merges directly, as the library's regular
+expressions overflow on it.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, texts_of
+from .common import arrow_map, fields, kept, texts_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+RESULTS = ("n_tokens", "ids_sha256", "decoded_sha256", "decodes", "ids")
 #: Unicode White_Space, the class the split pattern means by \s.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 BOUNDARY = re.compile(f"[^{SPACE}](?=[{SPACE}])")
-TRAILING = re.compile(f"[{SPACE}]{{1000,}}\\Z")
+RUN = re.compile(f"[{SPACE}]{{1000,}}")
 #: Characters handed to the library at once, up to the next safe boundary.
 CHUNK = 1 << 16
 
@@ -54,13 +56,21 @@ class Coder:
 
     def encode(self, text: str) -> list[int]:
         """Ids of the whole text."""
-        run = TRAILING.search(text) if text[-1:].isspace() and len(text) > 1000 else None
-        body = text[: run.start()] if run else text
-        if len(body) <= CHUNK:
-            ids = self.library.encode_ordinary(body)
-        else:
-            ids = [i for part in safe_parts(body) for i in self.library.encode_ordinary(part)]
-        return ids + self.library._encode_single_piece(run[0]) if run else ids
+        if len(text) <= 1000:
+            return self.library.encode_ordinary(text)
+        ids, start = [], 0
+        for run in RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += self.plain(text[start : run.start()])
+            ids += self.library._encode_single_piece(text[run.start() : end])
+            start = end
+        return ids + self.plain(text[start:]) if start else self.plain(text)
+
+    def plain(self, text: str) -> list[int]:
+        """Ids of a text without long white-space runs."""
+        if len(text) <= CHUNK:
+            return self.library.encode_ordinary(text)
+        return [i for part in safe_parts(text) for i in self.library.encode_ordinary(part)]
 
     def decode(self, ids: list[int]) -> bytes:
         """Raw bytes of the ids; no character decoding takes place, so split characters survive."""
@@ -76,11 +86,12 @@ def encode(df: DataFrame, keep: list[str], text: str = "text", rank_file: str |
     """The kept columns plus n_tokens, ids_sha256, decoded_sha256, decodes (the bytes come back) and, if asked for, ids.
 
     ids is binary: little-endian unsigned 32-bit integers. A null text counts as empty: no ids, digests of nothing.
-    Repeated rows each give a row; other columns of df are left out, whatever their names.
+    Repeated rows each give a row, an empty table none, texts of any length are coded whole; other columns of df are left out,
+    whatever their names, and a kept column named as a result comes out as input_<name>.
     """
     path = rank_file or public_tokenizers.path(RANKS)
-    kept = df.select(*keep, df[text].alias("__text")).schema
-    names = [f.name for f in kept.fields[:-1]]
+    chosen = df.select(*kept(df, keep, *RESULTS), df[text].alias("__text"))
+    names = chosen.columns[:-1]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
@@ -97,14 +108,14 @@ def encode(df: DataFrame, keep: list[str], text: str = "text", rank_file: str |
             out = [pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(same, pa.bool_())] + [pa.array(raw, pa.binary())] * ids
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], [*names, "n_tokens", "ids_sha256", "decoded_sha256", "decodes", *["ids"] * ids])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields[:-1]), "n_tokens long", "ids_sha256 string", "decoded_sha256 string", "decodes boolean"] + ["ids binary"] * ids)
-    return arrow_map(df.select(*keep, df[text].alias("__text")), rows, schema)
+    schema = ", ".join([*fields(chosen.schema)[:-1], "n_tokens long", "ids_sha256 string", "decoded_sha256 string", "decodes boolean"] + ["ids binary"] * ids)
+    return arrow_map(chosen, rows, schema)
 
 
 def decode(df: DataFrame, keep: list[str], ids: str = "ids", rank_file: str | None = None) -> DataFrame:
-    """The kept columns plus bytes, the raw bytes of the ids column. Null ids give null."""
+    """The kept columns plus bytes, the raw bytes of the ids column. Null ids give null, an empty table gives no row."""
     path = rank_file or public_tokenizers.path(RANKS)
-    chosen = df.select(*keep, df[ids].alias("__ids"))
+    chosen = df.select(*kept(df, keep, "bytes"), df[ids].alias("__ids"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
@@ -112,4 +123,4 @@ def decode(df: DataFrame, keep: list[str], ids: str = "ids", rank_file: str | No
             raw = [None if x is None else c.decode(np.frombuffer(x, "<u4").tolist()) for x in batch.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(raw, pa.binary())], [*batch.schema.names[:-1], "bytes"])
 
-    return arrow_map(chosen, rows, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]), "bytes binary"]))
+    return arrow_map(chosen, rows, ", ".join([*fields(chosen.schema)[:-1], "bytes binary"]))
