@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, texts_of
+from .common import arrow_map, fields, held_out, kept, texts_of
 from .sample import spread_ids
 from .subword import Bags, Model, Scorer, Settings, Trainer, softmax
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 #: At most so many labelled rows are fitted on, of at most so many characters each.
 SAMPLE, LONGEST = 1_500, 30_000
@@ -76,9 +76,11 @@ def training_rows(df: DataFrame, text: str = "text", lang: str = "lang", sample:
 def identify(df: DataFrame, fitted: Identifier | None, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns plus lang_pred, score and accepted (the score reaches the calibrated threshold).
 
-    Null texts and texts without a letter are UNKNOWN with score 0, as is everything when nothing was learned.
+    Null texts and texts without a letter (category L) are UNKNOWN with score 0, as is everything when nothing was learned. Of
+    equally likely languages the first by name is predicted. Repeated rows each get a row, an empty table gives none, and texts of
+    any length are read whole. A kept column named as a result comes out as input_<name>.
     """
-    chosen = df.select(*keep, df[text].alias("__text"))
+    chosen = df.select(*kept(df, keep, "lang_pred", "score", "accepted"), df[text].alias("__text"))
     shared = df.sparkSession.sparkContext.broadcast(fitted)  # buckets x languages floats: a fixed size
     state: dict[int, Scorer] = {}
 
@@ -98,7 +100,7 @@ def identify(df: DataFrame, fitted: Identifier | None, keep: list[str], text: st
             yes = [x != UNKNOWN and p >= f.threshold for x, p in zip(lang, score, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(yes, pa.bool_())], [*batch.schema.names[:-1], "lang_pred", "score", "accepted"])
 
-    return arrow_map(chosen, rows, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]), "lang_pred string", "score double", "accepted boolean"]))
+    return arrow_map(chosen, rows, ", ".join([*fields(chosen.schema)[:-1], "lang_pred string", "score double", "accepted boolean"]))
 
 
 def language(df: DataFrame, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
