@@ -7,10 +7,13 @@ and joins findings back to every path and version. Content that is repeated, mov
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import kept, scratch, stored
 
 #: Fixed values of the contract: kind -> (pattern as the scan uses it, least characters of its last group).
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -23,13 +26,42 @@ JWT = r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
 KINDS = ("assign", "access", "hex", "key", "jwt")
 BASE = KINDS[:3]
 PATTERNS = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, KEY, JWT), strict=True))
-#: Changes with any pattern; the ledger keeps results of each version apart.
-VERSION = "1"
+#: Follows from the patterns; the ledger keeps results of each version apart.
+VERSION = hashlib.sha256("\n".join(f"{k} {p}" for k, p in PATTERNS.items()).encode()).hexdigest()[:16]
+#: Matches whose lengths are summed up together.
+BLOCK = 128
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 #: Texts without any of these hold no span: a first test in one pass.
 HINT = r"""(?i)passw|secret|token|api_?key|akia[a-z0-9]|[0-9a-f]{32}|-----BEGIN |eyJ"""
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once; inside a lambda it would else be worked out for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, fold: Callable[[Column], Column], both: Callable[[Column, Column], Column], use: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """use(before), where before(i) is the fold of the first i values (integers, 0 for none).
+
+    Folds over blocks of BLOCK and over the blocks before each are made once, so before(i) looks at one block at most.
+    """
+    cut = lambda v, b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK))
+    count = lambda v: F.greatest(F.lit(0), F.ceil(F.size(v) / BLOCK) - 1).cast("int")
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), count(v)), lambda b: fold(cut(v, b)))
+    bases = lambda v, s: F.transform(F.sequence(F.lit(0), count(v)), lambda b: fold(F.slice(s, F.lit(1), b)))
+    block = lambda i: F.floor(i / BLOCK).cast("int")
+    before = lambda v, base: lambda i: both(F.get(base, block(i)), fold(F.slice(v, block(i) * BLOCK + 1, i % BLOCK)))
+    return bound(values, lambda v: bound(blocks(v), lambda s: bound(bases(v, s), lambda base: use(before(v, base)))))
+
+
+def _sum(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0), lambda a, x: a + x)
+
+
+def _most(v: Column) -> Column:
+    return F.coalesce(F.array_max(v), F.lit(0))
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """Spans (start, kind, end) of one kind: leftmost, non-overlapping, in code points, end exclusive.
 
@@ -39,20 +71,15 @@ def spans_of(text: Column, kind: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if kind == "assign" else found
-    least = 8 if kind == "assign" else 1
-    zipped = F.arrays_zip(between.alias("gap"), found.alias("hit"), value.alias("value"))
-    walked = F.aggregate(
-        F.filter(zipped, lambda z: z["hit"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")),
-        lambda acc, z: F.struct(
-            (acc["at"] + F.char_length(z["gap"]) + F.char_length(z["hit"])).alias("at"),
-            F.when(
-                F.char_length(z["value"]) >= least,
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.char_length(z["gap"])).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (acc["at"] + F.char_length(z["gap"]) + F.char_length(z["hit"])).alias("end")))),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-    )
-    return walked["spans"]
+    zipped = F.filter(F.arrays_zip(between.alias("gap"), found.alias("hit"), value.alias("value")), lambda z: z["hit"].isNotNull())
+    sizes = F.transform(zipped, lambda z: F.struct(F.char_length(z["gap"]).alias("gap"), F.char_length(z["hit"]).alias("hit"), F.char_length(z["value"]).alias("value")))
+
+    def placed(z: Column) -> Column:
+        at = lambda before, s, i: F.struct((before(i) + s["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (before(i) + s["gap"] + s["hit"]).alias("end"), s["value"].alias("value"))
+        return running(F.transform(z, lambda s: s["gap"] + s["hit"]), _sum, lambda a, b: a + b, lambda before: F.transform(z, lambda s, i: at(before, s, i)))
+
+    long_enough = F.filter(bound(sizes, placed), lambda s: s["value"] >= (8 if kind == "assign" else 1))
+    return F.transform(long_enough, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
 def spans(text: Column) -> Column:
@@ -106,22 +133,31 @@ def update(df: DataFrame, path: str | None, text: str = "text", version: str = V
 
 
 def findings(df: DataFrame, ledger: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns of every row of df plus blob and spans. Rows with null text have those of the empty text."""
+    """The kept columns of every row of df plus blob and spans. Rows with null text have those of the empty text. Repeated rows each
+    give a row, an empty table none; texts of any length are scanned whole. A kept column named as a result comes out as
+    input_<name>."""
     hits = ledger.where(F.size("spans") > 0).select("blob", "spans")
-    return df.select(*keep, blob(F.col(text)).alias("blob")).join(hits, "blob", "left").select(*keep, "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    chosen = df.select(*kept(df, keep, "blob", "spans"), blob(df[text]).alias("blob"))
+    return chosen.join(hits, "blob", "left").select(*chosen.columns[:-1], "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def digests(found: DataFrame, keep: list[str]) -> DataFrame:
-    """Counts of the base kinds, base_sha256 and spans as text."""
+    """The kept columns, counts of the base kinds, base_sha256 and spans as text."""
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(k))).cast("long")
     return found.select(*keep, *(count(k).alias(f"n_{k}") for k in BASE), F.sha2(joined(F.col("spans"), len(BASE)), 256).alias("base_sha256"), joined(F.col("spans"), len(KINDS)).alias("spans"))
 
 
 def redacted(text: Column, found: Column) -> Column:
-    """The text with each span replaced by [kind]; overlapping spans become one, named after the first."""
-    step = lambda acc, s: F.struct(
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.get(F.array(*map(F.lit, KINDS)), s["kind"]), F.lit("]"))).otherwise(acc["out"]).alias("out"),
-        F.greatest(acc["at"], s["end"]).alias("at"),
-    )
-    done = F.aggregate(found, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step)
-    return F.when(F.size(found) == 0, text).otherwise(F.concat(done["out"], F.substr(text, done["at"] + 1)))
+    """The text with each span replaced by [kind]; overlapping spans become one, named after the first.
+
+    Pieces are cut from four bytes a character, so that a cut needn't count the characters before it.
+    """
+    names = F.array(*map(F.lit, KINDS))
+
+    def pieces(wide: Column, spans: Column, before: Callable[[Column], Column]) -> Column:
+        piece = lambda a, n: F.decode(F.substring(wide, a * 4 + 1, n * 4), "UTF-32")
+        own = lambda s, i: F.when(s["start"] >= before(i), F.concat(piece(before(i), s["start"] - before(i)), F.lit("["), F.get(names, s["kind"]), F.lit("]"))).otherwise(F.lit(""))
+        return F.concat(F.array_join(F.transform(spans, own), ""), piece(before(F.size(spans)), F.length(wide)))
+
+    whole = bound(F.encode(text, "UTF-32"), lambda wide: running(F.transform(found, lambda s: s["end"]), _most, F.greatest, lambda before: pieces(wide, found, before)))
+    return F.when(F.size(found) == 0, text).otherwise(whole)
