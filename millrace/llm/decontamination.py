@@ -9,15 +9,19 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts_of
+from .common import arrow_map, fields, kept, texts_of
 
 TOKEN = re.compile(r"\w+")
 #: Least tokens of a tile (and of a seed), and least coverage of an item.
@@ -25,14 +29,20 @@ LEAST, THRESHOLD = 5, 0.5
 #: Characters of benchmark text broadcast at once; a larger benchmark is taken in blocks of this size, each against all rows.
 BLOCK = 16_000_000
 BASE = 0x9E3779B97F4A7C15
+#: Pairs of equal windows looked at together.
+PAIRS = 1 << 20
 MATCH = "array<struct<item_id:long,coverage:double,n_tiles:int,longest:int>>"
 
 
 class _Ids(dict):
+    """Hashes of recent words; at most 65,536 words of up to 64 characters, some 10 MB."""
+
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 1 << 16:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -45,14 +55,19 @@ def tokens(text: str) -> np.ndarray:
     return np.fromiter(map(IDS.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, base ** 1, ... modulo 2 ** 64."""
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(max(0, n - 1), base, dtype=np.uint64)]), dtype=np.uint64)
+
+
 def seeds(ids: np.ndarray, n: int = LEAST) -> np.ndarray:
-    """Hashes of all windows of n ids."""
+    """Hashes of all windows of n ids. They roll: each is the difference of two running sums, whatever n is."""
     if len(ids) < n:
         return np.zeros(0, dtype=np.uint64)
-    h = np.zeros(len(ids) - n + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(n):
-            h = h * np.uint64(BASE) + ids[k : len(ids) - n + 1 + k]
+        run = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(ids * _powers(BASE, len(ids)), dtype=np.uint64)])
+        h = (run[n:] - run[:-n]) * _powers(pow(BASE, -1, 1 << 64), len(ids) - n + 1)
         return h ^ (h >> np.uint64(29))
 
 
@@ -81,28 +96,38 @@ def tile(doc: np.ndarray, item: np.ndarray, least: int = LEAST) -> list[tuple[in
 
 def _matches(doc: np.ndarray, item: np.ndarray, free_doc: np.ndarray, free_item: np.ndarray, size: int) -> list[tuple[int, int, int]]:
     """Maximal common runs of at least size free tokens as (length, start in item, start in doc), longest first, ties by place."""
-    at: dict[int, list[int]] = {}
-    for i, h in zip(*_windows(item, free_item, size), strict=True):
-        at.setdefault(h, []).append(i)
-    found = set()
-    for j, h in zip(*_windows(doc, free_doc, size), strict=True):
-        for i in at.get(h, ()):
-            if i and j and free_item[i - 1] and free_doc[j - 1] and item[i - 1] == doc[j - 1]:
-                continue  # part of the run that starts one token before
-            n = 0
-            while i + n < len(item) and j + n < len(doc) and free_item[i + n] and free_doc[j + n] and item[i + n] == doc[j + n]:
-                n += 1
+    of_item, h_item = _windows(item, free_item, size)
+    of_doc, h_doc = _windows(doc, free_doc, size)
+    if not of_item.size or not of_doc.size:
+        return []
+    order = np.argsort(h_item, kind="stable")
+    of_item, h_item = of_item[order], h_item[order]
+    lo, hi = np.searchsorted(h_item, h_doc, "left"), np.searchsorted(h_item, h_doc, "right")
+    ends = np.cumsum(hi - lo)
+    found, at = set(), 0
+    while at < len(of_doc):  # windows by their pairs, about PAIRS at once
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        n = (hi - lo)[at:stop]
+        j = np.repeat(of_doc[at:stop], n)
+        i = of_item[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at:stop], n)]
+        inside = (i > 0) & (j > 0) & free_item[i - 1] & free_doc[j - 1] & (item[i - 1] == doc[j - 1])  # of a run that starts before
+        for i, j in zip(i[~inside].tolist(), j[~inside].tolist(), strict=True):
+            most = min(len(item) - i, len(doc) - j)
+            off = np.flatnonzero((item[i : i + most] != doc[j : j + most]) | ~free_item[i : i + most] | ~free_doc[j : j + most])
+            n = int(off[0]) if off.size else most
             if n >= size:
                 found.add((n, i, j))
+        at = stop
     return sorted(found, key=lambda m: (-m[0], m[1], m[2]))
 
 
-def _windows(ids: np.ndarray, free: np.ndarray, size: int) -> tuple[list[int], list[int]]:
+def _windows(ids: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the windows without a marked token."""
     if len(ids) < size:
-        return [], []
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     taken = np.concatenate([[0], np.cumsum(~free)])
     open_ = np.flatnonzero(taken[size:] == taken[:-size])
-    return open_.tolist(), seeds(ids, size)[open_].tolist()
+    return open_, seeds(ids, size)[open_]
 
 
 class Index:
@@ -156,6 +181,29 @@ class Index:
         return np.concatenate(parts)
 
 
+#: This worker's indexes, by broadcast; of the last few blocks.
+INDEXES: OrderedDict[str, Index] = OrderedDict()
+
+
+@dataclass(frozen=True)
+class Block:
+    id: str
+    broadcast: Broadcast
+
+    @property
+    def value(self) -> list[tuple[int, str]]:
+        return self.broadcast.value
+
+
+def _index(items: Block, least: int) -> Index:
+    """The index of a broadcast block, built once in a worker."""
+    if (found := INDEXES.get(items.id)) is None:
+        found = INDEXES[items.id] = Index(items.value, least)
+        while len(INDEXES) > 4:
+            INDEXES.popitem(last=False)
+    return found
+
+
 def blocks(benchmark: DataFrame, item_id: str, text: str, size: int) -> list[DataFrame]:
     """The benchmark in blocks of about so many characters, by hash of the item."""
     b = benchmark.select(benchmark[item_id].cast("long").alias("id"), F.coalesce(benchmark[text], F.lit("")).alias("text"))
@@ -168,17 +216,17 @@ def tiled(df: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "tex
     """The kept columns of every row plus matches: the items it covers, with coverage, number of tiles and the longest.
 
     Null and empty texts match nothing, items of fewer than least tokens are matched by nothing, an empty benchmark neither.
-    Repeated rows each give a row; repeated items each give a match.
+    Repeated rows each give a row, an empty table none; repeated items each give a match. Texts of any length are read whole. A
+    kept column called matches comes out as input_matches.
     """
     spark = df.sparkSession
-    out = df.select(*keep, df[text].alias("__text"), F.array().cast(MATCH).alias("matches"))
+    out = df.select(*kept(df, keep, "matches", "__text"), df[text].alias("__text"), F.array().cast(MATCH).alias("matches"))
     for part in blocks(benchmark, item_id, item_text, block):
         items = [(r.id, r.text) for r in part.orderBy("id", "text").collect()]
         shared = spark.sparkContext.broadcast(items)  # at most about block characters
-        state: dict[int, Index] = {}
 
-        def rows(batches: Iterator[pa.RecordBatch], shared=shared, state=state) -> Iterator[pa.RecordBatch]:
-            index = state.setdefault(0, Index(shared.value, least))
+        def rows(batches: Iterator[pa.RecordBatch], shared=Block(uuid.uuid4().hex, shared)) -> Iterator[pa.RecordBatch]:
+            index = _index(shared, least)
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32()), ("longest", pa.int32())]))
             for batch in batches:
                 found = []
@@ -186,7 +234,7 @@ def tiled(df: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "tex
                     found.append((before or []) + [dict(zip(("item_id", "coverage", "n_tiles", "longest"), m, strict=True)) for m in index.matches(t, threshold)])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], batch.schema.names)
 
-        out = arrow_map(out, rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields))
+        out = arrow_map(out, rows, ", ".join(fields(out.schema)))
     return out.drop("__text")
 
 
