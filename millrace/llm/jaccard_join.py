@@ -241,7 +241,9 @@ def _pivots(crowded: DataFrame) -> DataFrame:
     The least set of a hash would do as its pivot. To have few pivots for a set, each hash takes the most popular one among
     those of its sets' other hashes.
     """
-    rows = crowded.join(crowded.groupBy("level", "least").agg(F.count("*").alias("n")), ["level", "least"]).select("code", "node", "level", F.struct("n", "least").alias("own"))
+    codes = crowded.groupBy("code", "level", "least").agg(F.count("*").alias("sets"))  # a pivot has at most as many as segments
+    known = codes.groupBy("level", "least").agg(F.sum("sets").alias("n")).join(codes, ["level", "least"]).select("code", F.struct("n", "least").alias("own"))
+    rows = crowded.join(known, "code").select("code", "node", "level", "own")
     best = rows.groupBy("node", "level").agg(F.max("own").alias("best"))
     chosen = rows.select("code", "node", "level").join(best, ["node", "level"]).groupBy("code").agg(F.max("best").alias("best"))
     return crowded.select("code", "node", "level").join(chosen, "code").select("node", "level", F.col("best.least").alias("pivot")).distinct()
