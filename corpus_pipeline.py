@@ -6,34 +6,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontamination, jaccard_join, quality_rules, secrets
-from millrace.llm.common import release, scratch, stored
+from millrace.llm.common import Room, shielded
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned rules reject."""
-    judged, _ = quality_rules.quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), docs.columns)
-    return judged.where("kept").select(docs.columns)
+    """Documents that neither the base rules nor the learned rules reject.
+
+    Null, empty and blank texts go; of repeated rows all stay or all go; an empty table stays empty; texts of any length are
+    judged whole; columns may have any names (those of __millrace_<number> aside), as in all stages.
+    """
+    inner, names, back = shielded(docs, "doc_id", "text")
+    judged, _ = quality_rules.quality(inner, spark.read.parquet(f"{sf_dir}/labels.parquet"), names)
+    return back(judged.where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest id."""
+    """One document of each group of near copies: that of the smallest id (null ids last). Null, empty and blank texts all stay,
+    of repeated rows one; an empty table stays empty."""
     return jaccard_join.deduplicated(docs, jaccard_join.NEAR).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
-    return decontamination.tiled(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.columns).where(F.size("matches") == 0).select(docs.columns)
+    """Documents without benchmark passages. Null and empty texts stay; of repeated rows all stay or all go; an empty table stays
+    empty, and with an empty benchmark everything stays."""
+    inner, names, back = shielded(docs, "text")
+    return back(decontamination.tiled(inner, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), names).where(F.size("matches") == 0))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by their kind in brackets."""
-    found = secrets.findings(docs, secrets.update(docs, None), docs.columns)
-    clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col("spans")))
-    return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """All documents, with secrets replaced by their kind in brackets, and n_chars of those changed. Null and empty texts stay as
+    they are, repeated rows are all changed alike, an empty table stays empty."""
+    inner, names, back = shielded(docs, "text")
+    found = secrets.findings(inner, secrets.update(inner, None), names)
+    text, n_chars = (names[docs.columns.index(c)] for c in ("text", "n_chars"))
+    clean = found.withColumn(text, secrets.redacted(F.col(text), F.col("spans")))
+    return back(clean.withColumn(n_chars, F.when(F.size("spans") > 0, F.char_length(text).cast("long")).otherwise(F.col(n_chars))))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every document. A null or empty text has none; repeated rows each give a row, an empty table none."""
     return bpe.encode(docs, ["doc_id", "lang", "source"])
 
 
@@ -45,8 +56,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written to the shared folder before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    room, docs = Room(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), scratch(spark, name.replace(" ", "-")))
-        release(spark)
+        docs, before = room.stored(stage(spark, docs, sf_dir), name.replace(" ", "-")), docs
+        room.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

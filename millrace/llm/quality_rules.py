@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts_of
+from .common import arrow_map, fields, kept, texts_of
 from .sample import bounded_ids
 
 #: Fixed values of the contract.
@@ -60,7 +60,7 @@ def statistics(text: str) -> tuple[int, ...]:
 
 def with_statistics(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns plus COUNTS and OTHER as longs; a null text has zeros. Whole texts, one pass, no shuffle."""
-    chosen = df.select(*keep, df[text].alias("__text"))
+    chosen = df.select(*kept(df, keep, *COUNTS, *OTHER, "base_failed", "kept", "rule"), df[text].alias("__text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,7 +68,7 @@ def with_statistics(df: DataFrame, keep: list[str], text: str = "text") -> DataF
             columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(len(COUNTS + OTHER))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], *COUNTS, *OTHER])
 
-    return arrow_map(chosen, rows, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]), *(f"{c} long" for c in COUNTS + OTHER)]))
+    return arrow_map(chosen, rows, ", ".join([*fields(chosen.schema)[:-1], *(f"{c} long" for c in COUNTS + OTHER)]))
 
 
 def base_failed() -> Column:
@@ -207,9 +207,10 @@ def verdict(rules: list[Rule]) -> tuple[Column, Column]:
 def quality(df: DataFrame, labels: DataFrame, keep: list[str], text: str = "text", sample: int = SAMPLE) -> tuple[DataFrame, list[Rule]]:
     """The kept columns plus COUNTS, OTHER, base_failed, kept and rule, and the rules.
 
-    Texts that are null, empty or blank have no word, fail the base rules and aren't kept. Repeated rows each get a row. Without
-    labels there are no rules and the base rules decide.
+    Texts that are null, empty or blank have no word, fail the base rules and aren't kept. Repeated rows each get a row, an empty
+    table gives none, texts of any length are read whole. Without labels there are no rules and the base rules decide. A kept
+    column named as a result comes out as input_<name>.
     """
     rules = fitted(df, labels, text, sample)
-    kept, rule = verdict(rules)
-    return with_statistics(df, keep, text).withColumns({"base_failed": base_failed(), "kept": kept, "rule": rule}), rules
+    stays, rule = verdict(rules)
+    return with_statistics(df, keep, text).withColumns({"base_failed": base_failed(), "kept": stays, "rule": rule}), rules

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import SPACE, UNIT
-from .common import arrow_map, texts_of
+from .common import arrow_map, fields, kept, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Keys up to so many characters are remembered, and so many of them.
@@ -199,7 +199,7 @@ def prefix_counts(df: DataFrame, keep: list[str], text: str = "text", path: str
     fit_chars is the length in characters of the longest prefix within the budget. Null texts count as empty (0, 0, false, 0).
     """
     path = path or public_tokenizers.path(VOCABULARY)
-    chosen = df.select(*keep, df[text].alias("__text"))
+    chosen = df.select(*kept(df, keep, "n_bytes", "n_tokens", "over_limit", "fit_chars", "changes"), df[text].alias("__text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
@@ -218,7 +218,7 @@ def prefix_counts(df: DataFrame, keep: list[str], text: str = "text", path: str
             out = [pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(over, pa.bool_()), pa.array(fit, pa.int64())] + [pa.array(raw, pa.binary())] * changes
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], [*batch.schema.names[:-1], "n_bytes", "n_tokens", "over_limit", "fit_chars", *["changes"] * changes])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]), "n_bytes long", "n_tokens long", "over_limit boolean", "fit_chars long"] + ["changes binary"] * changes)
+    schema = ", ".join([*fields(chosen.schema)[:-1], "n_bytes long", "n_tokens long", "over_limit boolean", "fit_chars long"] + ["changes binary"] * changes)
     return arrow_map(chosen, rows, schema)
 
 

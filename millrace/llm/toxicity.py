@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, texts_of
+from .common import arrow_map, fields, held_out, kept, texts_of
 from .sample import bounded_ids
 from .subword import Bags, Model, Scorer, Settings, Trainer, softmax
 
@@ -86,9 +86,10 @@ def training_rows(df: DataFrame, labels: DataFrame, text: str = "text", sample:
 
 
 def score(df: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns plus score and predicted. Null and empty texts are scored as texts without words; without a model all
-    scores are 0."""
-    chosen = df.select(*keep, df[text].alias("__text"))
+    """The kept columns plus score and predicted (1 from 0.5 on). Null and empty texts are scored as texts without words; without a
+    model all scores are 0. Repeated rows each get a row, with the same score; an empty table gives none; texts of any length are
+    read whole. A kept column named as a result comes out as input_<name>."""
+    chosen = df.select(*kept(df, keep, "score", "predicted"), df[text].alias("__text"))
     shared = df.sparkSession.sparkContext.broadcast(model)  # buckets x 2 floats: a fixed size
     state: dict[int, Scorer] = {}
 
@@ -98,7 +99,7 @@ def score(df: DataFrame, model: Model | None, keep: list[str], text: str = "text
             p = [worst_window(scorer, t) if scorer else 0.0 for t in texts_of(batch, "__text")]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32())], [*batch.schema.names[:-1], "score", "predicted"])
 
-    return arrow_map(chosen, rows, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]), "score double", "predicted int"]))
+    return arrow_map(chosen, rows, ", ".join([*fields(chosen.schema)[:-1], "score double", "predicted int"]))
 
 
 def toxicity(df: DataFrame, labels: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
