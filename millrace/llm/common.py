@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -15,6 +14,8 @@ from pyspark.sql.types import StructType
 
 #: Largest Arrow batch handed to a Python worker. Bounds worker memory when texts are long.
 BATCH_BYTES = 32 << 20
+#: Spark's setting that removes shuffle files at the end of a query.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -33,8 +34,17 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
-    """Cut lineage: write df as Parquet under path and read it back with the same schema."""
-    (df if partitions is None else df.coalesce(partitions)).write.option("compression", "zstd").parquet(path)
+    """Cut lineage: write df as Parquet under path and read it back with the same schema.
+
+    The shuffle files of the write go as soon as it is done, as nothing reads them again.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        (df if partitions is None else df.coalesce(partitions)).write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -52,14 +62,12 @@ class Room:
         self.paths: dict[int, str] = {}
         self.kept: list[DataFrame] = []
 
-    def stored(self, df: DataFrame, label: str, tidy: bool = True) -> DataFrame:
-        """df, written to a fresh folder and read again; shuffle files of the steps before can go (tidy: at once)."""
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        """df, written to a fresh folder and read again."""
         path = scratch(self.spark, label)
         out = stored(df, path)
         self.paths[id(out)] = path
         self.kept.append(out)  # so that its id isn't used again
-        if tidy:
-            release(self.spark)
         return out
 
     def drop(self, table: DataFrame) -> None:
@@ -108,12 +116,6 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished steps, whose results are stored, instead of keeping them to the end."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def dropped(spark: SparkSession, path: str) -> None:
     """Remove a scratch table that nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -36,5 +36,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b", room: Room | None =
         if state == before or not state[0]:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select("a", "a").distinct())
         before, last = state, edges
-        edges = room.stored(_star(_star(edges, True), False), "edges", tidy=False)
+        edges = room.stored(_star(_star(edges, True), False), "edges")
         room.drop(last)
