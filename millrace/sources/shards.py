@@ -1,37 +1,66 @@
 """Token shards (.bin: unsigned 16-bit ids, .idx: unsigned 64-bit offsets) as a Spark data source.
 
-spark.dataSource.register(ShardSource); spark.read.format("token_shards").load(folder) gives (shard, doc_seq, tokens), one
-partition per shard; df.write.format("token_shards").save(folder) writes one shard per partition of rows (source_id, doc_seq,
-tokens), each complete and renamed before the job commits. Paths may be any URI that pyarrow's file systems know.
+spark.dataSource.register(ShardSource); spark.read.format("token_shards").load(folder) gives (source_id, shard, doc_seq, tokens),
+one partition per shard. Writing takes rows (source_id, doc_seq, tokens) and makes, of each task's rows, one shard per source,
+named <source>-<split>-<job>-<task>.bin; the manifest, written last, lists what the folder holds. Appending adds to the manifest,
+overwriting replaces it and then removes the shards it listed before. write_shards() puts each source's documents in order first.
+Paths may be any URI that pyarrow's file systems know.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-SCHEMA = "shard string, doc_seq long, tokens array<int>"
+SCHEMA = "source_id string, shard string, doc_seq long, tokens array<int>"
+FORMAT, MANIFEST = "document-indexed-uint16-shards", "manifest.json"
+#: Tokens handed to Spark at once, but for longer documents.
+AT_ONCE = 1 << 20
 
 
 def _open(path: str):
     return pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
+def safe_path(name: str) -> str:
+    """The name, if it stays inside the manifest's folder: not empty, not absolute, no step up, no scheme."""
+    if not name or name.startswith(("/", "\\")) or "://" in name or ":" in name.split("/")[0] or ".." in re.split(r"[/\\]", name):
+        raise ValueError(f"a shard path must lie inside its folder: {name!r}")
+    return name
+
+
 def checked(tokens: np.ndarray, offsets: np.ndarray, name: str) -> None:
     """Offsets start at 0, never fall, and end at the number of tokens."""
     if not offsets.size or offsets[0] != 0 or offsets[-1] != tokens.size:
-        raise ValueError(f"invalid document offsets: {name}")
+        raise ValueError(f"offsets must run from 0 to the number of tokens: {name}")
     if (offsets[1:] < offsets[:-1]).any():
         raise ValueError(f"document offsets fall: {name}")
 
 
+def manifest_of(path: str) -> dict | None:
+    """The folder's manifest; None if it has none."""
+    fs, folder = _open(path)
+    if fs.get_file_info(f"{folder}/{MANIFEST}").type == pyarrow.fs.FileType.NotFound:
+        return None
+    with fs.open_input_file(f"{folder}/{MANIFEST}") as f:
+        found = json.loads(f.read())
+    if not isinstance(found, dict) or not isinstance(found.get("shards"), list):
+        raise ValueError(f"{MANIFEST} lists no shards: {path}")
+    return found
+
+
 class ShardSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -41,83 +70,142 @@ class ShardSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return ShardReader(self.options["path"])
+        return ShardReader(self.options["path"], self.options.get("split"))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return ShardWriter(self.options["path"])
+        return ShardWriter(self.options["path"], overwrite, self.options.get("split", "train"))
 
 
 class ShardReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    """Reads what the manifest lists (of one split, if asked for) and checks its counts; without a manifest every pair of files."""
 
-    def partitions(self) -> list[InputPartition]:
-        fs, folder = _open(self.path)
-        names = sorted(i.base_name[:-4] for i in fs.get_file_info(pyarrow.fs.FileSelector(folder)) if i.base_name.endswith(".bin"))
-        return [InputPartition(n) for n in names] or [InputPartition("")]
+    def __init__(self, path: str, split: str | None = None):
+        self.path, self.split = path, split
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if not partition.value:
+    def partitions(self) -> list[InputPartition]:
+        if (manifest := manifest_of(self.path)) is not None:
+            listed = [s for s in manifest["shards"] if self.split in (None, s.get("split"))]
+        else:
+            fs, folder = _open(self.path)
+            names = sorted(i.base_name for i in fs.get_file_info(pyarrow.fs.FileSelector(folder)) if i.base_name.endswith(".bin"))
+            listed = [{"path": n, "index": f"{n[:-4]}.idx"} for n in names]
+        return [InputPartition(s) for s in listed] or [InputPartition(None)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if (shard := partition.value) is None:
             return
         fs, folder = _open(self.path)
-        raw = {}
-        for end, width in (("bin", 2), ("idx", 8)):
-            with fs.open_input_file(f"{folder}/{partition.value}.{end}") as f:
-                raw[end] = f.read()
-            if len(raw[end]) % width:
-                raise ValueError(f"{partition.value}.{end} isn't a whole number of {width}-byte values")
-        tokens, offsets = np.frombuffer(raw["bin"], "<u2"), np.frombuffer(raw["idx"], "<u8").astype(np.int64)
-        checked(tokens, offsets, partition.value)
-        for k in range(len(offsets) - 1):
-            yield partition.value, k, tokens[offsets[k] : offsets[k + 1]].tolist()
+        name, raw = safe_path(shard["path"]), {}
+        for key, width in (("path", 2), ("index", 8)):
+            with fs.open_input_file(f"{folder}/{safe_path(shard[key])}") as f:
+                raw[key] = f.read()
+            if len(raw[key]) % width:
+                raise ValueError(f"{shard[key]} isn't a whole number of {width}-byte values")
+        tokens, offsets = np.frombuffer(raw["path"], "<u2"), np.frombuffer(raw["index"], "<u8").astype(np.int64)
+        checked(tokens, offsets, name)
+        n = len(offsets) - 1
+        for what, have in (("tokens", tokens.size), ("documents", n)):
+            if shard.get(what, have) != have:
+                raise ValueError(f"{name} has {have} {what}, the manifest {shard[what]}")
+        at = 0
+        while at < n:
+            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + AT_ONCE, "right")) - 1)
+            flat = pa.array(tokens[offsets[at] : offsets[stop]].astype(np.int32))
+            rows = pa.ListArray.from_arrays(pa.array((offsets[at : stop + 1] - offsets[at]).astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([pa.array([shard.get("source_id")] * (stop - at), pa.string()), pa.array([name[:-4]] * (stop - at)), pa.array(np.arange(at, stop)), rows], ["source_id", "shard", "doc_seq", "tokens"])
+            at = stop
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    shard: str
-    documents: int
-    tokens: int
-    names: list[str]
+    #: Manifest entries, each with the temporary names of its files.
+    shards: list[dict] = field(default_factory=list)
+
+
+class _Shard:
+    """A shard that is being written."""
+
+    def __init__(self, fs: pyarrow.fs.FileSystem, folder: str, name: str, attempt: int):
+        self.fs, self.name = fs, name
+        self.stem = f"{folder}/{name}.{attempt}"
+        self.offsets, self.digest = [0], hashlib.sha256()
+        self.file = fs.open_output_stream(f"{self.stem}.bin.tmp")
+
+    def add(self, tokens: list[int]) -> None:
+        ids = np.array(tokens, dtype=np.int64)
+        if ids.size and (ids.min() < 0 or ids.max() > 65535):
+            raise ValueError("a token id doesn't fit 16 bits")
+        raw = ids.astype("<u2").tobytes()
+        self.file.write(raw)
+        self.digest.update(raw)
+        self.offsets.append(self.offsets[-1] + ids.size)
+
+    def entry(self) -> dict:
+        self.file.close()
+        index = np.array(self.offsets, dtype="<u8").tobytes()
+        with self.fs.open_output_stream(f"{self.stem}.idx.tmp") as f:
+            f.write(index)
+        return {"path": f"{self.name}.bin", "index": f"{self.name}.idx", "tokens": self.offsets[-1], "documents": len(self.offsets) - 1, "sha256": self.digest.hexdigest(), "index_sha256": hashlib.sha256(index).hexdigest(), "stem": self.stem}
 
 
 class ShardWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False, split: str = "train"):
+        self.path, self.overwrite, self.split, self.job = path, overwrite, split, uuid.uuid4().hex[:12]
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         fs, folder = _open(self.path)
         fs.create_dir(folder, recursive=True)
-        shard = f"part-{TaskContext.get().partitionId():05d}"
-        stem = f"{folder}/{shard}.{TaskContext.get().taskAttemptId()}"
-        offsets = [0]
-        with fs.open_output_stream(f"{stem}.bin.tmp") as f:
-            for row in iterator:
-                ids = np.array(row["tokens"], dtype=np.int64)
-                if ids.size and (ids.min() < 0 or ids.max() > 65535):
-                    raise ValueError("a token id doesn't fit 16 bits")
-                f.write(ids.astype("<u2").tobytes())
-                offsets.append(offsets[-1] + ids.size)
-        with fs.open_output_stream(f"{stem}.idx.tmp") as f:
-            f.write(np.array(offsets, dtype="<u8").tobytes())
-        return Written(shard, len(offsets) - 1, offsets[-1], [f"{stem}.bin.tmp", f"{stem}.idx.tmp"])
+        context, open_ = TaskContext.get(), {}
+        for row in iterator:
+            source = row["source_id"]
+            if source not in open_:
+                if not re.fullmatch(r"[A-Za-z0-9_.-]+", source or "") or ".." in source:
+                    raise ValueError(f"a source id must be made of letters, digits, '_', '.' and '-': {source!r}")
+                open_[source] = _Shard(fs, folder, f"{source}-{self.split}-{self.job}-{context.partitionId():05d}", context.taskAttemptId())
+            open_[source].add(row["tokens"] or [])
+        return Written([{"source_id": s, "split": self.split} | x.entry() for s, x in open_.items()])
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        """Rename every shard, then write the manifest last: a folder with one is complete."""
+        """Rename every shard, write the manifest, and only then remove what an overwrite replaces. Names hold the job, so no
+        shard of another write is touched; an interrupted write leaves the manifest before it in force."""
         fs, folder = _open(self.path)
-        done = [m for m in messages if m is not None]
-        for m in done:
-            for name in m.names:
-                if m.documents:
-                    fs.move(name, f"{folder}/{m.shard}.{name.split('.')[-2]}")
-                else:
-                    fs.delete_file(name)
-        shards = [{"path": f"{m.shard}.bin", "index": f"{m.shard}.idx", "tokens": m.tokens, "documents": m.documents} for m in done if m.documents]
-        with fs.open_output_stream(f"{folder}/manifest.json.tmp") as f:
-            f.write(json.dumps({"schema_version": 1, "format": "document-indexed-uint16-shards", "shards": shards}).encode())
-        fs.move(f"{folder}/manifest.json.tmp", f"{folder}/manifest.json")
+        fs.create_dir(folder, recursive=True)
+        before = (manifest_of(self.path) or {"shards": []})["shards"]
+        new = []
+        for m in messages:
+            for s in m.shards if m is not None else ():
+                stem = s.pop("stem")
+                fs.move(f"{stem}.bin.tmp", f"{folder}/{s['path']}")
+                fs.move(f"{stem}.idx.tmp", f"{folder}/{s['index']}")
+                new.append(s)
+        new.sort(key=lambda s: s["path"])
+        listed = new if self.overwrite else [*before, *new]
+        if not listed and not before and not messages:
+            return
+        with fs.open_output_stream(f"{folder}/{MANIFEST}.{self.job}.tmp") as f:
+            f.write(json.dumps({"schema_version": 1, "format": FORMAT, "shards": listed}, ensure_ascii=False, sort_keys=True).encode())
+        fs.move(f"{folder}/{MANIFEST}.{self.job}.tmp", f"{folder}/{MANIFEST}")
+        for s in before if self.overwrite else ():
+            for name in (s["path"], s["index"]):
+                if fs.get_file_info(f"{folder}/{safe_path(name)}").type != pyarrow.fs.FileType.NotFound:
+                    fs.delete_file(f"{folder}/{name}")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        fs, _ = _open(self.path)
-        for m in messages:
-            for name in m.names if m is not None else ():
-                fs.delete_file(name)
+        """Remove all files of this job, those of failed tasks too."""
+        fs, folder = _open(self.path)
+        for i in fs.get_file_info(pyarrow.fs.FileSelector(folder, allow_not_found=True)):
+            if f"-{self.job}-" in i.base_name:
+                fs.delete_file(i.path)
+
+
+def write_shards(df: DataFrame, path: str, split: str = "train", mode: str = "append") -> None:
+    """Write (source_id, doc_seq, tokens) with each source's documents in order of doc_seq within a shard.
+
+    Rows are dealt by range of source and document, so that a large source is many shards. Without rows there is nothing to train
+    on, which is an error.
+    """
+    if df.isEmpty():
+        raise ValueError("there are no documents to write")
+    df.sparkSession.dataSource.register(ShardSource)
+    ordered = df.select("source_id", "doc_seq", "tokens").repartitionByRange("source_id", "doc_seq").sortWithinPartitions("source_id", "doc_seq")
+    ordered.write.format("token_shards").option("split", split).mode(mode).save(path)

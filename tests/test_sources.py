@@ -4,7 +4,7 @@ import json
 import numpy as np
 import pytest
 
-from millrace.sources import text_files
+from millrace.sources import shards, text_files
 from millrace.sources.shards import ShardSource
 from millrace.streaming import packer
 
@@ -45,6 +45,49 @@ def test_shards_come_back(spark, tmp_path):
         back.collect()
 
 
+def tokens_of(spark, path):
+    return sorted(tuple(r.tokens) for r in spark.read.format("token_shards").load(path).collect())
+
+
+def test_appends_add_and_overwrites_replace(spark, tmp_path):
+    spark.dataSource.register(ShardSource)
+    schema, out = "source_id string, doc_seq long, tokens array<int>", str(tmp_path / "out")
+    first = spark.createDataFrame([("s", k, [k]) for k in range(6)], schema)
+    shards.write_shards(first, out)
+    shards.write_shards(first, out)
+    assert tokens_of(spark, out) == sorted((k,) for k in [*range(6)] * 2)
+    first.repartition(3).write.format("token_shards").mode("overwrite").save(out)
+    first.coalesce(1).write.format("token_shards").mode("overwrite").save(out)
+    assert tokens_of(spark, out) == [(k,) for k in range(6)]
+    listed = json.loads((tmp_path / "out/manifest.json").read_text())["shards"]
+    assert {p.name for p in (tmp_path / "out").glob("*.bin")} == {s["path"] for s in listed} and all(s["source_id"] == "s" and len(s["sha256"]) == 64 for s in listed)
+    with pytest.raises(ValueError, match="no documents"):
+        shards.write_shards(first.limit(0), out)
+
+
+def test_documents_keep_their_order_within_a_source(spark, tmp_path):
+    rows = [(s, k, [k]) for k in range(30, 0, -1) for s in "ab"]
+    shards.write_shards(spark.createDataFrame(rows, "source_id string, doc_seq long, tokens array<int>"), str(tmp_path / "out"), "validation")
+    found = spark.read.format("token_shards").option("split", "validation").load(str(tmp_path / "out")).collect()
+    for shard in {r.shard for r in found}:
+        own = [r.tokens[0] for r in sorted((r for r in found if r.shard == shard), key=lambda r: r.doc_seq)]
+        assert own == sorted(own)
+    assert spark.read.format("token_shards").option("split", "train").load(str(tmp_path / "out")).count() == 0
+
+
+def test_wrong_counts_and_paths_are_refused(spark, tmp_path):
+    spark.dataSource.register(ShardSource)
+    for name in ("../x.bin", "/x.bin", "", "a/../../x", "file://x"):
+        with pytest.raises(ValueError):
+            shards.safe_path(name)
+    shards.write_shards(spark.createDataFrame([("s", 0, [1, 2])], "source_id string, doc_seq long, tokens array<int>"), str(tmp_path / "out"))
+    m = json.loads((tmp_path / "out/manifest.json").read_text())
+    m["shards"][0]["tokens"] = 3
+    (tmp_path / "out/manifest.json").write_text(json.dumps(m))
+    with pytest.raises(Exception, match="the manifest 3"):
+        spark.read.format("token_shards").load(str(tmp_path / "out")).collect()
+
+
 def test_ids_beyond_16_bits_are_refused(spark, tmp_path):
     spark.dataSource.register(ShardSource)
     with pytest.raises(Exception):
