@@ -65,8 +65,11 @@ def spans(hits: DataFrame, samples: int | None = SCREEN) -> DataFrame:
     unit = F.when(F.col("script") == "cjk", T.CHAR_GRAM).otherwise(T.WORD_GRAM)
     least = F.when(F.col("script") == "cjk", T.MIN_SPAN_CHARS).otherwise(T.MIN_SPAN_WORDS)
     w = Window.partitionBy("doc_id", "script").orderBy("pos")
-    islands = hits.withColumn("island", F.col("pos") - F.row_number().over(w)).groupBy("doc_id", "script", "island").agg(F.count("*").alias("run"), F.collect_set("gram").alias("g"))
-    per = islands.groupBy("doc_id", "script").agg(F.max("run").alias("run"), F.size(F.array_distinct(F.flatten(F.collect_list("g")))).cast("long").alias("distinct"))
+    islands = hits.withColumn("island", F.col("pos") - F.row_number().over(w))
+    grouped = islands.groupBy("doc_id", "script", "gram", "island").agg(F.count("*").alias("n"))  # of a gram: counted, not gathered
+    runs = grouped.groupBy("doc_id", "script", "island").agg(F.sum("n").alias("run")).groupBy("doc_id", "script").agg(F.max("run").alias("run"))
+    distinct = grouped.groupBy("doc_id", "script").agg(F.countDistinct("gram").alias("distinct"))
+    per = runs.join(distinct, ["doc_id", "script"])
     per = per.withColumn("span", F.col("run") + unit - 1).where((F.col("distinct") >= T.MIN_DISTINCT) & (F.col("span") >= least))
     if samples is not None:
         per = per.join(screened(hits, samples).where("screened"), "doc_id", "left_semi")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .packing import blocks_of, running
+
 COVERAGE_STEPS = 100
 #: Draws made at once.
 BLOCK = 1 << 16
@@ -92,7 +94,8 @@ def schedule(spark: SparkSession, sources: DataFrame, seed: int, chunks: int) ->
     u = drawn(spark, seed, chunks)
     point = F.col("u") * F.col("total")
     picked = u.join(F.broadcast(bounds), (point >= F.col("low")) & ((point < F.col("upto")) | F.col("last")))  # bounds: a row per source
-    return picked.select("chunk_id", "source_id", (F.row_number().over(Window.partitionBy("source_id").orderBy("chunk_id")) - 1).cast("long").alias("rank"))
+    ranked = running(picked.select("chunk_id", "source_id"), ("source_id",), ("chunk_id",), blocks_of(F.col("chunk_id")), F.lit(1), "upto")
+    return ranked.select("chunk_id", "source_id", (F.col("upto") - 1).cast("long").alias("rank"))
 
 
 def portable_order(seed: int) -> Column:
@@ -101,13 +104,16 @@ def portable_order(seed: int) -> Column:
 
 
 def streams(lengths: DataFrame, plan: DataFrame, chunk: int, order: Column) -> DataFrame:
-    """(source_id, epoch, doc_seq, start, end): documents in as many epochs as the plan needs, with their place in the stream."""
+    """(source_id, epoch, doc_seq, start, end): documents in as many epochs as the plan needs, with their place in the stream.
+
+    order gives strings; their first three characters cut a source's documents into blocks that are summed up one by one.
+    """
     per = lengths.groupBy("source_id").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
     needed = plan.groupBy("source_id").agg((F.max("rank") + 1).alias("n")).join(per, "source_id")
     epochs = needed.select("source_id", "tokens", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") * chunk - 1) / F.col("tokens")).cast("int"))).alias("epoch"))
     ordered = lengths.join(epochs, "source_id").withColumn("__order", order)
-    end = F.sum("n_tokens").over(Window.partitionBy("source_id", "epoch").orderBy("__order", "doc_seq").rowsBetween(Window.unboundedPreceding, 0))
-    placed = ordered.withColumn("end", end + F.col("epoch") * F.col("tokens"))
+    summed = running(ordered, ("source_id", "epoch"), ("__order", "doc_seq"), F.substring("__order", 1, 3), F.col("n_tokens"), "end")
+    placed = summed.withColumn("end", F.col("end") + F.col("epoch") * F.col("tokens"))
     return placed.select("source_id", "epoch", "doc_seq", (F.col("end") - F.col("n_tokens")).alias("start"), "end")
 
 

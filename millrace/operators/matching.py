@@ -20,6 +20,8 @@ RULES = {
 #: Benchmarks that are replaced by their parts, and the parts' columns.
 PARTS = {"gsm8k": ("question", "answer"), "humaneval": ("prompt", "solution"), "mbpp": ("prompt", "solution")}
 SHOWN = 300
+#: Records too short for a gram that are tried as substrings (of under 20 characters or 13 words each).
+SHORT_RECORDS = 10_000
 
 
 def rules(spark: SparkSession, table: dict[str, tuple[float, float, int, bool]] = RULES) -> DataFrame:
@@ -74,15 +76,26 @@ def analyse(df: DataFrame, recs: DataFrame, table: DataFrame, id_: str = "doc_id
         .withColumn("contaminated", decided)
     )
     columns = ["doc_id", "record_id", "benchmark", "record_chars", "record_ngrams", "matched", "coverage", F.col("run").alias("contiguous_ngrams"), "contiguous_units", "contiguous_fraction", "substring", "matched_text", "contaminated"]
-    return full.select(*columns).unionByName(short_records(docs, facts))
+    found, short = full.select(*columns), short_keys(facts)
+    return found if short.isEmpty() else found.unionByName(short_records(docs, short))
 
 
-def short_records(docs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Records without grams inside documents with grams. There is no key to join on: few records, tried against each document."""
-    key = facts.where("record_ngrams = 0 and allow_substring").where(F.col("record_chars") >= T.MIN_SUBSTRING_KEY).select("record_id", "benchmark", "key", "record_chars")
+def short_keys(facts: DataFrame) -> DataFrame:
+    """Records without grams that count as substrings."""
+    return facts.where("record_ngrams = 0 and allow_substring").where(F.col("record_chars") >= T.MIN_SUBSTRING_KEY).select("record_id", "benchmark", "key", "record_chars")
+
+
+def short_records(docs: DataFrame, key: DataFrame) -> DataFrame:
+    """Records without grams inside documents with grams, from their short_keys.
+
+    There is no key to join on, so the records, a stated set of at most SHORT_RECORDS, are tried against each document; more are
+    refused.
+    """
+    if key.limit(SHORT_RECORDS + 1).count() > SHORT_RECORDS:
+        raise ValueError(f"more than {SHORT_RECORDS} records without grams to look for as substrings")
     some = (F.char_length(T.chars_of(F.col("nfkc"))) >= T.CHAR_GRAM) | (F.size(T.words_of(F.col("nfkc"))) >= T.WORD_GRAM)
     text = docs.where(some).select("doc_id", T.chars_of(F.col("nfkc")).alias("c"), F.array_join(T.words_of(F.col("nfkc")), " ").alias("w"))
-    found = text.join(key, F.col("c").contains(F.col("key")) | F.col("w").contains(F.col("key")))
+    found = text.join(F.broadcast(key), F.col("c").contains(F.col("key")) | F.col("w").contains(F.col("key")))
     zero, one, yes = F.lit(0).cast("long"), F.lit(1.0), F.lit(True)
     return found.select("doc_id", "record_id", "benchmark", "record_chars", zero.alias("record_ngrams"), zero.alias("matched"), one.alias("coverage"), zero.alias("contiguous_ngrams"), zero.alias("contiguous_units"), one.alias("contiguous_fraction"), yes.alias("substring"), F.lit(None).cast("string").alias("matched_text"), yes.alias("contaminated"))
 

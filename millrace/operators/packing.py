@@ -12,6 +12,8 @@ from millrace.functions import text as T
 # Size of the vocabulary, end of document, first id that isn't special.
 VOCABULARY, EOD, FIRST = 49_152, 4, 5
 MAJOR_SHARE = 0.01
+#: Documents or chunks that are sorted together.
+BLOCK = 1 << 16
 
 
 def hashed_words(text: Column) -> Column:
@@ -28,10 +30,38 @@ def tokenised(df: DataFrame, source: str, seq: str, text: str, tokenizer: Callab
     return rows.withColumn("tokens", F.when(ok, F.col("tokens")).otherwise(F.raise_error(F.lit("a token id doesn't fit 16 bits")))).withColumn("n_tokens", F.size("tokens").cast("long"))
 
 
-def offsets(lengths: DataFrame, by: tuple[str, ...] = ("source_id",), order: tuple[str, ...] = ("doc_seq",), n: str = "n_tokens") -> DataFrame:
-    """lengths plus start and end of each document in its source, in document order."""
-    total = F.sum(n).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return lengths.withColumn("end", total).withColumn("start", F.col("end") - F.col(n))
+def hashed_lengths(df: DataFrame, source: str, seq: str, text: str) -> DataFrame:
+    """(source_id, doc_seq, n_tokens) as tokenised gives them with the built-in tokenizer, without making a token."""
+    n = F.regexp_count(F.col(text), F.lit("[^ \\n\\t\\r]+")).cast("long") + 1
+    return df.where((F.col(text) != "") & F.col(text).isNotNull()).select(T.safe_source_id(F.col(source)).alias("source_id"), F.col(seq).alias("doc_seq"), n.alias("n_tokens"))
+
+
+def running(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], block: Column, n: Column, name: str) -> DataFrame:
+    """df plus name, the running sum of n within by, in the given order.
+
+    block cuts the order into stretches: a column that never falls along it. Sums of blocks are added up first, a row for each,
+    so that no task sorts more than a block however large a group is. Columns of by aren't null.
+    """
+    keyed = df.withColumn("__block", block)
+    sums = keyed.groupBy(*by, "__block").agg(F.sum(n).alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(*by, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy(*by, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return keyed.join(bases, [*by, "__block"]).withColumn(name, F.sum(n).over(inside) + F.col("__base")).drop("__block", "__base")
+
+
+def blocks_of(number: Column, size: int = BLOCK) -> Column:
+    """Stretches of so many whole numbers; nulls, which sort first, are one before all others."""
+    return F.coalesce(F.floor(number / size), F.lit(-(1 << 62)))
+
+
+def offsets(lengths: DataFrame, by: tuple[str, ...] = ("source_id",), order: tuple[str, ...] = ("doc_seq",), n: str = "n_tokens", block: Column | None = None) -> DataFrame:
+    """lengths plus start and end of each document in its source, in document order.
+
+    block is needed where the first column of the order isn't a number, see running.
+    """
+    summed = running(lengths, by, order, blocks_of(F.col(order[0])) if block is None else block, F.col(n), "end")
+    return summed.withColumn("start", F.col("end") - F.col(n))
 
 
 def shard_totals(lengths: DataFrame, split: Column) -> DataFrame:

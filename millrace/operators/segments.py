@@ -11,11 +11,18 @@ IGNORED = -100
 
 
 def packed_rows(tokens: DataFrame, length: int) -> DataFrame:
-    """(source_id, row, pos, token): each source's documents (tokens, start) on end, cut into full rows of so many tokens."""
-    flat = tokens.select("source_id", "start", F.posexplode("tokens").alias("i", "token")).withColumn("at", F.col("start") + F.col("i"))
-    full = tokens.groupBy("source_id").agg(F.max("end").alias("n")).select("source_id", F.floor(F.col("n") / length).alias("rows"))
-    rows = flat.select("source_id", F.floor(F.col("at") / length).alias("row"), (F.col("at") % length).alias("pos"), "token")
-    return rows.join(F.broadcast(full), "source_id").where("row < rows").select("source_id", "row", "pos", "token")  # full: a row per source
+    """(source_id, row, pos, token): each source's documents (tokens, start, end) on end, cut into full rows of so many tokens.
+
+    Documents are cut at row boundaries and travel as arrays; a row is put together from at most length pieces. The result is
+    dealt by (source_id, row), so windows over a row need no shuffle of their own.
+    """
+    row = F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((F.col("end") - 1) / length)))
+    touched = tokens.where("end > start").select("source_id", "start", "end", "tokens", row.alias("row"))
+    low, high = F.greatest("start", F.col("row") * length), F.least("end", (F.col("row") + 1) * length)
+    piece = F.struct(low.alias("at"), F.slice("tokens", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("tokens"))
+    rows = touched.select("source_id", "row", piece.alias("piece")).groupBy("source_id", "row").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    whole = rows.select("source_id", "row", F.flatten(F.col("pieces.tokens")).alias("tokens")).where(F.size("tokens") == length)
+    return whole.select("source_id", "row", F.posexplode("tokens").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def _row(keys: tuple[str, ...]):
@@ -55,6 +62,16 @@ def mask_pairs(rows: DataFrame, keys: tuple[str, ...] = ("source_id", "row"), eo
     return q.join(k, [*keys, "segment"]).where("k <= q").select(*keys, "q", "k")
 
 
+def mask_sizes(rows: DataFrame, keys: tuple[str, ...] = ("source_id", "row"), eod: int = EOD) -> DataFrame:
+    """(keys, pairs, keys_sum): the number of pairs that mask_pairs lists for each row and the sum of their k, in closed form.
+
+    A segment of n positions from a on has n (n + 1) / 2 pairs, and position a + i is the k of n - i of them.
+    """
+    s = with_segments(rows, keys, eod).groupBy(*keys, "segment").agg(F.count("*").alias("n"), F.min("pos").alias("a"))
+    pairs = F.expr("n * (n + 1) div 2")
+    return s.groupBy(*keys).agg(F.sum(pairs).alias("pairs"), F.sum(F.col("a") * pairs + F.expr("(n - 1) * n * (n + 1) div 6")).alias("keys_sum"))
+
+
 def lagged_sum(rows: DataFrame, value: str, weights: list[float], keys: tuple[str, ...] = ("source_id", "row"), eod: int = EOD) -> DataFrame:
     """rows plus lagged: sum over lags of weight times the value so many positions before, 0 across segments."""
     w = _row(keys)

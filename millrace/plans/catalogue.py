@@ -159,7 +159,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens(spark, sf_dir).select("source_id", "doc_seq", "n_tokens")
+    return packing.hashed_lengths(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
 
 
 @query
@@ -301,7 +301,7 @@ def cu_seqlens(spark, sf_dir):
 
 @query
 def document_mask(spark, sf_dir):
-    return segments.mask_pairs(rows(spark, sf_dir)).groupBy("source_id", "row").agg(F.count("*").alias("pairs"), F.sum("k").alias("keys"))
+    return segments.mask_sizes(rows(spark, sf_dir)).withColumnRenamed("keys_sum", "keys")
 
 
 @query

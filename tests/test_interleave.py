@@ -100,6 +100,8 @@ def test_segments_never_cross_an_end_of_document(spark):
     assert [r.target for r in segments.triples(rows).orderBy("pos").collect()] == [7, 4, -100, -100, 4, -100]
     assert [r.offset for r in segments.cu_seqlens(rows, 8).orderBy("offset").collect()] == [0, 4, 7, 8]
     assert segments.mask_pairs(rows).count() == 10 + 6 + 1
+    listed = segments.mask_pairs(rows).groupBy("source_id", "row").agg(F.count("*").alias("pairs"), F.sum("k").alias("keys_sum"))
+    assert sorted(map(tuple, segments.mask_sizes(rows).collect())) == sorted(map(tuple, listed.collect()))
     assert segments.boundaries(rows).first().boundaries == 2
 
 
