@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Largest Arrow batch handed to a Python worker. Bounds worker memory when texts are long.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 #: Spark's setting that removes shuffle files at the end of a query.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
