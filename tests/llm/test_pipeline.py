@@ -45,7 +45,10 @@ def test_stages_keep_the_columns(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = docs.withColumns({c: F.lit(c) for c in ("n_words", "kept", "rule", "matches", "spans", "blob", "node", "place", "__text")})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.dtypes == docs.dtypes
+        more = stage(spark, odd, str(tmp_path))
+        assert more.dtypes == odd.dtypes and more.count() == out.count()
         assert stage(spark, docs.where(F.lit(False)), str(tmp_path)).collect() == []

@@ -150,3 +150,64 @@ def test_names_of_the_page_and_the_article_mark_no_noise():
     assert html_text.extract(two) == f"{text.strip()}\n\n{text.strip()}"  # all would be noise
     comments = f"<div class='comments'>{f'<p>{text}</p>' * 5}</div>"
     assert html_text.extract(f"<article><h1>Title of it</h1><p>{text}</p></article>{comments}") == f"Title of it\n\n{text.strip()}"
+
+
+def test_pages_keep_articles_under_common_names_and_without_a_closed_head():
+    text = "Long enough a paragraph of the article that it stands out from all the rest of the page. " * 3
+    for page in (
+        f"<html><body class='single has-sidebar'><article><p>{text}</p></article></body></html>", f"<body class='no-comments'><p>{text}</p></body>",
+        f"<body><article class='category-social'><p>{text}</p></article></body>", f"<head><title>T</title><body><p>{text}</p></body>",
+    ):
+        assert html_text.extract(page) == text.strip(), page
+    two = f"<main><article><p>{text}</p></article><article><p>{text} more</p></article></main>"
+    assert html_text.extract(two) == f"{text.strip()}\n\n{' '.join(text.split())} more"
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    began = time.time()
+    html_text.extract("<div>" * 100_000 + "text" + "</div>" * 100_000)
+    html_text.extract("<div class=ad>x" * 20_000)
+    assert time.time() - began < 30
+
+
+def test_pages_through_spark(spark):
+    rows = [(1, None, "u"), (2, "<p>a", "u"), (2, "<p>a", "u"), (3, "", None)]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string")
+    found = sorted(map(tuple, html_text.extract_text(df, ["page_id", "text"]).collect()), key=str)
+    assert found == [(1, "u", "", 0), (2, "u", "a", 1), (2, "u", "a", 1), (3, None, "", 0)]
+    assert html_text.extract_text(df, ["page_id", "text"]).columns == ["page_id", "input_text", "text", "n_chars"]
+    assert html_text.extract_text(df.limit(0), ["page_id"]).collect() == []
+
+
+def test_many_secrets_in_a_text(spark):
+    text = "é " + "token=abcdefgh " * 3000
+    df = spark.createDataFrame([(1, text, "b"), (2, None, "b")], "doc_id long, text string, blob string")
+    found = secrets.findings(df, secrets.update(df, None), ["doc_id", "blob", "text"])
+    rows = {r.doc_id: r for r in secrets.digests(found, ["doc_id", "input_blob"]).collect()}
+    assert rows[1].n_assign == 3000 and rows[1].spans.endswith(f"assign:{2 + 15 * 2999}:{2 + 15 * 2999 + 14}") and rows[1].input_blob == "b" and rows[2].n_assign == 0
+    assert found.where("doc_id = 1").select(secrets.redacted(F.col("text"), F.col("spans"))).first()[0] == "é " + "[assign] " * 3000
+    assert secrets.findings(df.limit(0), secrets.update(df.limit(0), None), ["doc_id"]).collect() == []
+
+
+def brute_leaks(docs, items, least=5, threshold=0.5):
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    out = []
+    for d, t in docs:
+        for i, x in items:
+            n = len(words(x))
+            if n >= least and brute_tiles(words(t), words(x), least) >= threshold * n:
+                out.append((d, i))
+    return sorted(out, key=str)
+
+
+def test_leaks_equal_brute_force_on_repeated_passages(spark):
+    import random
+
+    r = random.Random(11)
+    phrases = [" ".join(f"w{r.randrange(12)}" for _ in range(r.choice((5, 6, 8)))) for _ in range(6)]
+    items = [(i, " ".join(r.choice([*phrases, f"x{r.randrange(9)} y"]) for _ in range(r.randrange(2, 6)))) for i in range(15)]
+    docs = [(d, " ".join(r.choice([*phrases, f"u{r.randrange(9)}", "v w u"]) for _ in range(r.randrange(1, 9)))) for d in range(40)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(((x.doc_id, x.item_id) for x in dc.leaks(d, b).collect()), key=str) == brute_leaks(docs, items)

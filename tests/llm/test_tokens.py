@@ -97,3 +97,25 @@ def test_shards_hold_every_sequence_once(spark, tmp_path):
 
 def test_no_rows_no_shards(spark):
     assert training_order.training_order(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("text", ["a" + " " * 1_000_000 + "b", "a" + "\n" * 1_000_000, "a" * 1_000_000, "\u0301" * 1_000_000, ("a" + " " * 1500) * 100])
+def test_runs_of_a_million_characters(text):
+    c = bpe.coder(public_tokenizers.path(bpe.RANKS))
+    assert c.decode(c.encode(text)) == text.encode()
+
+
+def test_runs_are_cut_where_the_pattern_would():
+    c = bpe.coder(public_tokenizers.path(bpe.RANKS))
+    for k in (999, 1000, 1001, 2000):
+        for end in ("b", "\nb", "", "!", " b"):
+            for space in (" ", "\n", "\t "):
+                t = "x" + (space * k)[:k] + end
+                assert c.encode(t) == c.library.encode_ordinary(t)
+
+
+def test_kept_columns_named_as_results(spark):
+    df = spark.createDataFrame([(1, "a b", "mine")], "doc_id long, text string, n_tokens string")
+    for f in (bpe.encode, token_counts.prefix_counts):
+        row = f(df, ["doc_id", "n_tokens"]).collect()[0]
+        assert row.input_n_tokens == "mine" and row.n_tokens == 2
