@@ -88,7 +88,7 @@ def source_weights(shards: DataFrame) -> DataFrame:
 
 def manifest_rows(shards: DataFrame, weights: DataFrame) -> DataFrame:
     """(source_id, weight, major, shards array) as a manifest lists them."""
-    lists = shards.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("path", "tokens", "documents"))).alias("shards"))
+    lists = shards.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("path", F.regexp_replace("path", r"\.bin$", ".idx").alias("index"), "tokens", "documents"))).alias("shards"))
     return weights.join(lists, "source_id").select("source_id", "weight", "major", "shards")
 
 

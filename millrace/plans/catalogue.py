@@ -12,7 +12,8 @@ from millrace.functions import text as T
 from millrace.operators import contamination as C
 from millrace.operators import contracts, interleave, matching, metrics, packing, segments
 from millrace.plans import oracles
-from millrace.plans.settings import BENCHMARK, CHUNK, CHUNKS, LENGTH, MTP_WEIGHTS, SEED, STEP
+from millrace.plans.settings import BENCHMARK, CHUNK, CHUNKS, COVERAGE_STEPS, LENGTH, MTP_WEIGHTS, RECENT, SEED, STEP, VALID
+from millrace.sources import manifests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL = oracles.SQL
@@ -211,6 +212,34 @@ def legacy_source(spark, sf_dir):
     return shards(spark, sf_dir).select("path", T.legacy_source_id(F.col("path"), "train").alias("source_id"))
 
 
+def manifest(spark: SparkSession, sf_dir: str, interleaved: bool = False) -> DataFrame:
+    """The packed corpus's manifest as one row, by way of its JSON. A row per shard is gathered, none per document."""
+    s = shards(spark, sf_dir)
+    entry = F.struct("path", F.regexp_replace("path", r"\.bin$", ".idx").alias("index"), "tokens", "documents", "source_id")
+    splits = s.groupBy("split").agg(F.struct(F.sum("tokens").alias("tokens"), F.sum("documents").alias("documents"), F.array_sort(F.collect_list(entry)).alias("shards")).alias("v"))
+    declared = s.where("split = 'validation' and documents % 2 = 0").agg(F.map_from_entries(F.collect_list(F.struct("source_id", F.col("documents").cast("double")))).alias("validation_source_weights"))
+    row = splits.agg(F.map_from_entries(F.collect_list(F.struct("split", "v"))).alias("splits")).join(declared, F.lit(True))  # one row each
+    if interleaved:
+        sources = packing.manifest_rows(s, packing.source_weights(s))
+        row = row.join(sources.agg(F.struct(F.array_sort(F.collect_list(F.struct("source_id", "weight", "major", "shards"))).alias("sources")).alias("interleave")), F.lit(True))
+    return manifests.read(row.withColumn("format", F.lit(manifests.FORMAT)).select(F.to_json(F.struct("*")).alias("value")))
+
+
+@query
+def manifest_legacy(spark, sf_dir):
+    return rounded(manifests.adapted(manifest(spark, sf_dir)).drop("place"), 9)
+
+
+@query
+def manifest_canonical(spark, sf_dir):
+    return rounded(manifests.adapted(manifest(spark, sf_dir, True)).drop("place"), 9)
+
+
+@query
+def manifest_validation(spark, sf_dir):
+    return manifests.validation_sources(manifest(spark, sf_dir))
+
+
 # Interleaving
 
 
@@ -257,7 +286,7 @@ def step_composition(spark, sf_dir):
 @query
 def major_coverage(spark, sf_dir):
     s = packing.source_weights(shards(spark, sf_dir))
-    return interleave.missing_majors(interleave.composition(plan(spark, sf_dir), CHUNK, STEP), s, 5)
+    return interleave.missing_majors(interleave.composition(plan(spark, sf_dir), CHUNK, STEP), s, COVERAGE_STEPS)
 
 
 @query
@@ -380,7 +409,7 @@ def weighted_validation(spark, sf_dir):
 def validation_nll(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     windows = e.groupBy(F.floor(F.col("event_id") / 500).alias("shard"), (F.floor(F.col("event_id") / 10) % 50).alias("window")).agg(F.sum(F.abs("value")).alias("loss_sum"), F.count("*").alias("valid"), F.max("event_id").alias("e"))
-    return rounded(metrics.validation_nll(windows.withColumn("source", F.concat(F.lit("s"), F.col("shard") % 4)), 4000), 5)
+    return rounded(metrics.validation_nll(windows.withColumn("source", F.concat(F.lit("s"), F.col("shard") % 4)), VALID), 5)
 
 
 @query
@@ -390,7 +419,7 @@ def steady_throughput(spark, sf_dir):
 
 @query
 def recent_records(spark, sf_dir):
-    return contracts.recent(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"], 5).select("user_id", "event_id")
+    return contracts.recent(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"], RECENT).select("user_id", "event_id")
 
 
 @query
@@ -416,10 +445,10 @@ def activations(spark, sf_dir):
 
 @query
 def compare_screen(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 7 < 5")
+    o = table(spark, sf_dir, "orders")
     arm = o.select(F.floor(F.col("o_orderkey") / 8).alias("pair"), (F.col("o_orderkey") % 2).alias("side"), "o_orderkey", "o_totalprice")
     arm = arm.groupBy("pair", "side").agg(F.max("o_orderkey").alias("k"), F.round(F.max("o_totalprice") / 1000, 0).alias("weighted_nll"))
-    status = F.when(F.col("k") % 11 == 0, "failed").otherwise("complete")
+    status = F.when(F.col("k") % 11 == 0, "failed").when(F.col("k") % 17 != 0, "complete")
     scope = F.when(F.col("k") % 13 == 0, "diagnostic").otherwise("full")
     arm = arm.select("pair", "side", status.alias("status"), scope.alias("scope"), (F.floor(F.col("pair") / 4) * 200_000 + 60_000_000).alias("tokens_done"), "weighted_nll").withColumn("validation_tokens_done", F.col("tokens_done"))
     return contracts.screen(arm.where("side = 0"), arm.where("side = 1"), ["pair"], ("normal", "routed"))
@@ -428,8 +457,8 @@ def compare_screen(spark, sf_dir):
 @query
 def contract_mismatch(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    left = o.where("o_orderkey % 3 != 0").select("o_orderkey", F.col("o_orderstatus").alias("v"))
-    right = o.where("o_orderkey % 5 != 0").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, F.lit("X")).otherwise(F.col("o_orderstatus")).alias("v"))
+    left = o.select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("v"))
+    right = o.select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, F.lit("X")).when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus")).alias("v"))
     return contracts.mismatches(left, right, ["o_orderkey"], "v")
 
 

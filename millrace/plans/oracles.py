@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from millrace.operators.interleave import draws
 from millrace.operators.matching import RULES
-from millrace.plans.settings import BENCHMARK, CHUNK, CHUNKS, LENGTH, MTP_WEIGHTS, SEED, STEP
+from millrace.plans.settings import BENCHMARK, CHUNK, CHUNKS, COVERAGE_STEPS, LENGTH, MTP_WEIGHTS, RECENT, SEED, STEP, VALID
 
 SQL: dict[str, str] = {}
 
@@ -120,6 +120,14 @@ SQL["manifest_violations"] = f"""
 WITH {WEIGHTS} SELECT source_id, 'weight isn''t finite and positive' AS violation FROM weights WHERE tokens % 3 = 0
 UNION ALL SELECT source_id, 'major isn''t given' FROM weights WHERE tokens % 5 = 0
 """
+SQL["manifest_legacy"] = f"""
+WITH {SHARDS}, t AS (SELECT *, tokens / sum(tokens) OVER () AS share FROM shards WHERE split = 'train')
+SELECT source_id, round(share, 9) AS weight, share >= 0.01 AS major, path, replace(path, '.bin', '.idx') AS index, tokens, documents, 'datamix_v2_filename_prefix_v1' AS adapter FROM t
+"""
+SQL["manifest_canonical"] = f"""
+WITH {WEIGHTS} SELECT source_id, round(share, 9) AS weight, share >= 0.01 AS major, path, replace(path, '.bin', '.idx') AS index, s.tokens, documents, 'canonical_interleave_v1' AS adapter FROM shards s JOIN weights USING (source_id)
+"""
+SQL["manifest_validation"] = f"WITH {SHARDS} SELECT source_id AS source, path, CASE WHEN documents % 2 = 0 THEN documents ELSE 1 END::DOUBLE AS weight FROM shards WHERE split = 'validation'"
 SQL["legacy_source"] = f"WITH {SHARDS} SELECT path, CASE WHEN path LIKE '%-train-00000.bin' THEN source_id ELSE string_split(path, '-')[1] END AS source_id FROM shards"
 
 _draws = ", ".join(f"({i}, {u!r}::DOUBLE)" for i, u in enumerate(draws(SEED, CHUNKS)))
@@ -150,7 +158,7 @@ STEPS = f"""{PLAN}, steps AS (
   FROM plan, range(0, {CHUNKS * CHUNK // STEP + 1}) AS r(step) WHERE chunk_id * {CHUNK} < (step + 1) * {STEP} AND step * {STEP} < (chunk_id + 1) * {CHUNK} GROUP BY ALL
 )"""
 SQL["step_composition"] = f"WITH {STEPS} SELECT step, source_id, tokens FROM steps"
-SQL["major_coverage"] = f"WITH {STEPS} SELECT source_id FROM weights WHERE share >= 0.01 AND source_id NOT IN (SELECT source_id FROM steps WHERE step < 5)"
+SQL["major_coverage"] = f"WITH {STEPS} SELECT source_id FROM weights WHERE share >= 0.01 AND source_id NOT IN (SELECT source_id FROM steps WHERE step < {COVERAGE_STEPS})"
 SQL["sequence_pieces"] = f"""
 WITH {STREAM}, s AS (SELECT *, chunk_id * {CHUNK} + chunk_offset AS place_ FROM pieces),
 t AS (SELECT *, unnest(range(place_ // 1024, (place_ + n_tokens - 1) // 1024 + 1)) AS seq_id FROM s)
@@ -231,10 +239,10 @@ WITH {MEASURED}, w AS (SELECT *, CASE WHEN length(source) % 2 = 0 THEN length(so
 SELECT round(sum(w * nll) / sum(w), 6) AS nll, round(sum(w * top1_accuracy) / sum(w), 6) AS top1_accuracy, round(sum(w * correct_token_margin) / sum(w), 6) AS correct_token_margin,
   round(sum(w * nll_p10) / sum(w), 6) AS nll_p10, round(sum(w * nll_p90) / sum(w), 6) AS nll_p90, sum(w) AS weight_sum, sum(tokens)::BIGINT AS tokens, round(exp(least(sum(w * nll) / sum(w), 20)), 6) AS perplexity FROM w
 """
-SQL["validation_nll"] = """
+SQL["validation_nll"] = f"""
 WITH w AS (SELECT event_id // 500 AS shard, event_id // 10 % 50 AS win, sum(abs(value)) AS loss_sum, count(*) AS valid FROM events GROUP BY ALL),
 r AS (SELECT *, sum(valid) OVER (ORDER BY shard, win) - valid AS before FROM w),
-p AS (SELECT 's' || shard % 4 AS source, sum(loss_sum) / sum(valid) AS nll, sum(valid) AS tokens FROM r WHERE before < 4000 GROUP BY ALL)
+p AS (SELECT 's' || shard % 4 AS source, sum(loss_sum) / sum(valid) AS nll, sum(valid) AS tokens FROM r WHERE before < {VALID} GROUP BY ALL)
 SELECT round(sum(tokens * nll) / sum(tokens), 5) AS weighted_nll, sum(tokens)::BIGINT AS validation_tokens, count(*) AS sources FROM p
 """
 SQL["steady_throughput"] = """
@@ -242,7 +250,7 @@ WITH n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER
 SELECT user_id, round(median(value) FILTER (k > 1), 6) AS steady_median, round(avg(value) FILTER (k > 1), 6) AS steady_mean, round(max(value), 6) AS peak, bool_and(value IS NOT NULL AND isfinite(value)) AS all_finite, count(*) AS steps,
   round(95 - max(value), 6) AS headroom, max(value) <= 95 AS within_limit FROM n GROUP BY ALL
 """
-SQL["recent_records"] = "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 5"
+SQL["recent_records"] = f"SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= {RECENT}"
 SQL["lr_schedule"] = """
 SELECT s::BIGINT AS step, round(CASE WHEN s < 200 THEN 3e-4 * (s + 1) / 200 ELSE 3e-5 + 0.5 * (3e-4 - 3e-5) * (1 + cos(pi() * greatest(0, least(1, (s - 200) / 2800)))) END, 10) AS lr FROM range(0, 4000, 7) AS r(s)
 """
@@ -251,14 +259,14 @@ SQL["activations"] = """
 SELECT event_id, round(4 * tanh(value / 50 / 4) / (1 + exp(-value / 50)), 5) AS gate, round(25 * tanh(value / 50 / 25), 5) AS softcap, round(exp(least(value / 50, 20)), 5) AS perplexity FROM events WHERE value IS NOT NULL
 """
 SQL["compare_screen"] = """
-WITH g AS (SELECT o_orderkey // 8 AS pair, o_orderkey % 2 AS side, max(o_orderkey) AS k, round(max(o_totalprice) / 1000, 0) AS nll FROM orders WHERE o_orderkey % 7 < 5 GROUP BY ALL),
-f AS (SELECT *, pair // 4 * 200000 + 60000000 AS tokens, CASE WHEN k % 11 = 0 THEN 'incomplete' WHEN k % 13 = 0 THEN 'no full validation' END AS fault FROM g),
+WITH g AS (SELECT o_orderkey // 8 AS pair, o_orderkey % 2 AS side, max(o_orderkey) AS k, round(max(o_totalprice) / 1000, 0) AS nll FROM orders GROUP BY ALL),
+f AS (SELECT *, pair // 4 * 200000 + 60000000 AS tokens, CASE WHEN k % 11 = 0 OR k % 17 = 0 THEN 'incomplete' WHEN k % 13 = 0 THEN 'no full validation' END AS fault FROM g),
 j AS (SELECT a.pair, a.tokens, a.nll AS x, b.nll AS y, coalesce(a.fault, b.fault, CASE WHEN a.tokens < 67108864 THEN 'too few tokens' END) AS fault FROM f a JOIN f b ON a.pair = b.pair AND a.side = 0 AND b.side = 1)
 SELECT pair, tokens AS tokens_per_arm, CASE WHEN fault IS NULL THEN CASE WHEN x = y THEN 'inconclusive' WHEN y < x THEN 'routed' ELSE 'normal' END END AS winner, fault FROM j
 """
 SQL["contract_mismatch"] = """
-WITH a AS (SELECT o_orderkey, o_orderstatus AS left_value FROM orders WHERE o_orderkey % 3 <> 0),
-b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS right_value FROM orders WHERE o_orderkey % 5 <> 0)
+WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS left_value FROM orders),
+b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS right_value FROM orders)
 SELECT o_orderkey, left_value, right_value FROM a FULL JOIN b USING (o_orderkey) WHERE left_value IS DISTINCT FROM right_value
 """
 SQL["retain_latest"] = """
