@@ -90,8 +90,12 @@ def exact_records(df: DataFrame, keys: DataFrame, id_: str = "doc_id", text: str
 
 def check_documents(df: DataFrame, recs: DataFrame, samples: int | None = SCREEN, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """Contaminated documents and why: an exact record first, else the longest span. Clean documents have no row."""
-    found = spans(grams.hits(df, index_grams(recs), id_, text), samples)
-    keys = exact_keys(recs)
+    return check_against(df, index_grams(recs), exact_keys(recs), samples, id_, text)
+
+
+def check_against(df: DataFrame, index: DataFrame, keys: DataFrame, samples: int | None = SCREEN, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """check_documents with an index that is at hand: its grams and exact keys."""
+    found = spans(grams.hits(df, index, id_, text), samples)
     if keys.isEmpty():
         return found
     exact = exact_records(df, keys, id_, text)

@@ -53,3 +53,22 @@ def recent(df: DataFrame, by: str, order: list[str], n: int = 100) -> DataFrame:
 def missing(expected: DataFrame, present: DataFrame, key: str) -> DataFrame:
     """Keys that are expected and not there."""
     return expected.select(key).distinct().join(present.select(key), key, "left_anti")
+
+
+def controlled_stops(steps: DataFrame, by: str, step: str, loss: str, tokens: str, keep: int = 100) -> DataFrame:
+    """Runs whose loss stops being finite, rolled back to the step before: what holds of the committed steps alone.
+
+    (by, status, step, tokens_done, resumable_checkpoint, recent_successful_steps): the last committed step (0 if there is none),
+    its tokens so far, the name of the diagnostic checkpoint, and the last keep committed steps. A null loss isn't finite; runs
+    without such a step have no row.
+    """
+    value = F.col(loss)
+    finite = F.coalesce(~F.isnan(value) & (F.abs(value) != float("inf")), F.lit(False))
+    bad = steps.where(~finite).groupBy(by).agg(F.min(step).alias("__bad"))
+    good = steps.join(bad, by).where(F.col(step) < F.col("__bad"))
+    done = good.groupBy(by).agg(F.max(step).alias("step"), F.sum(tokens).alias("tokens_done"))
+    last = recent(good.select(by, step), by, [step], keep).groupBy(by).agg(F.sort_array(F.collect_list(step)).alias("recent"))
+    at = F.coalesce("step", F.lit(0)).cast("long")
+    name = F.concat(F.lit("step_"), F.when(F.length(at.cast("string")) < 8, F.lpad(at.cast("string"), 8, "0")).otherwise(at.cast("string")), F.lit("_diagnostic"))
+    none = F.array().cast("array<long>")
+    return bad.join(done, by, "left").join(last, by, "left").select(by, F.lit("controlled_nonfinite_stop").alias("status"), at.alias("step"), F.coalesce("tokens_done", F.lit(0)).cast("long").alias("tokens_done"), name.alias("resumable_checkpoint"), F.coalesce(F.col("recent").cast("array<long>"), none).alias("recent_successful_steps"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -36,15 +36,18 @@ def parts(df: DataFrame) -> DataFrame:
     return whole.union(split.select("benchmark", F.explode(F.arrays_zip("p", "t")).alias("x")).select(F.concat_ws("_", "benchmark", "x.p"), "x.t"))
 
 
+def own_grams() -> Column:
+    """Grams of a record in its one granularity: characters for CJK text, else words."""
+    return F.when(F.col("cjk"), T.char_grams(F.col("nfkc"))).otherwise(T.word_grams(F.col("nfkc")))
+
+
 def record_grams(recs: DataFrame) -> DataFrame:
-    """(record_id, pos, gram) in the one granularity of each record: characters for CJK text, else words."""
-    g = F.when(F.col("cjk"), T.char_grams(F.col("nfkc"))).otherwise(T.word_grams(F.col("nfkc")))
-    return recs.select("record_id", F.when(F.col("cjk"), "cjk").otherwise("latin").alias("script"), F.posexplode(g).alias("pos", "gram"))
+    """(record_id, script, pos, gram) in the one granularity of each record."""
+    return recs.select("record_id", F.when(F.col("cjk"), "cjk").otherwise("latin").alias("script"), F.posexplode(own_grams()).alias("pos", "gram"))
 
 
 def record_facts(recs: DataFrame) -> DataFrame:
-    g = F.when(F.col("cjk"), T.char_grams(F.col("nfkc"))).otherwise(T.word_grams(F.col("nfkc")))
-    return recs.select("record_id", "benchmark", "cjk", "key", F.char_length("key").cast("long").alias("record_chars"), F.size(g).cast("long").alias("record_ngrams"), T.chars_of(F.col("nfkc")).alias("chars"), T.words_of(F.col("nfkc")).alias("words"))
+    return recs.select("record_id", "benchmark", "cjk", "key", F.char_length("key").cast("long").alias("record_chars"), F.size(own_grams()).cast("long").alias("record_ngrams"), T.chars_of(F.col("nfkc")).alias("chars"), T.words_of(F.col("nfkc")).alias("words"))
 
 
 def analyse(df: DataFrame, recs: DataFrame, table: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:

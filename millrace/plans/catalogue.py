@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import maths
+from millrace.functions import maths, options
 from millrace.functions import text as T
 from millrace.operators import contamination as C
 from millrace.operators import contracts, interleave, matching, metrics, packing, segments
 from millrace.plans import oracles
 from millrace.plans.settings import BENCHMARK, CHUNK, CHUNKS, COVERAGE_STEPS, LENGTH, MTP_WEIGHTS, RECENT, SEED, STEP, VALID
-from millrace.sources import manifests
+from millrace.sources import benchmarks, indexes, manifests
+from millrace.sources.folders import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL = oracles.SQL
@@ -152,6 +153,73 @@ def part_selection(spark, sf_dir):
     return matching.parts(named).groupBy("benchmark").agg(F.count("*").alias("records"), F.sum(F.char_length("text")).alias("chars"))
 
 
+def examples(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Tables like the benchmarks' files, each field a few words of a record."""
+    words = table(spark, sf_dir, "benchmark").select(F.split("text", " ").alias("w"))
+
+    def cut(i: int) -> Column:
+        return F.array_join(F.slice("w", 4 * i + 1, 4), " ")
+
+    def fields(*names: str) -> DataFrame:
+        return words.select(*(cut(i).alias(n) for i, n in enumerate(names)))
+
+    def tagged(tag: str, i: int) -> Column:
+        return F.concat(F.lit(f"<{tag}> "), F.regexp_replace(cut(i), "[^A-Za-z ]", ""), F.lit(f" </{tag}>"))
+
+    def answer(i: int) -> Column:
+        return F.struct(cut(i).alias("text"))
+
+    asked = F.struct(cut(1).alias("question"), F.array(answer(2), answer(3)).alias("answers"))
+    article = F.array(F.struct(F.array(F.struct(cut(0).alias("context"), F.array(asked).alias("qas"))).alias("paragraphs")))
+    return {
+        "jcommonsenseqa": fields("question", *(f"choice{i}" for i in range(5))), "jnli": fields("sentence1", "sentence2"), "jmmlu": fields("question", "A", "B", "C", "D"),
+        "jsquad": words.select(article.alias("data")), "niilc": words.select(F.concat(F.lit("<question>"), tagged("text", 0), F.lit("<answers>"), tagged("answer", 1), tagged("answer", 2), F.lit("</answers></question>")).alias("xml")),
+        "gsm8k": fields("question", "answer"), "humaneval": fields("prompt", "canonical_solution"), "mbpp": fields("text", "code"),
+    }
+
+
+@query
+def canonical_records(spark, sf_dir):
+    return benchmarks.canonical(examples(spark, sf_dir)).select("benchmark", "text")
+
+
+@query
+def canonical_parts(spark, sf_dir):
+    return matching.parts(benchmarks.canonical(examples(spark, sf_dir)))
+
+
+@query
+def record_lines(spark, sf_dir):
+    text = F.translate("text", ".,", "\x0b\u2028")
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(benchmarks.split_lines(text)).alias("line", "text"))
+    return lines.where(~T.is_blank(F.col("text"))).select("doc_id", F.col("line").cast("long").alias("line"), "text")
+
+
+@query
+def rule_decisions(spark, sf_dir):
+    """All rules at once: each record belongs to one of the benchmarks."""
+    name = F.element_at(F.array(*map(F.lit, matching.RULES)), (F.col("item_id") % len(matching.RULES) + 1).cast("int"))
+    recs = C.records(table(spark, sf_dir, "benchmark").withColumn("benchmark", name))
+    return matching.analyse(table(spark, sf_dir, "documents"), recs, matching.rules(spark)).select("doc_id", "record_id", "benchmark", "substring", "contaminated")
+
+
+@query
+def stored_gram_index(spark, sf_dir):
+    """Verdicts by an index that was written and read again."""
+    path = shared_folder(spark)
+    indexes.save_grams(records(spark, sf_dir), path)
+    grams, keys, _ = indexes.load_grams(spark, path)
+    return C.check_against(table(spark, sf_dir, "documents"), grams.where("script = 'latin'"), keys, None).select("doc_id", "distinct", "span")
+
+
+@query
+def stored_record_index(spark, sf_dir):
+    """Facts of records that were written and read again."""
+    path = shared_folder(spark)
+    indexes.save_records(records(spark, sf_dir), path)
+    return matching.record_facts(indexes.load_records(spark, path)).select("record_id", "record_chars", "record_ngrams")
+
+
 # Packing
 
 
@@ -480,3 +548,26 @@ def latest_validation(spark, sf_dir):
 def missing_weights(spark, sf_dir):
     s = shards(spark, sf_dir)
     return contracts.missing(s, s.where("split = 'validation' and documents % 2 = 1"), "source_id")
+
+
+@query
+def controlled_stop(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    steps = e.select("user_id", "event_id", F.when(F.col("value") > 250, float("nan")).otherwise(F.col("value")).alias("loss"), (F.col("event_id") % 7 + 1).alias("tokens"))
+    return contracts.controlled_stops(steps, "user_id", "event_id", "loss", "tokens", RECENT).withColumn("recent_successful_steps", F.array_join("recent_successful_steps", ","))
+
+
+@query
+def source_maps(spark, sf_dir):
+    """Chunks and tokens of each step by source, as maps in the order of the sources."""
+    per = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("chunks"), (F.count("*") * CHUNK).alias("tokens"))
+    maps = per.groupBy("user_id").agg(options.sorted_map("event_type", "chunks").alias("chunks"), options.sorted_map("event_type", "tokens").alias("tokens"))
+    return maps.select("user_id", *(F.to_json(c).alias(c) for c in ("chunks", "tokens")))
+
+
+@query
+def run_options(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("string")
+    words = F.concat(F.array(F.lit("train"), F.lit("--seed"), key), F.when(F.col("o_orderkey") % 3 == 0, F.array(F.concat(F.lit("--lr="), key), F.lit("x"))).otherwise(F.array(F.lit("--lrs"), F.lit("y"))), F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("--lr"), F.lit("2"), F.lit("z"))).otherwise(F.array().cast("array<string>")))
+    return o.select("o_orderkey", options.option_value(words, "--lr", "none").alias("lr"), options.option_value(words, "--seed").alias("seed"), F.array_join(options.replace_option(words, "--lr", "0.5"), " ").alias("words"))

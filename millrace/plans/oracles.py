@@ -277,3 +277,65 @@ SQL["latest_validation"] = """
 SELECT o_custkey, max('validation_final_step' || lpad(o_orderkey::VARCHAR, 8, '0') || CASE WHEN o_orderkey % 2 = 0 THEN '_diagnostic.json' ELSE '.json' END) AS name FROM orders GROUP BY ALL
 """
 SQL["missing_weights"] = f"WITH {SHARDS} SELECT DISTINCT source_id FROM shards WHERE source_id NOT IN (SELECT source_id FROM shards WHERE split = 'validation' AND documents % 2 = 1)"
+
+
+def _cut(i: int) -> str:
+    return f"array_to_string(w[{4 * i + 1}:{4 * i + 4}], ' ')"
+
+
+def _letters(i: int) -> str:
+    return f"trim(regexp_replace({_cut(i)}, '[^A-Za-z ]', '', 'g'))"
+
+
+def _joined(*parts: str, between: str = "' '") -> str:
+    return f" || {between} || ".join(parts)
+
+
+_EXAMPLES = {
+    "jcommonsenseqa": (_joined(*map(_cut, range(6))), "", ""), "jnli": (_joined(_cut(0), _cut(1)), "", ""), "jmmlu": (_joined(*map(_cut, range(5))), "", ""),
+    "jsquad_context": (_cut(0), "", ""), "jsquad_qa": (f"trim({_joined(*map(_cut, (1, 2, 3)))}, ' ' || chr(10))", "", ""), "niilc": (f"array_to_string(list_filter([{', '.join(map(_letters, range(3)))}], lambda t: t <> ''), ' ')", "", ""),
+    "gsm8k": (_joined(_cut(0), _cut(1)), "question", "answer"), "humaneval": (_joined(_cut(0), _cut(1), between="chr(10)"), "prompt", "solution"), "mbpp": (_joined(_cut(0), _cut(1), between="chr(10)"), "prompt", "solution"),
+}
+_WORDS_OF = "WITH b AS (SELECT string_split(text, ' ') AS w FROM benchmark)"
+SQL["canonical_records"] = f"{_WORDS_OF} " + " UNION ALL ".join(f"SELECT '{b}' AS benchmark, {x} AS text FROM b" + (f" WHERE {_letters(0)} <> ''" if b == "niilc" else "") for b, (x, _, _) in _EXAMPLES.items())
+SQL["canonical_parts"] = f"{_WORDS_OF} " + " UNION ALL ".join(
+    f"SELECT '{b}_{first}' AS benchmark, {_cut(0)} AS text FROM b UNION ALL SELECT '{b}_{second}', {_cut(1)} FROM b" if first else f"SELECT '{b}' AS benchmark, {x} AS text FROM b" + (f" WHERE {_letters(0)} <> ''" if b == "niilc" else "")
+    for b, (x, first, second) in _EXAMPLES.items()
+)
+SQL["record_lines"] = r"""
+WITH l AS (SELECT doc_id, string_split_regex(replace(replace(text, '.', chr(11)), ',', chr(8232)), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS t FROM documents),
+e AS (SELECT doc_id, unnest(range(0, len(t))) AS line, unnest(t) AS text FROM l)
+SELECT doc_id, line::BIGINT AS line, text FROM e WHERE regexp_replace(text, '\s+', '', 'g') <> ''
+"""
+_names = "[" + ", ".join(f"'{b}'" for b in RULES) + "]"
+_values = ", ".join(f"('{b}', {c}, {r}, {u}, {str(s).lower()})" for b, (c, r, u, s) in RULES.items())
+SQL["rule_decisions"] = f"""
+WITH {FINDINGS.rsplit('), decided', 1)[0]}), rules(benchmark, c, r, u, s) AS (VALUES {_values}),
+named AS (SELECT *, {_names}[record_id % {len(RULES)} + 1] AS benchmark FROM f)
+SELECT doc_id, record_id, benchmark, s AND substring AS substring,
+  (s AND substring) OR (coverage >= c AND (r = 0 OR contiguous_fraction >= r)) OR (u > 0 AND contiguous_units >= u) AS contaminated FROM named JOIN rules USING (benchmark)
+"""
+SQL["stored_gram_index"] = SQL["contamination_word_span"]
+SQL["stored_record_index"] = f"""
+WITH {RECORDS} SELECT record_id, length(key) AS record_chars, greatest(CASE WHEN cjk THEN length(c) - 19 ELSE len(w) - 12 END, 0)::BIGINT AS record_ngrams FROM rec
+"""
+SQL["controlled_stop"] = f"""
+WITH bad AS (SELECT user_id, min(event_id) AS b FROM events WHERE value > 250 OR value IS NULL GROUP BY ALL),
+good AS (SELECT e.user_id, event_id, event_id % 7 + 1 AS tokens, row_number() OVER (PARTITION BY e.user_id ORDER BY event_id DESC) AS k FROM events e JOIN bad USING (user_id) WHERE event_id < b),
+done AS (SELECT user_id, max(event_id) AS step, sum(tokens)::BIGINT AS tokens_done, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FILTER (k <= {RECENT}) AS recent FROM good GROUP BY ALL)
+SELECT user_id, 'controlled_nonfinite_stop' AS status, coalesce(step, 0) AS step, coalesce(tokens_done, 0) AS tokens_done,
+  'step_' || CASE WHEN length(coalesce(step, 0)::VARCHAR) < 8 THEN lpad(coalesce(step, 0)::VARCHAR, 8, '0') ELSE step::VARCHAR END || '_diagnostic' AS resumable_checkpoint, coalesce(recent, '') AS recent_successful_steps
+FROM bad LEFT JOIN done USING (user_id)
+"""
+SQL["source_maps"] = f"""
+WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, '{{' || string_agg('"' || event_type || '":' || n, ',' ORDER BY event_type) || '}}' AS chunks,
+  '{{' || string_agg('"' || event_type || '":' || n * {CHUNK}, ',' ORDER BY event_type) || '}}' AS tokens FROM n GROUP BY user_id
+"""
+SQL["run_options"] = """
+WITH w AS (SELECT o_orderkey, ['train', '--seed', o_orderkey::VARCHAR] || CASE WHEN o_orderkey % 3 = 0 THEN ['--lr=' || o_orderkey, 'x'] ELSE ['--lrs', 'y'] END
+  || CASE WHEN o_orderkey % 2 = 0 THEN ['--lr', '2', 'z'] ELSE [] END AS l FROM orders),
+e AS (SELECT o_orderkey, unnest(l) AS t, unnest(range(len(l))) AS i, unnest([''] || l[:-2]) AS before FROM w),
+r AS (SELECT o_orderkey, string_agg(CASE WHEN t = '--lr' OR starts_with(t, '--lr=') THEN '--lr 0.5' ELSE t END, ' ' ORDER BY i) FILTER (before <> '--lr') AS l, bool_or(t = '--lr' OR starts_with(t, '--lr=')) AS found FROM e GROUP BY ALL)
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey::VARCHAR WHEN o_orderkey % 2 = 0 THEN '2' ELSE 'none' END AS lr, o_orderkey::VARCHAR AS seed, l || CASE WHEN found THEN '' ELSE ' --lr 0.5' END AS words FROM r
+"""
