@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, html_text, jaccard_join, language, quality_rules, secrets, token_counts, toxicity, training_order
+from . import alignment, bpe, decontamination, html_text, jaccard_join, language, mixing, quality_rules, resampling, secrets, token_counts, toxicity, training_order
 from .common import documents, held_out
 
 
@@ -52,7 +52,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op1_training_order, op2_token_counts, op3_jaccard_join, op4_secret_scan, op5_toxicity, op6_html_text, op7_quality_rules, op8_decontamination, op9_bpe, op10_language)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(documents(spark, sf_dir)).taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_training_order, op2_token_counts, op3_jaccard_join, op4_secret_scan, op5_toxicity, op6_html_text, op7_quality_rules, op8_decontamination, op9_bpe, op10_language, op11_importance_resampling, op12_source_mixing, op13_token_alignment)}
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -108,4 +120,37 @@ SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM t LEFT JOIN g USING (doc_id)
 """
 
-SQL = {"op3_jaccard_join": JACCARD_SQL, "op4_secret_scan": SECRETS_SQL}
+#: The draw. A CRC follows from a table of 256 numbers, itself eight shifts of each; strings are taken apart by their hexadecimal bytes.
+RESAMPLING_SQL = rf"""
+WITH steps AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {resampling.POLYNOMIAL}) ELSE c >> 1 END, v) ORDER BY v) AS step FROM range(256) t(v)
+), words AS (
+  SELECT TRUE AS own, rowid AS r, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (SELECT row_number() OVER () AS rowid, text FROM documents)
+  UNION ALL SELECT FALSE, 0, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), grams AS (
+  SELECT own, r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words
+), hexed AS (
+  SELECT g, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM grams)
+), bytes AS (
+  SELECT g, list_transform(range(0, length(h) // 2), lambda i: (16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1)::BIGINT) AS b FROM hexed
+), buckets AS (
+  SELECT g, xor(list_reduce(b, lambda c, x: xor(c >> 8, step[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) % {resampling.BUCKETS} AS bucket FROM bytes, steps
+), sums AS (
+  SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM grams JOIN buckets USING (g) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * ((SELECT sum(s) FROM sums) + {resampling.BUCKETS})::DOUBLE) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM sums) + {resampling.BUCKETS})::DOUBLE)))::BIGINT AS gain FROM sums
+), weights AS (
+  SELECT r, count(*) AS n_features, sum(gain)::BIGINT AS total FROM grams JOIN buckets USING (g) JOIN gains USING (bucket) WHERE own GROUP BY r
+), scored AS (
+  SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight, coalesce(len(w), 0) >= {resampling.LEAST} AS eligible,
+    list_reduce(list_transform(range(1, 9), lambda i: (instr('0123456789abcdef', sha256('{resampling.KEY}:' || coalesce(d.doc_id::VARCHAR, ''))[i]) - 1)::BIGINT), lambda a, x: 16 * a + x) AS h
+  FROM (SELECT row_number() OVER () AS r, doc_id FROM documents) d LEFT JOIN weights USING (r) LEFT JOIN (SELECT r, w FROM words WHERE own) USING (r)
+), noisy AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM scored
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id) AS k, count(*) FILTER (eligible) OVER () AS n FROM noisy
+)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN eligible AND k <= {resampling.PERCENT} * n // 100 THEN k END AS rank FROM ranked
+"""
+
+SQL = {"op3_jaccard_join": JACCARD_SQL, "op4_secret_scan": SECRETS_SQL, "op11_importance_resampling": RESAMPLING_SQL}
