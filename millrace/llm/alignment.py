@@ -73,10 +73,12 @@ class Pieces:
         if any(MARK in n.lstrip(MARK) for n in names):
             raise ValueError(f"a piece goes on behind a space inside it: {path}")  # texts can't be cut before spaces then
         self.bytes_of = [bytes([int(n[3:5], 16)]) if self.library.is_byte(i) else n.replace(MARK, " ").encode() for i, n in enumerate(names)]
+        self.space = self.library.encode("a ")[len(self.library.encode("a")) :]
 
     def encode(self, units: list[str]) -> list[list[int]]:
-        """Ids of units that start with a space, which the library itself puts there."""
-        return self.library.encode([u[1:] for u in units], num_threads=1)
+        """Ids of units that start with a space, which the library itself puts there, but not for an empty text."""
+        found = self.library.encode([u[1:] for u in units], num_threads=1)
+        return [ids if len(u) > 1 else self.space for ids, u in zip(found, units, strict=True)]
 
 
 def ranks(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
