@@ -1,7 +1,8 @@
 """Cross-tokenizer alignment: where two tokenizers cut a text at the same byte, and which of their tokens meet in between.
 
-1. A text (with a space before it) is cut right before a space that follows something else than white space. Neither tokenizer
-   joins anything across such a place, so units are encoded one by one, each new spelling once.
+1. A text (with a space before it) is cut into units: right before white space that follows something else, and between a letter
+   and a mark, unless a piece of the second vocabulary has such characters side by side. Neither tokenizer joins anything across
+   such a place, so units are encoded one by one, each new spelling once.
 2. The token ends of all new units are marked in two packed bitsets over their bytes. The AND of both has the shared cuts, and
    popcounts (running sums over bytes, a masked byte at the end) rank each cut among either tokenizer's tokens: the token ranges
    of each group. Links are its ids of one side by those of the other, with how often each pair occurs.
@@ -14,13 +15,15 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 import sentencepiece
 import tiktoken
 from pyspark import TaskContext
@@ -35,11 +38,9 @@ FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs that are broadcast at most (12 bytes each).
 HOT = 1 << 18
 #: Bytes of remembered units, pairs of ids made at once.
-REMEMBERED, PAIRS = 64 << 20, 1 << 20
-MARK = "▁"
-#: White space but for the space itself, at which a unit goes on.
-OTHER = SPACE.replace(" ", "")
-UNIT = regex.compile(f"[{SPACE}]+[^{SPACE}]*(?:[{OTHER}][{SPACE}]*[^{SPACE}]*)*")
+REMEMBERED, PAIRS = 128 << 20, 1 << 20
+MARK, LETTER, MARKS = "▁", r"[^\W\d_]", "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
+SPACE_SIGNS = [c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c) and c not in " \n"]
 DOCUMENT = "part long, row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -65,20 +66,27 @@ class ByteLevel(Coder):
 
 
 class Pieces:
-    """A sentencepiece model with a space before each text; its bytes by id."""
+    """A sentencepiece model with a space before each text; its bytes by id, and where texts can be cut for it."""
 
     def __init__(self, path: str):
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
-        if any(MARK in n.lstrip(MARK) for n in names):
-            raise ValueError(f"a piece goes on behind a space inside it: {path}")  # texts can't be cut before spaces then
         self.bytes_of = [bytes([int(n[3:5], 16)]) if self.library.is_byte(i) else n.replace(MARK, " ").encode() for i, n in enumerate(names)]
+        whole = "\x00".join(n for i, n in enumerate(names) if not self.library.is_byte(i))
+        if any(MARK in n.lstrip(MARK) for n in names) or "\n" in whole:
+            raise ValueError(f"a piece goes on behind a space or a line's end: {path}")  # texts can't be cut there then
+        marks = re.escape("".join(c for c in MARKS if not re.search(LETTER + re.escape(c), whole)))
+        inside = re.escape("".join(c for c in SPACE_SIGNS if c in whole))  # white space at which a unit goes on
+        letters = f"{LETTER}++(?![{marks}])" if marks else f"{LETTER}++"
+        part = f"(?:(?!{LETTER})[^{SPACE}])*+(?:{letters}(?:(?!{LETTER})[^{SPACE}])*+)*+{LETTER}*+"
+        self.unit = re.compile(f"[{SPACE}]*+{part}" + (f"(?:[{inside}][{SPACE}]*+{part})*+" if inside else ""))
+        self.before = self.library.encode("\n")
         self.space = self.library.encode("a ")[len(self.library.encode("a")) :]
 
     def encode(self, units: list[str]) -> list[list[int]]:
-        """Ids of units that start with a space, which the library itself puts there, but not for an empty text."""
-        found = self.library.encode([u[1:] for u in units], num_threads=1)
-        return [ids if len(u) > 1 else self.space for ids, u in zip(found, units, strict=True)]
+        """Ids of units. The library puts a space before each but an empty one; where a unit has none, a line's end keeps it apart."""
+        found = self.library.encode([u[1:] if u[0] == " " else f"\n{u}" for u in units], num_threads=1)
+        return [self.space if u == " " else ids if u[0] == " " else ids[len(self.before) :] for ids, u in zip(found, units, strict=True)]
 
 
 def ranks(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -111,61 +119,68 @@ def expanded(group: np.ndarray, a: np.ndarray, group_b: np.ndarray, b: np.ndarra
 
 
 class Aligner:
-    """Alignments of units, remembered by spelling."""
+    """Alignments of units, remembered by spelling: numbers in arrays, those of a unit's pairs side by side."""
 
     def __init__(self, first: str, second: str):
         self.a, self.b = ByteLevel(first), Pieces(second)
         self.sizes = [np.array([len(x) for x in t.bytes_of], dtype=np.int64) for t in (self.a, self.b)]
+        self.names = [str(i) for i in range(max(map(len, self.sizes)))]
         self.wide = len(self.b.bytes_of)
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.figures: list[tuple[int, int, int, int]] = []
+        self.figures = [array("q") for _ in FIGURES]
         self.said: list[str] = []
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
-        self.whole: list[bool] = []
+        self.begins, self.pairs, self.times = array("q", [0]), array("q"), array("q")
+        self.spoilt: set[int] = set()
         self.held = 0
 
     def add(self, units: list[str]) -> None:
         """Align units, none of them known."""
         of_a, of_b = [self.a.encode(u) for u in units], self.b.encode(units)
-        raw = [u.encode() for u in units]
-        spelt = [b"".join(map(self.b.bytes_of.__getitem__, ids)) == r for ids, r in zip(of_b, raw, strict=True)]
-        of_b = [ids if ok else [] for ids, ok in zip(of_b, spelt, strict=True)]  # such a unit makes its text have no tokens
-        of_a = [ids if ok else [] for ids, ok in zip(of_a, spelt, strict=True)]
-        lengths = np.array([len(r) if ok else 0 for r, ok in zip(raw, spelt, strict=True)], dtype=np.int64)
+        pieces = self.b.bytes_of.__getitem__
+        lengths = np.zeros(len(units), dtype=np.int64)
+        for k, unit in enumerate(units):
+            raw = unit.encode()
+            if b"".join(map(pieces, of_b[k])) == raw:
+                lengths[k] = len(raw)
+            else:  # such a unit makes its text have no tokens
+                of_a[k], of_b[k] = [], []
+                self.spoilt.add(len(self.number) + k)
         size, ids, ends = int(lengths.sum()), [], []
         for lists, sizes in zip((of_a, of_b), self.sizes, strict=True):
-            flat = np.fromiter((i for x in lists for i in x), dtype=np.int64)
+            flat = np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int64)
             ids.append(flat)
             ends.append(np.cumsum(sizes[flat]) - 1)
         bits = [marked(e, size) for e in ends]
-        shared = np.unpackbits(bits[0] & bits[1], count=size, bitorder="little") if size else np.zeros(0, dtype=np.uint8)
-        cuts = np.flatnonzero(shared)
+        cuts = np.flatnonzero(np.unpackbits(bits[0] & bits[1], count=size, bitorder="little")) if size else np.zeros(0, dtype=np.int64)
         upto = [ranks(x, cuts) for x in bits] if size else [np.zeros(0, dtype=np.int64)] * 2
         each = [np.diff(u, prepend=0) for u in upto]  # tokens of each group
         group = [np.repeat(np.arange(len(cuts)), n) for n in each]
-        groups_upto = np.searchsorted(cuts, np.cumsum(lengths) - 1, "right") * (np.cumsum(lengths) > 0)
-        said = [[str(i) for i in x.tolist()] for x in ids]
-        starts = [np.concatenate([np.zeros(1, dtype=np.int64), u]).tolist() for u in upto]
-        texts = [f"{','.join(said[0][starts[0][g] : starts[0][g + 1]])}|{','.join(said[1][starts[1][g] : starts[1][g + 1]])}" for g in range(len(cuts))]
+        groups_upto = np.searchsorted(cuts, np.cumsum(lengths), "left")
         of_unit = np.repeat(np.arange(len(units)), np.diff(groups_upto, prepend=0))
-        links = np.bincount(of_unit, each[0] * each[1], minlength=len(units)) if len(cuts) and (each[0] * each[1]).max() < 1 << 40 else None
-        total = [sum(int(x) * int(y) for x, y in zip(each[0][of_unit == k], each[1][of_unit == k], strict=True)) for k in range(len(units))] if links is None else [int(x) for x in links]
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [_summed(of_unit[g], p, n) for g, p, n in expanded(group[0], ids[0], group[1], ids[1], self.wide)]
+        names = self.names.__getitem__
+        said = [[*map(names, x.tolist())] for x in ids]
+        starts = [[0, *u.tolist()] for u in upto]
+        texts = [
+            f"{said[0][i]}|{said[1][k]}" if j == i + 1 and m == k + 1 else f"{','.join(said[0][i:j])}|{','.join(said[1][k:m])}"
+            for i, j, k, m in zip(starts[0], starts[0][1:], starts[1], starts[1][1:], strict=False)
+        ]
+        links = np.zeros(len(units), dtype=np.int64)
+        np.add.at(links, of_unit, each[0] * each[1])
+        found = [_summed(of_unit[g], p, n) for g, p, n in expanded(group[0], ids[0], group[1], ids[1], self.wide)]
         u, p, n = _summed(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.zeros(0, dtype=np.int64),) * 3
-        bounds = np.searchsorted(u, np.arange(len(units) + 1)).tolist()
+        known = len(self.number)
+        self.number.update(zip(units, range(known, known + len(units)), strict=True))
+        for column, values in zip(self.figures, ([*map(len, of_a)], [*map(len, of_b)], np.diff(groups_upto, prepend=0).tolist(), links.tolist()), strict=True):
+            column.extend(values)
+        self.begins.extend((len(self.pairs) + np.searchsorted(u, np.arange(1, len(units) + 1))).tolist())
+        self.pairs.frombytes(p.tobytes())
+        self.times.frombytes(n.tobytes())
         first = [0, *groups_upto.tolist()]
-        for k, unit in enumerate(units):
-            self.number[unit] = len(self.number)
-            self.figures.append((len(of_a[k]), len(of_b[k]), first[k + 1] - first[k], total[k]))
-            self.said.append(";".join(texts[first[k] : first[k + 1]]))
-            self.pairs.append(p[bounds[k] : bounds[k + 1]])
-            self.times.append(n[bounds[k] : bounds[k + 1]])
-            self.whole.append(spelt[k])
-            self.held += 600 + 2 * len(unit) + len(self.said[-1]) + 16 * len(self.pairs[-1])
+        self.said += [";".join(texts[i:j]) for i, j in zip(first, first[1:], strict=False)]
+        self.held += 220 * len(units) + 3 * int(lengths.sum()) + 16 * len(p) + sum(map(len, texts))
 
     def document(self, text: str) -> tuple[list[int], str, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links), digest of the groups, distinct pairs in order and how often each is linked."""
@@ -174,18 +189,25 @@ class Aligner:
         none = ([0, 0, 0, 0], "", np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
         if not text or MARK in text:
             return none
-        units = UNIT.findall(" " + text)
+        units = self.b.unit.findall(f" {text}")
+        units.pop()  # nothing, at the end
         if new := sorted(set(units).difference(self.number)):
             self.add(new)
-        numbers = [self.number[u] for u in units]
-        if not all(self.whole[k] for k in numbers):
+        listed = [*map(self.number.__getitem__, units)]
+        if self.spoilt and not self.spoilt.isdisjoint(listed):
             return none
-        figures = [sum(c) for c in zip(*(self.figures[k] for k in numbers), strict=True)]
-        digest = hashlib.sha256(";".join([self.said[k] for k in numbers]).encode()).hexdigest()
-        pairs, at = np.unique(np.concatenate([self.pairs[k] for k in numbers]), return_inverse=True)
-        times = np.zeros(len(pairs), dtype=np.int64)
-        np.add.at(times, at, np.concatenate([self.times[k] for k in numbers]))
-        return figures, digest, pairs, times
+        numbers = np.array(listed, dtype=np.int64)
+        digest = hashlib.sha256(";".join(map(self.said.__getitem__, listed)).encode()).hexdigest()
+        figures = [int(np.frombuffer(f, dtype=np.int64)[numbers].sum()) for f in self.figures]
+        begins = np.frombuffer(self.begins, dtype=np.int64)
+        low = begins[numbers]
+        n = begins[numbers + 1] - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pairs, times = (np.frombuffer(x, dtype=np.int64)[at] for x in (self.pairs, self.times))
+        order = np.argsort(pairs, kind="stable")
+        pairs, times = pairs[order], times[order]
+        first = np.flatnonzero(np.diff(pairs, prepend=-1))
+        return figures, digest, pairs[first], np.add.reduceat(times, first)
 
 
 def _summed(unit: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
