@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import hashlib
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .packing import blocks_of, running
+from millrace.functions import twister
+
+from .packing import running
 
 COVERAGE_STEPS = 100
 #: Draws made at once.
@@ -29,48 +31,79 @@ def draws(seed: int, n: int) -> list[float]:
     return [r.random() for _ in range(n)]
 
 
-def _twister(seed: int) -> np.random.RandomState:
-    """NumPy's Mersenne Twister in the state of Python's: random_sample gives the numbers of draws."""
-    state = random.Random(seed).getstate()[1]
-    r = np.random.RandomState()
-    r.set_state(("MT19937", np.array(state[:-1], dtype=np.uint32), state[-1]))
-    return r
+def pick(weights: Sequence[float]) -> Callable[[np.ndarray], np.ndarray]:
+    """Sources, by number, of uniform numbers: the first whose cumulative weight exceeds the number, the last if rounding leaves none."""
+    if not all(0 < w < float("inf") for w in weights):
+        raise ValueError("source weights must be finite and positive")  # such a source would never be drawn
+    upto = np.cumsum(weights)
+    return lambda u: np.minimum(np.searchsorted(upto, u * upto[-1], "right"), len(upto) - 1)
 
 
-def drawn(spark: SparkSession, seed: int, n: int) -> DataFrame:
-    """(chunk_id, u): n draws, made block by block from the generator's state at the block's start, so the driver holds none."""
-    r, starts = _twister(seed), []
-    for first in range(0, n, BLOCK):
-        _, key, pos, *_ = r.get_state()
-        starts.append((first, min(BLOCK, n - first), bytearray(key.tobytes()), int(pos)))
-        r.random_sample(starts[-1][1])
+def _blocks(spark: SparkSession, seed: int, n: int, make: Callable[[int, np.ndarray], pa.RecordBatch], schema: str, block: int) -> DataFrame:
+    """make(first, numbers) of each block of the first n draws. A task jumps to its first block and goes on from there, so nothing
+    of the stream passes through the driver."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, at = None, -1
         for batch in batches:
-            for b in batch.to_pylist():
-                r = np.random.RandomState()
-                r.set_state(("MT19937", np.frombuffer(b["key"], dtype=np.uint32), b["pos"]))
-                ids = np.arange(b["first"], b["first"] + b["n"], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(r.random_sample(b["n"]))], ["chunk_id", "u"])
+            for first in batch.column(0).to_pylist():
+                if first != at:
+                    r = twister.after(seed, first)
+                at = min(first + block, n)
+                yield make(first, r.random_sample(at - first))
+
+    return spark.range(0, n, block).mapInArrow(rows, schema)
+
+
+def drawn(spark: SparkSession, seed: int, n: int) -> DataFrame:
+    """(chunk_id, u): n draws."""
+
+    def make(first: int, u: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(u), dtype=np.int64)), pa.array(u)], ["chunk_id", "u"])
+
+    return _blocks(spark, seed, n, make, "chunk_id long, u double", BLOCK)
+
 
-    return spark.createDataFrame(starts, "first long, n int, key binary, pos int").mapInArrow(rows, "chunk_id long, u double")
+def picks_of_blocks(spark: SparkSession, weights: Sequence[float], seed: int, n: int) -> DataFrame:
+    """(block, source, picks, before): how often each source, by number, is drawn in each block of the first n draws and before it."""
+    block, of = BLOCK, pick(weights)
+
+    def make(first: int, u: np.ndarray) -> pa.RecordBatch:
+        picks = np.bincount(of(u), minlength=len(weights))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(weights), first // block)), pa.array(np.arange(len(weights))), pa.array(picks.astype(np.int64))], ["block", "source", "picks"])
+
+    counted = _blocks(spark, seed, n, make, "block long, source long, picks long", block)
+    ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    return counted.withColumn("before", F.coalesce(F.sum("picks").over(ahead), F.lit(0)))
 
 
 def draws_for_all(tokens: list[int], weights: list[float], seed: int, chunk: int, least: int = 0) -> int:
-    """The number of draws, no fewer than least, after which every source has given all its tokens. Sources in order of id."""
+    """The number of draws, no fewer than least, after which every source has given all its tokens. Sources in order of id.
+
+    Tasks count the picks of each block; the block in which a source has its last chunk is then looked through.
+    """
     if not weights:
         return least
-    if not all(0 < w < float("inf") for w in weights):
-        raise ValueError("source weights must be finite and positive")  # such a source would never be drawn
-    upto, need = np.cumsum(weights), -(-np.array(tokens, dtype=np.int64) // chunk)
-    r, n = _twister(seed), 0
+    spark, block, of = SparkSession.builder.getOrCreate(), BLOCK, pick(weights)
+    need = {i: -(-t // chunk) for i, t in enumerate(tokens) if t > 0}
+    n = int(max([1.2 * k * sum(weights) / weights[i] for i, k in need.items()], default=0)) + block
     while True:
-        picked = np.minimum(np.searchsorted(upto, r.random_sample(BLOCK) * upto[-1], "right"), len(upto) - 1)
-        counts = np.bincount(picked, minlength=len(upto))
-        if (counts >= need).all():
-            last = [np.flatnonzero(picked == i)[k - 1] for i, k in enumerate(need.tolist()) if k > 0]
-            return max(least, n + int(max(last, default=-1)) + 1)
-        need, n = need - counts, n + BLOCK
+        blocks = picks_of_blocks(spark, weights, seed, n)
+        wanted = spark.createDataFrame([*need.items()], "source long, need long")
+        last = blocks.join(F.broadcast(wanted), "source").where((F.col("before") < F.col("need")) & (F.col("need") <= F.col("before") + F.col("picks")))  # wanted: a row for each source
+        found = last.select("source", "block", (F.col("need") - F.col("before")).alias("k")).collect()
+        if len(found) == len(need):
+            break
+        n *= 2
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [r["block"] * block + int(np.flatnonzero(of(twister.after(seed, r["block"] * block).random_sample(block)) == r["source"])[r["k"] - 1]) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["place"])
+
+    if not found:
+        return least
+    return max(least, spark.createDataFrame(found, "source long, block long, k long").mapInArrow(places, "place long").agg(F.max("place")).first()[0] + 1)
 
 
 def derived_seed(seed: int, source: str, epoch: int, purpose: str) -> int:
@@ -85,17 +118,25 @@ def permutation(seed: int, source: str, epoch: int, purpose: str, n: int) -> np.
 def schedule(spark: SparkSession, sources: DataFrame, seed: int, chunks: int) -> DataFrame:
     """(chunk_id, source_id, rank). sources (source_id, weight): a few rows, in order of id.
 
-    A draw picks the first source whose cumulative weight exceeds it, the last one if rounding leaves none.
+    A chunk's rank is its place among the source's chunks in its block, after those of earlier blocks.
     """
-    w = Window.orderBy("source_id")
-    cumulative = sources.select("source_id", F.sum("weight").over(w).alias("upto"), F.row_number().over(w).alias("__n"))
-    total = F.max("upto").over(Window.partitionBy())
-    bounds = cumulative.withColumn("total", total).withColumn("low", F.coalesce(F.lag("upto").over(w), F.lit(0.0))).withColumn("last", F.col("__n") == F.max("__n").over(Window.partitionBy()))
-    u = drawn(spark, seed, chunks)
-    point = F.col("u") * F.col("total")
-    picked = u.join(F.broadcast(bounds), (point >= F.col("low")) & ((point < F.col("upto")) | F.col("last")))  # bounds: a row per source
-    ranked = running(picked.select("chunk_id", "source_id"), ("source_id",), ("chunk_id",), blocks_of(F.col("chunk_id")), F.lit(1), "upto")
-    return ranked.select("chunk_id", "source_id", (F.col("upto") - 1).cast("long").alias("rank"))
+    rows = sources.select("source_id", "weight").orderBy("source_id").collect()  # a row per source
+    weights, block, of = [r.weight for r in rows], BLOCK, pick([r.weight for r in rows])
+    names = pa.array([r.source_id for r in rows], pa.string())
+    if not rows:
+        return spark.createDataFrame([], "chunk_id long, source_id string, rank long")
+
+    def make(first: int, u: np.ndarray) -> pa.RecordBatch:
+        source = of(u)
+        order = np.argsort(source, kind="stable")
+        place = np.empty(len(u), dtype=np.int64)
+        starts = np.searchsorted(source[order], np.arange(len(weights)))
+        place[order] = np.arange(len(u)) - starts[source[order]]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(u), dtype=np.int64)), pa.array(np.full(len(u), first // block)), pa.array(source.astype(np.int64)), names.take(pa.array(source)), pa.array(place)], ["chunk_id", "block", "source", "source_id", "place"])
+
+    picked = _blocks(spark, seed, chunks, make, "chunk_id long, block long, source long, source_id string, place long", block)
+    before = picks_of_blocks(spark, weights, seed, chunks).select("block", "source", "before")
+    return picked.join(before, ["block", "source"]).select("chunk_id", "source_id", (F.col("before") + F.col("place")).alias("rank"))
 
 
 def portable_order(seed: int) -> Column:
@@ -117,15 +158,15 @@ def streams(lengths: DataFrame, plan: DataFrame, chunk: int, order: Column) -> D
     return placed.select("source_id", "epoch", "doc_seq", (F.col("end") - F.col("n_tokens")).alias("start"), "end")
 
 
-def pieces(stream: DataFrame, plan: DataFrame, chunk: int) -> DataFrame:
+def pieces(stream: DataFrame, plan: DataFrame, chunk: int, also: tuple[str, ...] = ()) -> DataFrame:
     """(chunk_id, source_id, epoch, doc_seq, doc_offset, chunk_offset, n_tokens): what each chunk takes from which document.
 
-    A document is listed under each rank that it touches, so ranges meet in an equi-join.
+    A document is listed under each rank that it touches, so ranges meet in an equi-join. also names more columns of the stream.
     """
     touched = stream.where("end > start").withColumn("rank", F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor((F.col("end") - 1) / chunk))))
     low, high = F.greatest("start", F.col("rank") * chunk), F.least("end", (F.col("rank") + 1) * chunk)
     met = plan.join(touched, ["source_id", "rank"])
-    return met.select("chunk_id", "source_id", "epoch", "doc_seq", (low - F.col("start")).alias("doc_offset"), (low - F.col("rank") * chunk).alias("chunk_offset"), (high - low).alias("n_tokens"))
+    return met.select("chunk_id", "source_id", "epoch", *also, "doc_seq", (low - F.col("start")).alias("doc_offset"), (low - F.col("rank") * chunk).alias("chunk_offset"), (high - low).alias("n_tokens"))
 
 
 def first_locations(parts: DataFrame) -> DataFrame:

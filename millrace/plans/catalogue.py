@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from millrace.functions import maths, options
 from millrace.functions import text as T
 from millrace.operators import contamination as C
-from millrace.operators import contracts, interleave, matching, metrics, packing, segments
+from millrace.operators import contracts, interleave, matching, metrics, orders, packing, segments
 from millrace.plans import oracles
 from millrace.plans.settings import BENCHMARK, CHUNK, CHUNKS, COVERAGE_STEPS, LENGTH, MTP_WEIGHTS, RECENT, SEED, STEP, VALID
-from millrace.sources import benchmarks, indexes, manifests
+from millrace.sources import benchmarks, indexes, interleaved, manifests
+from millrace.sources import shards as token_shards
 from millrace.sources.folders import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -363,6 +364,25 @@ def sequence_pieces(spark, sf_dir):
     return interleave.sequences(interleave.pieces(stream(spark, sf_dir, p), p, CHUNK), CHUNK, 1024).select("seq_id", "seq_offset", "source_id", "epoch", "doc_seq", "doc_offset", "n_tokens")
 
 
+@query
+def shard_order_pieces(spark, sf_dir):
+    """Chunks over shards and documents that are each permuted anew in every epoch."""
+    p = plan(spark, sf_dir)
+    stream = orders.streams(orders.in_shards(lengths(spark, sf_dir)), p, CHUNK, SEED)
+    return interleave.pieces(stream, p, CHUNK, ("shard", "place"))
+
+
+@query
+def resumable_stream(spark, sf_dir):
+    """The chunks that the streaming source reads from the packed corpus, as many as hold all its tokens, with a digest of each."""
+    data, out = shared_folder(spark), shared_folder(spark)
+    token_shards.write_shards(tokens(spark, sf_dir), data)
+    total = sum(s.tokens for s in interleaved.sources_of(data))
+    read = interleaved.stream(spark, data, SEED, CHUNK, -(-total // CHUNK)).withColumn("sha256", F.sha2(F.concat_ws(",", "tokens"), 256))
+    interleaved.to_the_end(read.drop("tokens"), f"{out}/chunks", f"{out}/checkpoint", -(-total // CHUNK))
+    return spark.read.parquet(f"{out}/chunks")
+
+
 # Segments
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.operators.interleave import draws
+import random
+
 from millrace.operators.matching import RULES
 from millrace.plans.settings import BENCHMARK, CHUNK, CHUNKS, COVERAGE_STEPS, LENGTH, MTP_WEIGHTS, RECENT, SEED, STEP, VALID
 
@@ -130,12 +131,34 @@ WITH {WEIGHTS} SELECT source_id, round(share, 9) AS weight, share >= 0.01 AS maj
 SQL["manifest_validation"] = f"WITH {SHARDS} SELECT source_id AS source, path, CASE WHEN documents % 2 = 0 THEN documents ELSE 1 END::DOUBLE AS weight FROM shards WHERE split = 'validation'"
 SQL["legacy_source"] = f"WITH {SHARDS} SELECT path, CASE WHEN path LIKE '%-train-00000.bin' THEN source_id ELSE string_split(path, '-')[1] END AS source_id FROM shards"
 
-_draws = ", ".join(f"({i}, {u!r}::DOUBLE)" for i, u in enumerate(draws(SEED, CHUNKS)))
-PLAN = f"""{WEIGHTS}, u(chunk_id, u) AS (VALUES {_draws}), bounds AS (
+def _turned(x: str, y: str, m: str) -> str:
+    """A word of the generator's next state from three of this one's."""
+    z = f"(({x} & 2147483648) | ({y} & 2147483647))"
+    return f"xor(xor({m}, {z} >> 1), ({z} & 1) * 2567483615)"
+
+
+#: The selection's numbers: the state turns over every 312 draws, often enough for every source to have given all its tokens.
+DRAWS = f"""mt(i, k) AS (
+  SELECT 0, {[*random.Random(SEED).getstate()[1][:-1]]}::BIGINT[]
+  UNION ALL SELECT i + 1, a || b || c || [{_turned('k[624]', 'a[1]', 'b[170]')}] FROM (
+    SELECT *, list_transform(range(1, 170), lambda j: {_turned('k[454 + j]', 'k[455 + j]', 'b[j]')}) AS c FROM (
+      SELECT *, list_transform(range(1, 228), lambda j: {_turned('k[227 + j]', 'k[228 + j]', 'a[j]')}) AS b FROM (
+        SELECT *, list_transform(range(1, 228), lambda j: {_turned('k[j]', 'k[j + 1]', 'k[397 + j]')}) AS a FROM mt
+        WHERE i * 312 < greatest({CHUNKS}, (SELECT 1.3 * max(ceil(tokens / {CHUNK}) / share) + 700 FROM weights)))))
+), bits1 AS (SELECT i, list_transform(k, lambda y: xor(y, y >> 11)) AS k FROM mt WHERE i > 0
+), bits2 AS (SELECT i, list_transform(k, lambda y: xor(y, (y << 7) & 2636928640)) AS k FROM bits1
+), bits3 AS (SELECT i, list_transform(k, lambda y: xor(y, (y << 15) & 4022730752)) AS k FROM bits2
+), bits4 AS (SELECT i, list_transform(k, lambda y: xor(y, y >> 18)) AS k FROM bits3
+), u AS (
+  SELECT (i - 1) * 312 + j AS chunk_id, ((k[2 * j + 1] >> 5) * 67108864.0::DOUBLE + (k[2 * j + 2] >> 6)) / 9007199254740992.0::DOUBLE AS u FROM bits4, range(312) r(j)
+)"""
+PLAN = f"""RECURSIVE {WEIGHTS}, {DRAWS}, bounds AS (
   SELECT source_id, sum(round(share, 9)) OVER (ORDER BY source_id) AS upto, sum(round(share, 9)) OVER () AS total, row_number() OVER (ORDER BY source_id) = count(*) OVER () AS last FROM weights
 ), low AS (SELECT *, coalesce(lag(upto) OVER (ORDER BY source_id), 0) AS low FROM bounds
-), plan AS (
+), every AS (
   SELECT chunk_id::BIGINT AS chunk_id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY chunk_id) - 1 AS rank FROM u JOIN low ON u * total >= low AND (u * total < upto OR last)
+), drawn AS (SELECT greatest({CHUNKS}, max(chunk_id) + 1) AS n FROM every JOIN weights USING (source_id) WHERE rank = ceil(tokens / {CHUNK}) - 1
+), plan AS (SELECT chunk_id, source_id, rank FROM every WHERE chunk_id < (SELECT n FROM drawn)
 )"""
 STREAM = f"""{PLAN}, needed AS (SELECT p.source_id, tokens, unnest(range(0, (((max(rank) + 1) * {CHUNK} - 1) // tokens) + 1)) AS epoch FROM plan p JOIN weights USING (source_id) GROUP BY p.source_id, tokens
 ), stream AS (
@@ -153,9 +176,9 @@ SQL["source_accounting"] = f"""
 WITH {STREAM}, read AS (SELECT source_id, count(*) AS chunks, (count(*) * {CHUNK})::BIGINT AS tokens FROM plan GROUP BY ALL)
 SELECT source_id, tokens, chunks, count(*) FILTER (e <= tokens) AS documents_completed FROM read JOIN stream USING (source_id) GROUP BY ALL
 """
-STEPS = f"""{PLAN}, steps AS (
-  SELECT step, source_id, sum(least((chunk_id + 1) * {CHUNK}, (step + 1) * {STEP}) - greatest(chunk_id * {CHUNK}, step * {STEP}))::BIGINT AS tokens
-  FROM plan, range(0, {CHUNKS * CHUNK // STEP + 1}) AS r(step) WHERE chunk_id * {CHUNK} < (step + 1) * {STEP} AND step * {STEP} < (chunk_id + 1) * {CHUNK} GROUP BY ALL
+STEPS = f"""{PLAN}, touched AS (SELECT chunk_id, source_id, unnest(range(chunk_id * {CHUNK} // {STEP}, ((chunk_id + 1) * {CHUNK} - 1) // {STEP} + 1)) AS step FROM plan
+), steps AS (
+  SELECT step, source_id, sum(least((chunk_id + 1) * {CHUNK}, (step + 1) * {STEP}) - greatest(chunk_id * {CHUNK}, step * {STEP}))::BIGINT AS tokens FROM touched GROUP BY ALL
 )"""
 SQL["step_composition"] = f"WITH {STEPS} SELECT step, source_id, tokens FROM steps"
 SQL["major_coverage"] = f"WITH {STEPS} SELECT source_id FROM weights WHERE share >= 0.01 AND source_id NOT IN (SELECT source_id FROM steps WHERE step < {COVERAGE_STEPS})"

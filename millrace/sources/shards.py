@@ -1,7 +1,7 @@
 """Token shards (.bin: unsigned 16-bit ids, .idx: unsigned 64-bit offsets) as a Spark data source.
 
 spark.dataSource.register(ShardSource); spark.read.format("token_shards").load(folder) gives (source_id, shard, doc_seq, tokens),
-one partition per shard. Writing takes rows (source_id, doc_seq, tokens) and makes, of each task's rows, one shard per source,
+one partition per shard. Manifests may list shards under splits, under interleave.sources or in one flat list. Writing takes rows (source_id, doc_seq, tokens) and makes, of each task's rows, one shard per source,
 named <source>-<split>-<job>-<task>.bin; the manifest, written last, lists what the folder holds. Appending adds to the manifest,
 overwriting replaces it and then removes the shards it listed before. write_shards() puts each source's documents in order first.
 Paths may be any URI that pyarrow's file systems know.
@@ -56,11 +56,46 @@ def manifest_of(path: str) -> dict | None:
         return None
     with fs.open_input_file(f"{folder}/{MANIFEST}") as f:
         found = json.loads(f.read())
-    if not isinstance(found, dict) or not isinstance(found.get("shards"), list):
+    lists = isinstance(found, dict) and (found.get("shards"), found.get("splits"), (found.get("interleave") or {}).get("sources"))
+    if not lists or all(x is None for x in lists):
         raise ValueError(f"{MANIFEST} lists no shards: {path}")
     return found
 
 
+def named_source(path: str, split: str) -> str:
+    """The source in a shard's file name: what stands before -<split>-<number>.bin, or before the first hyphen."""
+    name = re.split(r"[/\\]", path)[-1]
+    found = re.fullmatch(rf"(.+)-{re.escape(split)}-\d+\.bin", name)
+    return found[1] if found else name.rsplit(".", 1)[0].split("-", 1)[0]
+
+
+def shard(said: dict | str, **more: object) -> dict:
+    """A shard's declaration with its aliases settled."""
+    said = {"path": said} if isinstance(said, str) else dict(said)
+    said["path"] = said.get("path", said.pop("tokens_path", None))
+    said["index"] = said.get("index", said.pop("index_path", None)) or f"{str(said['path']).removesuffix('.bin')}.idx"
+    if not isinstance(said["path"], str):
+        raise ValueError("a shard has no path")
+    return more | said
+
+
+def declared(manifest: dict, split: str | None) -> list[dict]:
+    """Every shard that a manifest declares, of one split if asked for: those under splits, those of interleave.sources (which
+    name the source, and belong to any split unless splits has them), or the flat list. Each path comes once."""
+    out: dict[str, dict] = {}
+    for s in manifest.get("shards") or []:
+        out.setdefault((s := shard(s))["path"], s)
+    for name, v in (manifest.get("splits") or {}).items():
+        for s in v.get("shards") or []:
+            s = shard(s, split=name)
+            out[s["path"]] = {"source_id": s.get("source") or named_source(s["path"], name)} | s
+    for source in (manifest.get("interleave") or {}).get("sources") or []:
+        for s in source.get("shards") or []:
+            s = shard(s)
+            out[s["path"]] = out.get(s["path"], {}) | s | {"source_id": source.get("source_id")}
+    return [s for s in out.values() if split is None or s.get("split") in (None, split)]
+
+
 class ShardSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -84,7 +119,7 @@ class ShardReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if (manifest := manifest_of(self.path)) is not None:
-            listed = [s for s in manifest["shards"] if self.split in (None, s.get("split"))]
+            listed = declared(manifest, self.split)
         else:
             fs, folder = _open(self.path)
             names = sorted(i.base_name for i in fs.get_file_info(pyarrow.fs.FileSelector(folder)) if i.base_name.endswith(".bin"))
@@ -92,27 +127,27 @@ class ShardReader(DataSourceReader):
         return [InputPartition(s) for s in listed] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        if (shard := partition.value) is None:
+        if (said := partition.value) is None:
             return
         fs, folder = _open(self.path)
-        name, raw = safe_path(shard["path"]), {}
+        name, raw = safe_path(said["path"]), {}
         for key, width in (("path", 2), ("index", 8)):
-            with fs.open_input_file(f"{folder}/{safe_path(shard[key])}") as f:
+            with fs.open_input_file(f"{folder}/{safe_path(said[key])}") as f:
                 raw[key] = f.read()
             if len(raw[key]) % width:
-                raise ValueError(f"{shard[key]} isn't a whole number of {width}-byte values")
+                raise ValueError(f"{said[key]} isn't a whole number of {width}-byte values")
         tokens, offsets = np.frombuffer(raw["path"], "<u2"), np.frombuffer(raw["index"], "<u8").astype(np.int64)
         checked(tokens, offsets, name)
         n = len(offsets) - 1
         for what, have in (("tokens", tokens.size), ("documents", n)):
-            if shard.get(what, have) != have:
-                raise ValueError(f"{name} has {have} {what}, the manifest {shard[what]}")
+            if said.get(what, have) != have:
+                raise ValueError(f"{name} has {have} {what}, the manifest {said[what]}")
         at = 0
         while at < n:
             stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + AT_ONCE, "right")) - 1)
             flat = pa.array(tokens[offsets[at] : offsets[stop]].astype(np.int32))
             rows = pa.ListArray.from_arrays(pa.array((offsets[at : stop + 1] - offsets[at]).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([pa.array([shard.get("source_id")] * (stop - at), pa.string()), pa.array([name[:-4]] * (stop - at)), pa.array(np.arange(at, stop)), rows], ["source_id", "shard", "doc_seq", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([said.get("source_id")] * (stop - at), pa.string()), pa.array([name[:-4]] * (stop - at)), pa.array(np.arange(at, stop)), rows], ["source_id", "shard", "doc_seq", "tokens"])
             at = stop
 
 
@@ -170,7 +205,7 @@ class ShardWriter(DataSourceWriter):
         shard of another write is touched; an interrupted write leaves the manifest before it in force."""
         fs, folder = _open(self.path)
         fs.create_dir(folder, recursive=True)
-        before = (manifest_of(self.path) or {"shards": []})["shards"]
+        before = declared(manifest_of(self.path) or {}, None)
         new = []
         for m in messages:
             for s in m.shards if m is not None else ():
