@@ -1,14 +1,13 @@
 """Shared grams of documents and an index: where a document's n-grams occur in a set of benchmark records.
 
-Two ways give the same rows. While the index is at most LIMIT grams it goes to every executor and one pass of an Arrow kernel
-finds the hits without a shuffle (rolling hashes, then the gram itself). A larger index is joined: documents are exploded to
-grams and meet it in a semi join, sort-merge or broadcast as Catalyst finds.
+Each gram of the index sets two bits in one word of a filter of fixed size, which is all that is sent to executors. One Arrow pass
+over the documents rolls a hash over all their grams and hands on those whose bits are set; these few meet the index itself in a
+semi join. Nothing depends on the index's size but how many grams pass the filter for nothing: 1 or 2 % at 16 bits for each gram.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -19,10 +18,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 
-#: Grams of an index that are sent to executors (of 20 characters or 13 words each, some 100 bytes): at most 200 MB.
-LIMIT = 2_000_000
 SCRIPTS = ("cjk", "latin")
-WORDS = re.compile("[0-9a-z]+")
+#: 64-bit words of a script's filter (8 MB), whatever the index's size; both scripts' filters are all that executors get at once.
+FILTER = 1 << 20
+BASE = 0x9E3779B97F4A7C15
+LETTERS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 SCHEMA = "doc_id long, script string, pos long, gram string, n_grams long"
 
 
@@ -34,72 +34,132 @@ def exploded(df: DataFrame, id_: str = "doc_id", text: str = "text", scripts: tu
     return one.select(id_, "script", F.posexplode("grams").alias("pos", "gram"), F.size("grams").cast("long").alias("n_grams")).select(id_, "script", F.col("pos").cast("long").alias("pos"), "gram", "n_grams")
 
 
-def _normal(text: str) -> str:
-    return unicodedata.normalize("NFKC", text).lower()
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: a table of one small file would be one task."""
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
 
 
-def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    h = np.zeros(max(0, len(ids) - n + 1), dtype=np.uint64)
+@functools.lru_cache(maxsize=8)
+def _powers(base: int, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        for k in range(n if len(h) else 0):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + len(h)]
-    return h ^ (h >> np.uint64(31))
+        return np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(max(0, n - 1), base, dtype=np.uint64)]), dtype=np.uint64)
 
 
-class _Probe:
-    """Finds grams of one script in a text."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(BASE)
+    return h ^ (h >> np.uint64(29))
+
+
+def rolled(ids: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all windows of n ids, each the difference of two running sums."""
+    if len(ids) < n:
+        return np.zeros(0, dtype=np.uint64)
+    size = 1 << max(10, (len(ids) - 1).bit_length())  # tables of powers in a few sizes
+    with np.errstate(over="ignore"):
+        run = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(ids * _powers(BASE, size)[: len(ids)], dtype=np.uint64)])
+        return _mixed((run[n:] - run[:-n]) * _powers(pow(BASE, -1, 1 << 64), size)[: len(ids) - n + 1])
+
+
+def char_ids(chars: str) -> np.ndarray:
+    return np.frombuffer(chars.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
 
-    BITS = 22
 
-    def __init__(self, grams: set[str], script: str):
-        self.grams, self.script = grams, script
-        self.n = T.CHAR_GRAM if script == "cjk" else T.WORD_GRAM
-        self.table = np.zeros(1 << self.BITS, dtype=bool)
-        for g in grams:
-            self.table[_hashes(self.ids(list(g) if script == "cjk" else g.split(" ")), self.n) >> np.uint64(64 - self.BITS)] = True
+def word_ids(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words))
 
-    def ids(self, items: list[str]) -> np.ndarray:
-        if self.script == "cjk":
-            return np.frombuffer("".join(items).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-        return np.fromiter((zlib.crc32(w.encode()) for w in items), dtype=np.uint64, count=len(items))
 
-    def hits(self, normal: str) -> tuple[list[tuple[int, str]], int]:
-        items = "".join(normal.split()) if self.script == "cjk" else WORDS.findall(normal)
-        h = _hashes(self.ids(items), self.n)
-        out = []
-        for p in np.flatnonzero(self.table[h >> np.uint64(64 - self.BITS)]).tolist():
-            g = items[p : p + self.n] if self.script == "cjk" else " ".join(items[p : p + self.n])
-            if g in self.grams:
-                out.append((p, g))
-        return out, len(h)
+def _places(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of each hash, and its two bits there."""
+    one = np.uint64(1)
+    return (h >> np.uint64(40)) % np.uint64(size), (one << (h & np.uint64(63))) | (one << ((h >> np.uint64(6)) & np.uint64(63)))
 
 
-def kernel_hits(df: DataFrame, index: list[tuple[str, str]], id_: str = "doc_id", text: str = "text") -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(index)  # at most LIMIT grams, checked by hits()
-    state: dict[str, _Probe] = {}
+def filter_of(index: DataFrame, size: int = FILTER, lengths: dict[str, int] = {"cjk": T.CHAR_GRAM, "latin": T.WORD_GRAM}) -> dict[str, np.ndarray]:  # noqa: B006
+    """Each script's filter, for grams of so many characters or words. Tasks hash them; at most `size` words of each script reach
+    the driver."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scripts, hashes = batch.column("script").to_pylist(), []
+            for script, gram in zip(scripts, batch.column("gram").to_pylist(), strict=True):
+                ids = char_ids(gram) if script == "cjk" else word_ids(gram.encode().split())
+                hashes.append(int(rolled(ids, lengths[script])[0]))
+            words, bits = _places(np.array(hashes, dtype=np.uint64), size)
+            yield pa.RecordBatch.from_arrays([pa.array(scripts, pa.string()), pa.array(words.astype(np.int64)), pa.array(bits.view(np.int64))], ["script", "word", "bits"])
+
+    found = index.select("script", "gram").mapInArrow(rows, "script string, word long, bits long").groupBy("script", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = {s: np.zeros(size, dtype=np.uint64) for s in SCRIPTS}
+    script = found.column("script").to_numpy(zero_copy_only=False)
+    for s in SCRIPTS:
+        own = script == s
+        out[s][found.column("word").to_numpy()[own]] = found.column("bits").to_numpy()[own].view(np.uint64)
+    return out
+
+
+def candidates(df: DataFrame, filters: dict[str, np.ndarray], id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every gram of the documents that passes its script's filter: doc_id, script, pos, gram, n_grams of its script."""
+    shared = df.sparkSession.sparkContext.broadcast({s: f for s, f in filters.items() if f.any()})  # two filters of a fixed size
+
+    def passed(script: str, ids: np.ndarray, n: int) -> tuple[list[int], int]:
+        h, own = rolled(ids, n), shared.value[script]
+        words, bits = _places(h, len(own))
+        return np.flatnonzero(own[words] & bits == bits).tolist(), len(h)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in SCRIPTS:
-            if s not in state:
-                state[s] = _Probe({g for k, g in shared.value if k == s}, s)
         for batch in batches:
             out: list[tuple] = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                normal = _normal(t or "")
-                for s in SCRIPTS:
-                    found, n = state[s].hits(normal) if state[s].grams else ([], 0)
-                    out += [(d, s, p, g, n) for p, g in found]
+                normal = t or ""
+                if "cjk" in shared.value:
+                    chars = "".join(normal.split())
+                    places, n = passed("cjk", char_ids(chars), T.CHAR_GRAM)
+                    out += [(d, "cjk", p, chars[p : p + T.CHAR_GRAM], n) for p in places]
+                if "latin" in shared.value:
+                    words = normal.encode().translate(LETTERS).split()
+                    places, n = passed("latin", word_ids(words), T.WORD_GRAM)
+                    out += [(d, "latin", p, b" ".join(words[p : p + T.WORD_GRAM]).decode(), n) for p in places]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], ["doc_id", "script", "pos", "gram", "n_grams"])
 
-    return df.select(df[id_].cast("long"), text).mapInArrow(rows, SCHEMA)
+    normal = T.with_nfkc(spread(df.select(df[id_].cast("long").alias("doc_id"), df[text].alias("text"))))
+    return normal.select("doc_id", F.lower("nfkc")).mapInArrow(rows, SCHEMA)
 
 
-def joined_hits(df: DataFrame, index: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    return exploded(df, id_, text).join(index.select("script", "gram").distinct(), ["script", "gram"], "left_semi").select(F.col(id_).alias("doc_id"), "script", "pos", "gram", "n_grams")
+def around(docs: DataFrame, anchors: DataFrame, n: int, reach: int, size: int = FILTER) -> DataFrame:
+    """(doc_id, anchor, at, around): every n characters of a document that may be one of the anchors, and the text from reach before
+    them to reach behind their start; at is their place in it.
 
+    docs (doc_id, normal): normalised texts, looked through without white space and as words with one space between. Texts
+    without any gram are left out.
+    """
+    filters = filter_of(anchors.select(F.lit("cjk").alias("script"), F.col("anchor").alias("gram")), size, {"cjk": n})
+    shared = docs.sparkSession.sparkContext.broadcast(filters["cjk"])  # of a fixed size
 
-def hits(df: DataFrame, index: DataFrame, id_: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            out: list[tuple] = []
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                chars, words = "".join((t or "").split()), (t or "").encode().translate(LETTERS).split()
+                if len(chars) < T.CHAR_GRAM and len(words) < T.WORD_GRAM:
+                    continue
+                for text in (chars, b" ".join(words).decode()):
+                    places, bits = _places(rolled(char_ids(text), n), size)
+                    for p in np.flatnonzero(own[places] & bits == bits).tolist():
+                        first = max(0, p - reach)
+                        out.append((d, text[p : p + n], p - first, text[first : p + reach]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string()))], ["doc_id", "anchor", "at", "around"])
+
+    return docs.select(F.col("doc_id").cast("long"), "normal").mapInArrow(rows, "doc_id long, anchor string, at long, around string")
+
+
+def hits(df: DataFrame, index: DataFrame, id_: str = "doc_id", text: str = "text", size: int = FILTER) -> DataFrame:
     """A row for each occurrence in df of a gram of the index (script, gram): doc_id, script, pos, gram, n_grams of its script."""
-    few = index.select("script", "gram").distinct().limit(limit + 1)
-    found = few.collect()
-    return kernel_hits(df, [(r.script, r.gram) for r in found], id_, text) if len(found) <= limit else joined_hits(df, index, id_, text)
+    own = index.select("script", "gram").distinct()
+    return candidates(df, filter_of(own, size), id_, text).join(own, ["script", "gram"], "left_semi").select("doc_id", "script", "pos", "gram", "n_grams")
+
+
+def joined_hits(df: DataFrame, index: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same rows by a join of all grams of the documents with the index."""
+    return exploded(df, id_, text).join(index.select("script", "gram").distinct(), ["script", "gram"], "left_semi").select(F.col(id_).alias("doc_id"), "script", "pos", "gram", "n_grams")

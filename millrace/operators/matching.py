@@ -20,8 +20,8 @@ RULES = {
 #: Benchmarks that are replaced by their parts, and the parts' columns.
 PARTS = {"gsm8k": ("question", "answer"), "humaneval": ("prompt", "solution"), "mbpp": ("prompt", "solution")}
 SHOWN = 300
-#: Records too short for a gram that are tried as substrings (of under 20 characters or 13 words each).
-SHORT_RECORDS = 10_000
+#: Parts of a record's anchor in the join, so that a passage that many documents share isn't one task's.
+SALTS = 16
 
 
 def rules(spark: SparkSession, table: dict[str, tuple[float, float, int, bool]] = RULES) -> DataFrame:
@@ -88,17 +88,29 @@ def short_keys(facts: DataFrame) -> DataFrame:
     return facts.where("record_ngrams = 0 and allow_substring").where(F.col("record_chars") >= T.MIN_SUBSTRING_KEY).select("record_id", "benchmark", "key", "record_chars")
 
 
+def anchored(key: DataFrame) -> DataFrame:
+    """key plus anchor, MIN_SUBSTRING_KEY characters of it that fewest keys have, and before, how many characters stand before it."""
+    n = T.MIN_SUBSTRING_KEY
+    windows = F.transform(F.sequence(F.lit(0), F.char_length("key") - n), lambda i: F.struct(F.col("key").substr(i + 1, F.lit(n)).alias("anchor"), i.alias("before")))
+    each = key.select("record_id", F.explode(windows).alias("w")).select("record_id", "w.anchor", "w.before")
+    counted = each.join(each.groupBy("anchor").agg(F.count("*").alias("keys")), "anchor")
+    return key.join(counted.groupBy("record_id").agg(F.min(F.struct("keys", "before", "anchor")).alias("w")).select("record_id", "w.anchor", "w.before"), "record_id")
+
+
 def short_records(docs: DataFrame, key: DataFrame) -> DataFrame:
-    """Records without grams inside documents with grams, from their short_keys.
+    """Records without grams inside documents with grams, from their short_keys, however many there are.
 
-    There is no key to join on, so the records, a stated set of at most SHORT_RECORDS, are tried against each document; more are
-    refused.
+    A key's rarest MIN_SUBSTRING_KEY characters are its anchor. One pass finds the anchors in the documents, by a filter of fixed
+    size, with the text around them; an equi-join on the anchor brings the keys that are then compared in full.
     """
-    if key.limit(SHORT_RECORDS + 1).count() > SHORT_RECORDS:
-        raise ValueError(f"more than {SHORT_RECORDS} records without grams to look for as substrings")
-    some = (F.char_length(T.chars_of(F.col("nfkc"))) >= T.CHAR_GRAM) | (F.size(T.words_of(F.col("nfkc"))) >= T.WORD_GRAM)
-    text = docs.where(some).select("doc_id", T.chars_of(F.col("nfkc")).alias("c"), F.array_join(T.words_of(F.col("nfkc")), " ").alias("w"))
-    found = text.join(F.broadcast(key), F.col("c").contains(F.col("key")) | F.col("w").contains(F.col("key")))
+    own = anchored(key)
+    reach = own.agg(F.max("record_chars")).first()[0] or 0
+    text = docs.select("doc_id", F.lower("nfkc").alias("normal"))
+    near = grams.around(text, own, T.MIN_SUBSTRING_KEY, reach).withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)))
+    met = near.join(own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["anchor", "salt"])
+    first = F.col("at") - F.col("before")
+    same = (first >= 0) & (F.col("around").substr((first + 1).cast("int"), F.col("record_chars").cast("int")) == F.col("key"))
+    found = met.where(same).select("doc_id", "record_id", "benchmark", "record_chars").distinct()
     zero, one, yes = F.lit(0).cast("long"), F.lit(1.0), F.lit(True)
     return found.select("doc_id", "record_id", "benchmark", "record_chars", zero.alias("record_ngrams"), zero.alias("matched"), one.alias("coverage"), zero.alias("contiguous_ngrams"), zero.alias("contiguous_units"), one.alias("contiguous_fraction"), yes.alias("substring"), F.lit(None).cast("string").alias("matched_text"), yes.alias("contaminated"))
 

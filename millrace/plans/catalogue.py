@@ -142,6 +142,18 @@ def record_substring(spark, sf_dir):
     return findings(spark, sf_dir).where("substring").select("doc_id", "record_id", "record_chars")
 
 
+@query
+def short_record_substring(spark, sf_dir):
+    """Records too short for a gram, here every four words of the benchmark, inside documents."""
+    words = F.col("w")
+    every = F.transform(F.sequence(F.lit(0), F.expr("size(w) div 4").cast("int")), lambda i: F.struct((F.col("item_id") * 10_000 + i).alias("item_id"), F.array_join(F.slice(words, i * 4 + 1, 4), " ").alias("text")))
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.words_of(F.col("text")).alias("w"))
+    recs = C.records(b.select(F.explode(every).alias("x")).select("x.*"), BENCHMARK)
+    keys = matching.short_keys(matching.record_facts(recs).join(matching.rules(spark), "benchmark"))
+    docs = T.with_nfkc(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return matching.short_records(docs, keys).select("doc_id", "record_id", "record_chars")
+
+
 @query
 def best_finding(spark, sf_dir):
     return rounded(matching.best(findings(spark, sf_dir)).select("doc_id", "record_id", "benchmark", "coverage", "contiguous_units"))

@@ -88,6 +88,12 @@ SQL["best_finding"] = f"""
 WITH {FINDINGS} SELECT doc_id, record_id, '{BENCHMARK}' AS benchmark, round(coverage, 6) AS coverage, contiguous_units FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(coverage, 4) DESC, contiguous_units DESC, record_id) AS b FROM decided WHERE contaminated) WHERE b = 1
 """
+SQL["short_record_substring"] = f"""
+WITH words AS (SELECT item_id, {WORDS} AS w FROM benchmark
+), parts AS (SELECT item_id * 10000 + i AS record_id, array_to_string(w[4 * i + 1:4 * i + 4], ' ') AS key FROM words, range(0, 100000) r(i) WHERE i <= len(w) // 4
+), docs AS (SELECT doc_id, {CHARS} AS c, array_to_string({WORDS}, ' ') AS w, len({WORDS}) AS n FROM documents)
+SELECT doc_id, record_id, length(key) AS record_chars FROM parts, docs WHERE length(key) >= 12 AND (length(c) >= 20 OR n >= 13) AND (contains(c, key) OR contains(w, key))
+"""
 SQL["part_selection"] = """
 WITH n AS (SELECT ['gsm8k', 'humaneval', 'mbpp', 'jnli'][item_id % 4 + 1] AS benchmark, text, string_split(text, '.')[1] AS first, string_split(text, '.')[-1] AS second FROM benchmark),
 p AS (

@@ -70,13 +70,34 @@ def test_spans_equal_brute_force(corpus, samples):
     assert got == expected_spans(docs, recs, samples) and got
 
 
-def test_kernel_and_join_find_the_same_grams(corpus):
+@pytest.mark.parametrize("size", [1 << 20, 64, 1])
+def test_filtered_and_joined_grams_are_the_same(corpus, size):
+    """However full the filter is: with one word nearly every gram passes it."""
     _, _, df, r = corpus
     index = C.index_grams(r)
-    a, b = (sorted(map(tuple, grams.hits(df, index, limit=n).collect())) for n in (10**6, 0))
+    a, b = (sorted(map(tuple, x.collect())) for x in (grams.hits(df, index, size=size), grams.joined_hits(df, index)))
     assert a == b and a
 
 
+def test_filter_lets_few_others_pass(spark, corpus):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    index = C.index_grams(C.records(spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet"), "niilc"))
+    passed = grams.candidates(docs, grams.filter_of(index)).count()
+    assert grams.hits(docs, index).count() <= passed <= grams.hits(docs, index).count() + 0.01 * grams.exploded(docs).count()
+
+
+def test_letters_that_python_and_the_jvm_lower_otherwise_are_found(spark):
+    """One normaliser for both sides: what the JVM makes of a letter counts."""
+    import sys
+
+    odd = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and chr(c).lower() != chr(c)]
+    texts = ["".join(odd[k : k + 40]) for k in range(0, len(odd), 40)]
+    recs = C.records(spark.createDataFrame(list(enumerate(texts)), "item_id long, text string"), "niilc")
+    docs = spark.createDataFrame([(i, f"vor {t} nach") for i, t in enumerate(texts)], "doc_id long, text string")
+    index = C.index_grams(recs)
+    assert sorted(map(tuple, grams.hits(docs, index).collect())) == sorted(map(tuple, grams.joined_hits(docs, index).collect()))
+
+
 def test_fixture_spans_equal_brute_force(spark):
     docs, b = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     rows = [tuple(x) for x in docs.select("doc_id", "text").collect()]
@@ -117,3 +138,21 @@ def test_rules_and_best_finding(spark):
     assert got[4, 5].contiguous_ngrams == len(chars(JP)) - 19 and not got[4, 5].substring
     best = {x.doc_id: x.record_id for x in matching.best(found).collect()}
     assert best[0] == 0 and best[3] == 4
+
+
+def test_many_short_records_equal_brute_force(spark):
+    """More keys than were once allowed, most with one anchor in common, in both strings, at both ends and twice in a text."""
+    keys = [(k, f"common start {k:05d}") for k in range(12_000)] + [(20_000 + k, f"{k}x{k} is a rather short key") for k in range(50)] + [(30_000, "東京都千代田区丸の内一丁目九番"), (30_001, "short"), (30_002, "w " * 11 + "q" * 300)]
+    texts = ["common start 00007 common start 11999 and other words that make it a text of thirteen words at least, common start 00007", "x" * 30 + " 7x7 is a rather short key", "common start 000", "東京都千代田区丸の内一丁目九番にある建物の中で働いています", "COMMON   start\n00042 is followed by enough of other words to have a gram of words", None, "", "w " * 14 + "q" * 300, "common start 11998"]
+    recs = C.records(spark.createDataFrame(keys, "item_id long, text string"), "niilc")
+    short = matching.short_keys(matching.record_facts(recs).join(matching.rules(spark), "benchmark"))
+    docs = T.with_nfkc(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = [(r.doc_id, r.record_id) for r in matching.short_records(docs, short).collect()]
+    want = set()
+    for d, t in enumerate(texts):
+        c, w = chars(t or ""), words(t or "")
+        for k, key in keys:
+            own = chars(key) if sum("\u3040" <= x <= "\u9fff" for x in key) > 0.15 * len(key) else " ".join(words(key))
+            if len(own) >= 12 and (len(c) >= 20 or len(w) >= 13) and (own in c or own in " ".join(w)):
+                want.add((d, k))
+    assert sorted(got) == sorted(want) and len(want) == 6
