@@ -40,7 +40,9 @@ HOT = 1 << 18
 #: Bytes of remembered units, pairs of ids made at once.
 REMEMBERED, PAIRS = 128 << 20, 1 << 20
 MARK, LETTER, MARKS = "▁", r"[^\W\d_]", "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
-SPACE_SIGNS = [c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c) and c not in " \n"]
+SPACES = {c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c)}
+#: A word that is put between units and left out again.
+GUARD = " a"
 DOCUMENT = "part long, row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -76,7 +78,7 @@ class Pieces:
         if any(MARK in n.lstrip(MARK) for n in names) or "\n" in whole:
             raise ValueError(f"a piece goes on behind a space or a line's end: {path}")  # texts can't be cut there then
         marks = re.escape("".join(c for c in MARKS if not re.search(LETTER + re.escape(c), whole)))
-        inside = re.escape("".join(c for c in SPACE_SIGNS if c in whole))  # white space at which a unit goes on
+        inside = re.escape("".join(c for c in sorted(SPACES - set(" \n")) if c in whole))  # white space at which a unit goes on
         letters = f"{LETTER}++(?![{marks}])" if marks else f"{LETTER}++"
         part = f"(?:(?!{LETTER})[^{SPACE}])*+(?:{letters}(?:(?!{LETTER})[^{SPACE}])*+)*+{LETTER}*+"
         self.unit = re.compile(f"[{SPACE}]*+{part}" + (f"(?:[{inside}][{SPACE}]*+{part})*+" if inside else ""))
@@ -136,23 +138,49 @@ class Aligner:
         self.spoilt: set[int] = set()
         self.held = 0
 
-    def add(self, units: list[str]) -> None:
-        """Align units, none of them known."""
+    def together(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]] | None:
+        """Both sides' ids of all units and how many each unit has, encoded as one text: nothing is joined where units meet, as each
+        starts with white space or has a word before it that is left out again. None if the text's tokens don't fit the units."""
+        parts, sizes, own = [GUARD], [len(GUARD)], [-1]
+        for k, u in enumerate(units):
+            if u[-1] in SPACES:
+                return None
+            if u[0] not in SPACES:
+                parts.append(GUARD)
+                sizes.append(len(GUARD))
+                own.append(-1)
+            parts.append(u)
+            sizes.append(len(u.encode()))
+            own.append(k)
+        text, upto, unit = "".join(parts), np.cumsum(sizes), np.array(own)
+        raw, all_ids, counts = text.encode(), [], []
+        for found, model, length in ((self.a.encode(text), self.a, self.sizes[0]), (self.b.library.encode(text[1:]), self.b, self.sizes[1])):
+            ids = np.array(found, dtype=np.int64)
+            ends = np.cumsum(length[ids])
+            at = np.searchsorted(ends, upto)
+            if ends[-1] != len(raw) or (ends[at] != upto).any() or (model is self.b and b"".join(map(model.bytes_of.__getitem__, found)) != raw):
+                return None
+            of = unit[np.searchsorted(upto, ends)]
+            all_ids.append(ids[of >= 0])
+            counts.append(np.bincount(of[of >= 0], minlength=len(units)))
+        return all_ids, counts
+
+    def apart(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The same, unit by unit. A unit that the second model doesn't give back has no ids, and makes its text have none."""
         of_a, of_b = [self.a.encode(u) for u in units], self.b.encode(units)
-        pieces = self.b.bytes_of.__getitem__
-        lengths = np.zeros(len(units), dtype=np.int64)
         for k, unit in enumerate(units):
-            raw = unit.encode()
-            if b"".join(map(pieces, of_b[k])) == raw:
-                lengths[k] = len(raw)
-            else:  # such a unit makes its text have no tokens
+            if b"".join(map(self.b.bytes_of.__getitem__, of_b[k])) != unit.encode():
                 of_a[k], of_b[k] = [], []
                 self.spoilt.add(len(self.number) + k)
-        size, ids, ends = int(lengths.sum()), [], []
-        for lists, sizes in zip((of_a, of_b), self.sizes, strict=True):
-            flat = np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int64)
-            ids.append(flat)
-            ends.append(np.cumsum(sizes[flat]) - 1)
+        return [np.fromiter(itertools.chain.from_iterable(x), dtype=np.int64) for x in (of_a, of_b)], [np.array([*map(len, x)], dtype=np.int64) for x in (of_a, of_b)]
+
+    def add(self, units: list[str]) -> None:
+        """Align units, none of them known."""
+        ids, counts = self.together(units) or self.apart(units)
+        ends = [np.cumsum(length[x]) - 1 for x, length in zip(ids, self.sizes, strict=True)]
+        upto_a = np.concatenate([np.zeros(1, dtype=np.int64), ends[0] + 1])
+        lengths = np.diff(upto_a[np.cumsum(counts[0])], prepend=0)
+        size = int(lengths.sum())
         bits = [marked(e, size) for e in ends]
         cuts = np.flatnonzero(np.unpackbits(bits[0] & bits[1], count=size, bitorder="little")) if size else np.zeros(0, dtype=np.int64)
         upto = [ranks(x, cuts) for x in bits] if size else [np.zeros(0, dtype=np.int64)] * 2
@@ -173,7 +201,7 @@ class Aligner:
         u, p, n = _summed(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.zeros(0, dtype=np.int64),) * 3
         known = len(self.number)
         self.number.update(zip(units, range(known, known + len(units)), strict=True))
-        for column, values in zip(self.figures, ([*map(len, of_a)], [*map(len, of_b)], np.diff(groups_upto, prepend=0).tolist(), links.tolist()), strict=True):
+        for column, values in zip(self.figures, (*(c.tolist() for c in counts), np.diff(groups_upto, prepend=0).tolist(), links.tolist()), strict=True):
             column.extend(values)
         self.begins.extend((len(self.pairs) + np.searchsorted(u, np.arange(1, len(units) + 1))).tolist())
         self.pairs.frombytes(p.tobytes())
