@@ -77,7 +77,7 @@ def identify(df: DataFrame, fitted: Identifier | None, keep: list[str], text: st
     """The kept columns plus lang_pred, score and accepted (the score reaches the calibrated threshold).
 
     Null texts and texts without a letter (category L) are UNKNOWN with score 0, as is everything when nothing was learned. Of
-    equally likely languages the first by name is predicted. Repeated rows each get a row, an empty table gives none, and texts of
+    equally likely languages the first by name is predicted; a text without any word has an empty bag. Repeated rows each get a row, an empty table gives none, and texts of
     any length are read whole. A kept column named as a result comes out as input_<name>.
     """
     chosen = df.select(*kept(df, keep, "lang_pred", "score", "accepted"), df[text].alias("__text"))
@@ -94,7 +94,8 @@ def identify(df: DataFrame, fitted: Identifier | None, keep: list[str], text: st
                     lang.append(UNKNOWN)
                     score.append(0.0)
                     continue
-                p = softmax((scorer.words(t).mean(axis=0, dtype=np.float64) + f.model.bias) / f.temperature)
+                words = scorer.words(t)  # none if Python's tables know none of its letters: the bias alone decides
+                p = softmax((words.sum(axis=0, dtype=np.float64) / max(1, len(words)) + f.model.bias) / f.temperature)
                 lang.append(f.model.classes[int(p.argmax())])
                 score.append(float(p.max()))
             yes = [x != UNKNOWN and p >= f.threshold for x, p in zip(lang, score, strict=True)]

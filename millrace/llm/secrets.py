@@ -26,6 +26,9 @@ JWT = r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
 KINDS = ("assign", "access", "hex", "key", "jwt")
 BASE = KINDS[:3]
 PATTERNS = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, KEY, JWT), strict=True))
+#: How Spark looks for web tokens: from the start of a run, its first "eyJ" alone. If that doesn't lead to a token, no later one of
+#: the run does, so no run is read twice. The hit has what stands before the "eyJ" too.
+JWT_SCAN = r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?eyJ)[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"
 #: Follows from the patterns; the ledger keeps results of each version apart.
 VERSION = hashlib.sha256("\n".join(f"{k} {p}" for k, p in PATTERNS.items()).encode()).hexdigest()[:16]
 #: Matches whose lengths are summed up together.
@@ -67,15 +70,16 @@ def spans_of(text: Column, kind: str) -> Column:
 
     The texts between matches and the matches alternate, so a match starts at the sum of the lengths before it.
     """
-    pattern = PATTERNS[kind]
+    pattern = JWT_SCAN if kind == "jwt" else PATTERNS[kind]
+    skip = (lambda hit: F.locate("eyJ", hit) - 1) if kind == "jwt" else (lambda hit: F.lit(0))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if kind == "assign" else found
     zipped = F.filter(F.arrays_zip(between.alias("gap"), found.alias("hit"), value.alias("value")), lambda z: z["hit"].isNotNull())
-    sizes = F.transform(zipped, lambda z: F.struct(F.char_length(z["gap"]).alias("gap"), F.char_length(z["hit"]).alias("hit"), F.char_length(z["value"]).alias("value")))
+    sizes = F.transform(zipped, lambda z: F.struct(F.char_length(z["gap"]).alias("gap"), F.char_length(z["hit"]).alias("hit"), F.char_length(z["value"]).alias("value"), skip(z["hit"]).alias("skip")))
 
     def placed(z: Column) -> Column:
-        at = lambda before, s, i: F.struct((before(i) + s["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (before(i) + s["gap"] + s["hit"]).alias("end"), s["value"].alias("value"))
+        at = lambda before, s, i: F.struct((before(i) + s["gap"] + s["skip"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (before(i) + s["gap"] + s["hit"]).alias("end"), s["value"].alias("value"))
         return running(F.transform(z, lambda s: s["gap"] + s["hit"]), _sum, lambda a, b: a + b, lambda before: F.transform(z, lambda s, i: at(before, s, i)))
 
     long_enough = F.filter(bound(sizes, placed), lambda s: s["value"] >= (8 if kind == "assign" else 1))
@@ -84,7 +88,7 @@ def spans_of(text: Column, kind: str) -> Column:
 
 def spans(text: Column) -> Column:
     """All spans of a text, by start and then by kind in the order of KINDS."""
-    return F.array_sort(F.concat(*(F.when(text.rlike(PATTERNS[k]), spans_of(text, k)).otherwise(F.array().cast(SPAN)) for k in KINDS)))
+    return F.array_sort(F.concat(*(F.when(text.rlike(JWT_SCAN if k == "jwt" else PATTERNS[k]), spans_of(text, k)).otherwise(F.array().cast(SPAN)) for k in KINDS)))
 
 
 def joined(found: Column, kinds: int) -> Column:

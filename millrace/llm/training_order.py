@@ -6,7 +6,8 @@
 2. A sequence's number is its place plus the sequences of earlier partitions (one count for each partition goes to the driver).
 3. The slot is a balanced Feistel permutation of the number over the next even power of two, walked along its cycle until it
    falls below the number of sequences: a keyed bijection that needs neither a sort nor a table.
-4. Rows are dealt by range of slots. A shard is a file of fixed-stride records, so slot s lies at byte
+4. Rows are dealt by range of slots, several shards to a task where there are many, and written at once; the manifest that is
+   returned is a table that was written with them. A shard is a file of fixed-stride records, so slot s lies at byte
    (s mod slots_per_shard) * stride of shard s div slots_per_shard, and a reader resumes at any slot by seeking.
 """
 
@@ -21,15 +22,17 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import RANKS, coder
-from .common import arrow_map, scratch, stored, texts_of
+from .common import Room, arrow_map, scratch, texts_of
 
 #: Production parameters: tokens in a sequence, sequences in a shard (16 MB of two-byte ids), end-of-document id, key.
 LENGTH, SLOTS, END, KEY = 1024, 8192, 50256, 20240607
 ROUNDS = 6
+#: Tasks that write shards at most; beyond as many shards each task writes several, one after the other.
+TASKS = 20_000
 #: Sequences that a packing worker holds before it hands them on.
 HELD = 1024
 
@@ -117,17 +120,19 @@ def packed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: in
 def training_order(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, slots_per_shard: int = SLOTS, end: int = END, key: int = KEY, rank_file: str | None = None, out: str | None = None) -> DataFrame:
     """Write the shards under out and return a row per sequence: slot, doc_ids, shard, byte_offset, n_tokens, ids_sha256.
 
-    out defaults to a fresh folder under spark.checkpoint.dir. An empty table gives no shard and no row. Slots are 0..n-1, each
-    once. Which sequence gets which slot depends on the key, the texts and how the scan is partitioned, nothing else.
+    The shards are complete when the call returns; reading its result doesn't write them again. out, a path or a URI that all
+    executors reach, defaults to a fresh folder under spark.checkpoint.dir. An empty table gives no shard and no row; repeated rows
+    are packed one by one, texts of any length are coded whole, and other columns are left out, whatever their names. Slots are
+    0..n-1, each once. Which sequence gets which slot depends on the key, the texts and how the scan is partitioned, nothing else.
     """
-    spark = df.sparkSession
-    table = stored(packed(df, doc_id, text, length, end, rank_file), scratch(spark, "packed"))
+    spark, room = df.sparkSession, Room(df.sparkSession)
+    table = room.stored(packed(df, doc_id, text, length, end, rank_file), "packed")
     counts = {r.part: r.n for r in table.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row for each partition of the scan
     base, n = {}, 0
     for part in sorted(counts):
         base[part] = n
         n += counts[part]
-    shards = out or scratch(spark, "shards")
+    shards = resolved(spark, out) if out else scratch(spark, "shards")
     names = ["slot", "doc_ids", "n_tokens", "ids"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,9 +191,18 @@ def training_order(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     schema = "slot long, doc_ids array<long>, shard long, byte_offset long, n_tokens int, ids_sha256 string"
     if not n:
         return spark.createDataFrame([], schema)
-    wide = max(1, math.ceil(n / slots_per_shard))
-    dealt = arrow_map(table, deal, "shard long, records binary").repartitionByRange(wide, "shard").sortWithinPartitions("shard")
-    return arrow_map(dealt, write, schema)
+    files = math.ceil(n / slots_per_shard)
+    each = math.ceil(files / TASKS)
+    dealt = arrow_map(table, deal, "shard long, records binary").repartitionById(math.ceil(files / each), F.expr(f"cast(shard div {each} as int)")).sortWithinPartitions("shard")
+    written = room.stored(arrow_map(dealt, write, schema), "order")
+    room.clear(written)
+    return written
+
+
+def resolved(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark would read it by, so that a path on the cluster's file system isn't each machine's own."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
 
 
 def shard_name(shard: int) -> str:

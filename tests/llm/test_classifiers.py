@@ -118,3 +118,11 @@ def test_decision_list_learns_a_conjunction():
     rules = quality_rules.learn(x, bad)
     hit = np.any([r.covers(x) for r in rules], axis=0)
     assert (hit == bad).mean() > 0.97
+
+
+def test_letters_that_python_doesn_t_know_have_a_score(spark):
+    fitted = language.fit(["the house and the garden"] * 20 + ["das Haus und der Garten"] * 20, ["en"] * 20 + ["de"] * 20)
+    texts = ["\u0558", "\u1c8a\u1c8a", "\U000105c0", "the house", "...", None]
+    got = language.identify(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), fitted, ["doc_id"]).orderBy("doc_id").collect()
+    assert all(0 <= r.score <= 1 and r.score == r.score and r.lang_pred in ("en", "de", "und") for r in got)
+    assert [r.lang_pred for r in got][3:] == ["en", "und", "und"]

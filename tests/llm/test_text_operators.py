@@ -211,3 +211,27 @@ def test_leaks_equal_brute_force_on_repeated_passages(spark):
     docs = [(d, " ".join(r.choice([*phrases, f"u{r.randrange(9)}", "v w u"]) for _ in range(r.randrange(1, 9)))) for d in range(40)]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert sorted(((x.doc_id, x.item_id) for x in dc.leaks(d, b).collect()), key=str) == brute_leaks(docs, items)
+
+
+NEAR_MISSES = ["eyJ" * 340_000, "eyJaaaaaaaaaaaa." * 60_000, "eyJaaaaaaaaaaaa.eyJ" * 50_000, "0123456789abcdef0123456789abcde " * 30_000, "AKIA0123456789 " * 70_000, "-----BEGIN " + "A " * 500_000, "-----BEGIN PRIVATE " * 50_000, "password" + " " * 1_000_000, "token =  " * 110_000, "secret" * 170_000, "f" * 31 + "g" * 1_000_000]
+
+
+def test_near_misses_are_read_in_time(spark):
+    """A million characters of what looks like each kind and mostly isn't, in time proportional to it."""
+    import time
+
+    for t in NEAR_MISSES:
+        df = spark.createDataFrame([(1, t)], "doc_id long, text string").cache()
+        df.count()
+        began = time.time()
+        secrets.scanned(df.select("doc_id", "text", secrets.blob(F.col("text")).alias("blob"))).select(F.size("spans")).collect()
+        assert time.time() - began < 4, t[:30]  # with planning and code generation
+
+
+def test_web_tokens_start_at_the_first_mark_of_a_run(spark):
+    import re
+
+    texts = ["x eyJaaaaaaaaaaaa.eyJbbbbbbbbbbbb.cccccccccccc y", "zzeyJeyJaaaaaaaaaaaa.eyJbbbbbbbbbbbb.cccccccccccc", "eyJaaaaaaaaaaaa.eyJbbbbbbbbbbbb.eyJdddddddddddd.eeeeeeeeeeee", "eyJshort.eyJaaaaaaaaaaaa.eyJbbbbbbbbbbbb.cccccccccccc", "-_eyJaaaaaaaaaaaa.eyJbbbbbbbbbbbb.ccccccccccccé eyJaaaaaaaaaaaa.eyJbbbbbbbbbbbb.cccccccccccc", "eyJaaaaaaaaaaaa.eyJbbbbbbbbbbbb.short"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.s for r in df.select("doc_id", secrets.joined(secrets.spans(F.col("text")), 5).alias("s")).collect()}
+    assert got == {i: ",".join(f"jwt:{m.start()}:{m.end()}" for m in re.finditer(secrets.JWT, t)) for i, t in enumerate(texts)} and got[1] == "jwt:2:49"

@@ -119,3 +119,46 @@ def test_kept_columns_named_as_results(spark):
     for f in (bpe.encode, token_counts.prefix_counts):
         row = f(df, ["doc_id", "n_tokens"]).collect()[0]
         assert row.input_n_tokens == "mine" and row.n_tokens == 2
+
+
+def slow_slot(number, n, key):
+    """The permutation of one number in plain Python: six rounds over halves, walked until the result is below n."""
+    word = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & word
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & word
+        return x ^ (x >> 31)
+
+    half = max(1, -(-max(1, (n - 1).bit_length()) // 2))
+    while True:
+        left, right = number >> half, number & ((1 << half) - 1)
+        for k in range(1, 7):
+            own = mix(((k * 0x9E3779B97F4A7C15) & word) ^ key)
+            left, right = right, left ^ (mix(right ^ own) & ((1 << half) - 1))
+        number = left << half | right
+        if number < n:
+            return number
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 64, 1000])
+def test_slots_equal_a_slow_permutation(n):
+    assert training_order.slots_of(np.arange(n), n, 99).tolist() == [slow_slot(i, n, 99) for i in range(n)]
+
+
+def test_shards_are_there_when_the_call_returns(spark, tmp_path, monkeypatch):
+    """Several shards to a task, each with the documents of its sequences; reading the manifest writes nothing again."""
+    monkeypatch.setattr(training_order, "TASKS", 2)
+    texts = [f"text number {i} " * (i % 7 + 1) for i in range(60)] * 2
+    order = training_order.training_order(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3), length=16, slots_per_shard=8, out=f"{tmp_path}/shards")
+    names = {f: os.stat(tmp_path / "shards" / f).st_mtime_ns for f in os.listdir(tmp_path / "shards") if not f.endswith(".crc")}
+    rows = order.orderBy("slot").collect()
+    assert len(names) == -(-len(rows) // 8) > 4 and not any(f.endswith(".part") for f in names)
+    assert names == {f: os.stat(tmp_path / "shards" / f).st_mtime_ns for f in names}
+    c = bpe.coder(public_tokenizers.path(bpe.RANKS))
+    read = list(training_order.read_slots(f"file://{tmp_path}/shards", 0, 10**6, 16, 8))
+    whole = [(r.doc_ids, c.decode([i for i in ids.tolist()[: r.n_tokens] if i != training_order.END]).decode()) for r, ids in zip(rows, read, strict=True)]
+    assert {d for docs, _ in whole for d in docs} == set(range(120))
+    for docs, text in whole:
+        joined = "".join(texts[d] for d in docs)
+        assert text in joined and len(docs) == len(set(docs))
