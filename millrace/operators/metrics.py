@@ -7,19 +7,29 @@ from pyspark.sql import functions as F
 
 from millrace.functions import maths
 
-QUANTILES = (("p01", 0.01), ("p10", 0.1), ("median", 0.5), ("p90", 0.9), ("p99", 0.99))
+from .quantiles import quantiles
+
+QUANTILES = {"p01": 0.01, "p10": 0.1, "median": 0.5, "p90": 0.9, "p99": 0.99}
 
 
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
+def _with(got: DataFrame, more: DataFrame, by: list[str]) -> DataFrame:
+    """got with the columns of more for the same groups, null groups too; null where more has none."""
+    other = more.select(*(F.col(c).alias(f"__{c}") for c in by), *(c for c in more.columns if c not in by))
+    same = F.lit(True)
+    for c in by:
+        same = same & got[c].eqNullSafe(other[f"__{c}"])
+    return got.join(other, same, "left").drop(*(f"__{c}" for c in by))
+
+
 def tensor_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Per group: numel, finite_fraction, and over finite values mean, std (population), rms, min, quantiles, max; null if none."""
     x = F.when(finite(F.col(value)), F.col(value).cast("double"))
-    q = F.percentile(x, F.array(*(F.lit(p) for _, p in QUANTILES)))
-    got = df.groupBy(*by).agg(F.count("*").alias("numel"), (F.count(x) / F.count("*")).alias("finite_fraction"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), maths.rms(x).alias("rms"), F.min(x).alias("min"), F.max(x).alias("max"), q.alias("__q"))
-    return got.withColumns({name: F.get("__q", F.lit(i)) for i, (name, _) in enumerate(QUANTILES)}).drop("__q")
+    got = df.groupBy(*by).agg(F.count("*").alias("numel"), (F.count(x) / F.count("*")).alias("finite_fraction"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), maths.rms(x).alias("rms"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return _with(got, quantiles(df, by, x, QUANTILES), by)
 
 
 def gate_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -32,9 +42,9 @@ def gate_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def source_metrics(df: DataFrame, source: str, loss: str, correct: str, margin: str) -> DataFrame:
     """Per source: nll, perplexity, top1_accuracy, correct_token_margin, nll_p10, nll_p90, tokens, of rows with a loss."""
     own = df.where(F.col(loss).isNotNull())
-    q = F.percentile(loss, F.array(F.lit(0.1), F.lit(0.9)))
-    per = own.groupBy(F.col(source).alias("source")).agg(F.avg(loss).alias("nll"), F.avg(F.col(correct).cast("double")).alias("top1_accuracy"), F.avg(margin).alias("correct_token_margin"), q.alias("__q"), F.count("*").alias("tokens"))
-    return per.withColumns({"perplexity": maths.perplexity(F.col("nll")), "nll_p10": F.get("__q", F.lit(0)), "nll_p90": F.get("__q", F.lit(1))}).drop("__q")
+    per = own.groupBy(F.col(source).alias("source")).agg(F.avg(loss).alias("nll"), F.avg(F.col(correct).cast("double")).alias("top1_accuracy"), F.avg(margin).alias("correct_token_margin"), F.count("*").alias("tokens"))
+    ends = quantiles(own.withColumnRenamed(source, "source"), ["source"], F.col(loss), {"nll_p10": 0.1, "nll_p90": 0.9})
+    return _with(per.withColumn("perplexity", maths.perplexity(F.col("nll"))), ends, ["source"])
 
 
 def weighted(per: DataFrame, weights: DataFrame) -> DataFrame:
@@ -79,7 +89,8 @@ def steady_throughput(log: DataFrame, run: str, order: list[str], rate: str, pea
     """Per run, over all records but the first: median and mean rate; over all: peak, limit gate, all_finite."""
     n = F.row_number().over(Window.partitionBy(run).orderBy(*order))
     steady = F.when(F.col("__n") > 1, F.col(rate))
-    got = log.withColumn("__n", n).groupBy(run).agg(F.median(steady).alias("steady_median"), F.avg(steady).alias("steady_mean"), F.max(peak).alias("peak"), F.bool_and(finite(F.col(rate))).alias("all_finite"), F.count("*").alias("steps"))
+    numbered = log.withColumn("__n", n)
+    got = _with(numbered.groupBy(run).agg(F.avg(steady).alias("steady_mean"), F.max(peak).alias("peak"), F.bool_and(finite(F.col(rate))).alias("all_finite"), F.count("*").alias("steps")), quantiles(numbered, [run], steady, {"steady_median": 0.5}), [run])
     return got.withColumns({"headroom": F.lit(limit) - F.col("peak"), "within_limit": F.col("peak") <= limit})
 
 

@@ -1,10 +1,11 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import maths
-from millrace.operators import contracts, metrics
+from millrace.operators import contracts, metrics, quantiles
 
 
 def test_tensor_stats_skip_what_is_not_finite(spark):
@@ -65,3 +66,35 @@ def test_mismatches_and_retention(spark):
     assert sorted(r.k for r in contracts.mismatches(left, right, ["k"], "v").collect()) == ["c", "d"]
     names = spark.createDataFrame([("r", f"step_{n:08d}") for n in (0, 5, 10, 15)], "run string, name string")
     assert sorted(r.name[-2:] for r in contracts.retained(names, "run", "name").collect()) == ["00", "10", "15"]
+
+
+VALUES = {
+    "ties": [0.0] * 300 + [1.0] * 200 + [-1.0] * 50, "one": [7.5], "two": [1.0, 2.0], "spread": [10.0**k * s for k in range(-300, 301, 7) for s in (1, -1)], "tiny": [5e-324 * k for k in range(40)] + [-5e-324],
+    "close": [1.0 + k * 2.0**-52 for k in range(1000)], "odd": [float("nan"), float("inf"), float("-inf"), None, 3.0, 4.0], "none": [None, float("nan")], None: [1.5, 2.5, 9.0],
+}
+
+
+def test_quantiles_are_numpy_s(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    values = VALUES | {"normal": rng.normal(0, 1, 3000).tolist(), "heavy": rng.standard_cauchy(3000).tolist()}
+    df = spark.createDataFrame([(g, x) for g, xs in values.items() for x in xs], "g string, v double").repartition(5)
+    for parts in (1 << 16, 4):
+        monkeypatch.setattr(quantiles, "PARTS", parts)
+        got = {r.g: [r[n] for n in metrics.QUANTILES] for r in quantiles.quantiles(df, ["g"], F.col("v"), metrics.QUANTILES).collect()}
+        assert set(got) == set(values) - {"none"}
+        for g, found in got.items():
+            own = [x for x in values[g] if x is not None and math.isfinite(x)]
+            assert found == pytest.approx(np.quantile(own, list(metrics.QUANTILES.values())).tolist(), rel=1e-14, abs=0), g
+    assert quantiles.quantiles(df.limit(0), ["g"], F.col("v"), {"median": 0.5}).count() == 0
+    whole = quantiles.quantiles(df, [], F.col("v"), {"median": 0.5}).first()
+    assert whole.median == np.median([x for xs in values.values() for x in xs if x is not None and math.isfinite(x)])
+
+
+def test_no_task_takes_a_whole_group(spark):
+    """Before every exchange the values are added up by bin, so what is dealt by group is bins, a few thousand however many values."""
+    df = spark.range(200_000).select(F.lit("a").alias("g"), F.sin("id").alias("v"))
+    bins = df.withColumn("b", quantiles._first_bin(F.col("v"))).groupBy("g", "b").count()
+    plan = bins._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") >= 2 and bins.count() < 50_000
+    got = quantiles.quantiles(df, ["g"], F.col("v"), {"p": 0.3}).first()
+    assert got.p == pytest.approx(np.quantile(np.sin(np.arange(200_000.0)), 0.3), abs=1e-12)
