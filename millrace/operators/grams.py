@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.functions.tables import spread
 
 SCRIPTS = ("cjk", "latin")
 #: 64-bit words of a script's filter (8 MB), whatever the index's size; both scripts' filters are all that executors get at once.
@@ -34,12 +35,6 @@ def exploded(df: DataFrame, id_: str = "doc_id", text: str = "text", scripts: tu
     return one.select(id_, "script", F.posexplode("grams").alias("pos", "gram"), F.size("grams").cast("long").alias("n_grams")).select(id_, "script", F.col("pos").cast("long").alias("pos"), "gram", "n_grams")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores: a table of one small file would be one task."""
-    least = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
-
-
 @functools.lru_cache(maxsize=8)
 def _powers(base: int, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):

@@ -1,8 +1,14 @@
-"""Packed rows: segments, targets and masks that never cross a document boundary. Rows are (keys..., pos, token)."""
+"""Packed rows: segments, targets and masks that never cross a document boundary.
+
+Rows come as arrays of tokens, for which the functions of columns (..._of) are meant: nothing is sorted or shuffled. Tables of
+(keys..., pos, token) have functions of their own, by windows over each row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packing import EOD
@@ -10,19 +16,82 @@ from .packing import EOD
 IGNORED = -100
 
 
-def packed_rows(tokens: DataFrame, length: int) -> DataFrame:
-    """(source_id, row, pos, token): each source's documents (tokens, start, end) on end, cut into full rows of so many tokens.
+def row_arrays(tokens: DataFrame, length: int) -> DataFrame:
+    """(source_id, row, tokens): each source's documents (tokens, start, end) on end, cut into full rows of so many tokens.
 
-    Documents are cut at row boundaries and travel as arrays; a row is put together from at most length pieces. The result is
-    dealt by (source_id, row), so windows over a row need no shuffle of their own.
+    Documents are cut at row boundaries and travel as arrays; a row is put together from at most length pieces.
     """
     row = F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((F.col("end") - 1) / length)))
     touched = tokens.where("end > start").select("source_id", "start", "end", "tokens", row.alias("row"))
     low, high = F.greatest("start", F.col("row") * length), F.least("end", (F.col("row") + 1) * length)
     piece = F.struct(low.alias("at"), F.slice("tokens", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("tokens"))
     rows = touched.select("source_id", "row", piece.alias("piece")).groupBy("source_id", "row").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
-    whole = rows.select("source_id", "row", F.flatten(F.col("pieces.tokens")).alias("tokens")).where(F.size("tokens") == length)
-    return whole.select("source_id", "row", F.posexplode("tokens").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+    return rows.select("source_id", "row", F.flatten(F.col("pieces.tokens")).alias("tokens")).where(F.size("tokens") == length)
+
+
+def packed_rows(tokens: DataFrame, length: int) -> DataFrame:
+    """row_arrays as (source_id, row, pos, token), dealt by (source_id, row), so windows over a row need no shuffle of their own."""
+    return row_arrays(tokens, length).select("source_id", "row", F.posexplode("tokens").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once and not for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def starts_of(tokens: Column, eod: int = EOD) -> Column:
+    """Where segments begin: at 0 and after each end of document. tokens isn't empty."""
+    return F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: (i == 0) | (F.get(tokens, i - 1) == eod))
+
+
+def _along(tokens: Column, value: Callable[[Column, Column], Column], eod: int) -> Column:
+    """value(start, number) of its segment, for each position."""
+    ends = lambda starts, k: F.coalesce(F.get(starts, k + 1), F.size(tokens))
+    return let(starts_of(tokens, eod), lambda starts: F.flatten(F.transform(starts, lambda s, k: F.array_repeat(value(s, k), ends(starts, k) - s))))
+
+
+def segments_of(tokens: Column, eod: int = EOD) -> Column:
+    """The segment of each position, from 1."""
+    return _along(tokens, lambda s, k: (k + 1).cast("long"), eod)
+
+
+def targets_of(tokens: Column, eod: int = EOD) -> Column:
+    """The next token, or IGNORED where the token is an end of document, for all positions but the last."""
+    return F.transform(F.slice(tokens, F.lit(1), F.size(tokens) - 1), lambda t, i: F.when(t == eod, F.lit(IGNORED)).otherwise(F.get(tokens, i + 1)))
+
+
+def triples_of(tokens: Column, eod: int = EOD) -> Column:
+    """(token, next, target) for predicting two ahead; IGNORED if token or next ends a document."""
+
+    def triple(t: Column, i: Column) -> Column:
+        following = F.get(tokens, i + 1)
+        return F.struct(t.alias("token"), following.alias("next"), F.when((t == eod) | (following == eod), F.lit(IGNORED)).otherwise(F.get(tokens, i + 2)).alias("target"))
+
+    return F.transform(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 2, F.lit(0))), triple)
+
+
+def mask_of(tokens: Column, eod: int = EOD) -> Column:
+    """(pairs, keys_sum) as mask_sizes has them."""
+
+    def sizes(starts: Column) -> Column:
+        def add(a: Column, k: Column) -> Column:
+            s = F.get(starts, k).cast("long")
+            return let(F.coalesce(F.get(starts, k + 1), F.size(tokens)) - s, lambda n: let(n * (n + 1) / 2, lambda p: F.struct((a["pairs"] + p.cast("long")).alias("pairs"), (a["keys_sum"] + (s * p + (n - 1) * n * (n + 1) / 6).cast("long")).alias("keys_sum"))))
+
+        zero = F.lit(0).cast("long")
+        return F.aggregate(F.sequence(F.lit(0), F.size(starts) - 1), F.struct(zero.alias("pairs"), zero.alias("keys_sum")), add)
+
+    return let(starts_of(tokens, eod), sizes)
+
+
+def lagged_of(values: Column, tokens: Column, weights: list[float], eod: int = EOD) -> Column:
+    """Sums over lags of weight times the value so many positions before, 0 across segments, for each position."""
+
+    def summed(begins: Column) -> Column:
+        lags = lambda v, i: (F.when(i - lag >= F.get(begins, i), F.get(values, i - lag) * w).otherwise(0.0) for lag, w in enumerate(weights))
+        return F.transform(values, lambda v, i: sum(lags(v, i), F.lit(0.0)))
+
+    return let(_along(tokens, lambda s, k: s, eod), summed)
 
 
 def _row(keys: tuple[str, ...]):

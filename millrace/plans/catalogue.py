@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import maths, options
 from millrace.functions import text as T
+from millrace.functions.tables import spread
 from millrace.operators import contamination as C
 from millrace.operators import contracts, interleave, matching, metrics, orders, packing, segments
 from millrace.plans import oracles
@@ -237,11 +238,11 @@ def stored_record_index(spark, sf_dir):
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.tokenised(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
+    return packing.tokenised(spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text")), "source", "doc_id", "text")
 
 
 def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.hashed_lengths(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
+    return packing.hashed_lengths(spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text")), "source", "doc_id", "text")
 
 
 @query
@@ -399,49 +400,67 @@ def resumable_stream(spark, sf_dir):
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = packing.offsets(tokens(spark, sf_dir))
-    return segments.packed_rows(t, LENGTH)
+    return segments.row_arrays(packing.offsets(tokens(spark, sf_dir)), LENGTH)
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
+
+
+def ignored(targets: Column) -> Column:
+    return F.size(F.filter(targets, lambda t: t == segments.IGNORED)).cast("long")
+
+
+def exploded(df: DataFrame, values: Column, name: str) -> DataFrame:
+    return df.select("source_id", "row", F.posexplode(values).alias("pos", name)).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query
 def packed_rows(spark, sf_dir):
-    return rows(spark, sf_dir)
+    return exploded(rows(spark, sf_dir), F.col("tokens"), "token")
 
 
 @query
 def segment_ids(spark, sf_dir):
-    return segments.with_segments(rows(spark, sf_dir)).select("source_id", "row", "pos", "segment")
+    return exploded(rows(spark, sf_dir), segments.segments_of(F.col("tokens")), "segment")
 
 
 @query
 def masked_targets(spark, sf_dir):
-    return segments.with_targets(rows(spark, sf_dir)).groupBy("source_id", "row").agg(F.sum("target").alias("targets"), F.count_if(F.col("target") == segments.IGNORED).alias("ignored"), F.count("*").alias("positions"))
+    t = rows(spark, sf_dir).select("source_id", "row", segments.targets_of(F.col("tokens")).alias("t"))
+    return t.select("source_id", "row", total(F.col("t")).alias("targets"), ignored(F.col("t")).alias("ignored"), F.size("t").cast("long").alias("positions"))
 
 
 @query
 def mtp_triples(spark, sf_dir):
-    return segments.triples(rows(spark, sf_dir)).groupBy("source_id", "row").agg(F.sum("target").alias("targets"), F.sum(F.col("token").cast("long") * F.col("next")).alias("products"), F.count_if(F.col("target") == segments.IGNORED).alias("ignored"))
+    t = rows(spark, sf_dir).select("source_id", "row", segments.triples_of(F.col("tokens")).alias("t"))
+    products = F.transform("t", lambda x: x["token"].cast("long") * x["next"])
+    return t.select("source_id", "row", total(F.col("t.target")).alias("targets"), total(products).alias("products"), ignored(F.col("t.target")).alias("ignored"))
 
 
 @query
 def cu_seqlens(spark, sf_dir):
-    return segments.cu_seqlens(rows(spark, sf_dir), LENGTH)
+    r = rows(spark, sf_dir)
+    starts = r.select("source_id", "row", F.explode(segments.starts_of(F.col("tokens"))).alias("start"))
+    ends = r.groupBy("source_id").agg(((F.max("row") + 1) * LENGTH).alias("offset"))
+    return starts.select("source_id", (F.col("row") * LENGTH + F.col("start")).alias("offset")).union(ends)
 
 
 @query
 def document_mask(spark, sf_dir):
-    return segments.mask_sizes(rows(spark, sf_dir)).withColumnRenamed("keys_sum", "keys")
+    return rows(spark, sf_dir).select("source_id", "row", segments.mask_of(F.col("tokens")).alias("m")).select("source_id", "row", "m.pairs", F.col("m.keys_sum").alias("keys"))
 
 
 @query
 def lagged_sum(spark, sf_dir):
-    r = segments.lagged_sum(rows(spark, sf_dir).withColumn("value", F.col("token").cast("double")), "value", MTP_WEIGHTS)
-    return rounded(r.groupBy("source_id", "row").agg(F.sum("lagged").alias("lagged")), 3)
+    values = F.transform("tokens", lambda t: t.cast("double"))
+    lagged = rows(spark, sf_dir).withColumn("values", values).select("source_id", "row", segments.lagged_of(F.col("values"), F.col("tokens"), MTP_WEIGHTS).alias("lagged"))
+    return rounded(lagged.select("source_id", "row", F.aggregate("lagged", F.lit(0.0), lambda a, v: a + v).alias("lagged")), 3)
 
 
 @query
 def segment_boundaries(spark, sf_dir):
-    return segments.boundaries(rows(spark, sf_dir))
+    return rows(spark, sf_dir).select("source_id", "row", (F.size(segments.starts_of(F.col("tokens"))) - 1).cast("long").alias("boundaries"))
 
 
 # Metrics
