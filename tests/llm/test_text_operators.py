@@ -235,3 +235,72 @@ def test_web_tokens_start_at_the_first_mark_of_a_run(spark):
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.s for r in df.select("doc_id", secrets.joined(secrets.spans(F.col("text")), 5).alias("s")).collect()}
     assert got == {i: ",".join(f"jwt:{m.start()}:{m.end()}" for m in re.finditer(secrets.JWT, t)) for i, t in enumerate(texts)} and got[1] == "jwt:2:49"
+
+
+REAL = [f"Paragraph number {k} of the article is long enough that it stands out, with a second clause to it." for k in range(5)]
+BODY = "<h1>Title of it</h1>" + "".join(f"<p>{p}</p>" for p in REAL)
+WHOLE = "\n\n".join(["Title of it", *REAL])
+
+
+def test_pages_in_forms_hidden_bodies_and_unclosed_elements():
+    menu, foot = "<nav><a>Home</a> <a>News</a></nav>", "<footer>Imprint</footer>"
+    for page in (
+        f"<body><form id=aspnetForm>{menu}<div>{BODY}</div>{foot}</form></body>", f"<body>{menu}<form><article>{BODY}</article></form>{foot}</body>", f"<body aria-hidden='true'>{menu}<div>{BODY}</div>{foot}</body>",
+        f"<body>{menu}<aside><article>{BODY}</article>{foot}</body>", f"<body>{menu}<select><option>1<option>2<article>{BODY}</article>{foot}</body>", f"<body>{menu}<article>{BODY}</article><form><p>Your mail</p></form><aside><p>See also</p></aside></body>",
+        f"<body><div hidden><p>Not shown</p></div><article>{BODY}</article></body>",
+    ):
+        assert html_text.extract(page) == WHOLE, page
+
+
+def test_names_inside_the_article_and_remarks_behind_it():
+    named = f"<article><h1>Title of it</h1><p id='share-price'>{REAL[0]}</p><blockquote class='related-quote'>{REAL[1]}</blockquote><div class='advert'>Buy!</div></article>"
+    assert html_text.extract(f"<body>{named}</body>") == "\n\n".join(["Title of it", REAL[0], REAL[1]])
+    remarks = "".join(f"<div><b>Reader {k}</b><p>I think <i>so</i> too, number {k}.</p></div>" for k in range(40))
+    one = "A single sentence is the whole of this article, and it says all that there is to say about its matter."
+    assert html_text.extract(f"<body><article><p>{one}</p></article><div class='discussion'>{remarks}</div></body>") == one
+    small = "A short item of news beside the long one."
+    assert html_text.extract(f"<main><article>{BODY}</article><article><p>{small}</p></article></main>") == f"{WHOLE}\n\n{small}"
+
+
+HOSTILE = ["<a " * 340_000, "<!--" * 250_000, '<a x="' * 170_000, "</a " * 250_000, "<?x " * 250_000, "<!x " * 250_000, "<![x " * 200_000, '<a x="' * 170_000 + ">", "<!--" * 250_000 + ">", "<a/" * 300_000, "&#" * 500_000, "<p><!-- -->" * 90_000]
+
+
+def test_hostile_pages_are_read_in_time():
+    import time
+
+    for page in HOSTILE:
+        began = time.time()
+        html_text.extract(page)
+        assert time.time() - began < 4, page[:20]
+    assert html_text.extract("<p>text<!-- a comment without an end <p>more") == "text"
+    assert html_text.extract("<p>text <a href=") == "text <a href="
+
+
+def slow_ratios(page_lines, sigma=1.5):
+    """Ratios, their smoothing line by line, and the best cut by trying each."""
+    reach = int(3 * sigma + 0.5)
+    out = []
+    for i in range(len(page_lines)):
+        near = [(j, 2.718281828459045 ** (-0.5 * ((j - i) / sigma) ** 2)) for j in range(max(0, i - reach), min(len(page_lines), i + reach + 1))]
+        out.append(sum(page_lines[j] * w for j, w in near) / sum(w for _, w in near))
+    best = None
+    for cut in sorted(set(out)):
+        low, high = [x for x in out if x <= cut], [x for x in out if x > cut]
+        if high:
+            error = sum(sum((x - sum(part) / len(part)) ** 2 for x in part) for part in (low, high))
+            if best is None or error < best[0] - 1e-9:
+                best = (error, (max(low) + min(high)) / 2)
+    return out, best[1] if best else 0.0
+
+
+def test_smoothing_and_clusters_equal_slow_ones():
+    import random
+
+    import numpy as np
+
+    r = random.Random(6)
+    for n in (1, 2, 3, 7, 40):
+        ratio = [float(r.choice((0, 1, 2, 30, 80)) + r.random()) for _ in range(n)]
+        want, cut = slow_ratios(ratio)
+        got = html_text.smoothed(np.array(ratio))
+        assert np.allclose(got, want) and abs(html_text.threshold(got) - cut) < 1e-6
