@@ -2,8 +2,13 @@
 
 spark.dataSource.register(ShardSource); spark.read.format("token_shards").load(folder) gives (source_id, shard, doc_seq, tokens),
 one partition per shard. Manifests may list shards under splits, under interleave.sources or in one flat list. Writing takes rows (source_id, doc_seq, tokens) and makes, of each task's rows, one shard per source,
-named <source>-<split>-<job>-<task>.bin; the manifest, written last, lists what the folder holds. Appending adds to the manifest,
-overwriting replaces it and then removes the shards it listed before. write_shards() puts each source's documents in order first.
+named <source>-<split>-<job>-<task>.bin. Appending adds to the manifest, overwriting replaces what it lists and then removes those
+shards. write_shards() puts each source's documents in order first.
+
+A write is one file under _commits, named by time and job: what it adds and removes. The manifest is made from all of them, with
+totals of the splits, the tokenizer and the training sources, by every writer after its own; a writer that finds other commits than
+it has just put in makes it again. So the last manifest of writers that run at once has all their shards, on any file system that
+moves files in one step. A manifest from elsewhere is taken over as the first commit.
 Paths may be any URI that pyarrow's file systems know.
 """
 
@@ -12,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,7 +31,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 SCHEMA = "source_id string, shard string, doc_seq long, tokens array<int>"
-FORMAT, MANIFEST = "document-indexed-uint16-shards", "manifest.json"
+FORMAT, MANIFEST, COMMITS = "document-indexed-uint16-shards", "manifest.json", "_commits"
+# End of document, size of the vocabulary.
+EOD, VOCABULARY = 4, 49_152
 #: Tokens handed to Spark at once, but for longer documents.
 AT_ONCE = 1 << 20
 
@@ -83,8 +91,6 @@ def declared(manifest: dict, split: str | None) -> list[dict]:
     """Every shard that a manifest declares, of one split if asked for: those under splits, those of interleave.sources (which
     name the source, and belong to any split unless splits has them), or the flat list. Each path comes once."""
     out: dict[str, dict] = {}
-    for s in manifest.get("shards") or []:
-        out.setdefault((s := shard(s))["path"], s)
     for name, v in (manifest.get("splits") or {}).items():
         for s in v.get("shards") or []:
             s = shard(s, split=name)
@@ -93,9 +99,72 @@ def declared(manifest: dict, split: str | None) -> list[dict]:
         for s in source.get("shards") or []:
             s = shard(s)
             out[s["path"]] = out.get(s["path"], {}) | s | {"source_id": source.get("source_id")}
+    for s in manifest.get("shards") or []:
+        s = shard(s)
+        out[s["path"]] = out.get(s["path"], {}) | s
     return [s for s in out.values() if split is None or s.get("split") in (None, split)]
 
 
+def _put(fs: pyarrow.fs.FileSystem, path: str, value: dict) -> None:
+    """A JSON file that is there whole or not at all."""
+    part = f"{path}.{uuid.uuid4().hex}.tmp"
+    with fs.open_output_stream(part) as f:
+        f.write(json.dumps(value, ensure_ascii=False, sort_keys=True).encode())
+    fs.move(part, path)
+
+
+def commits(fs: pyarrow.fs.FileSystem, folder: str) -> list[str]:
+    """The commits of a folder, in order."""
+    found = fs.get_file_info(pyarrow.fs.FileSelector(f"{folder}/{COMMITS}", allow_not_found=True))
+    return sorted(i.base_name for i in found if i.base_name.endswith(".json"))
+
+
+def begin(fs: pyarrow.fs.FileSystem, folder: str, manifest: dict | None) -> None:
+    """Take over a manifest that was made elsewhere as the first commit."""
+    if manifest is not None and not commits(fs, folder):
+        members = {k: v for k, v in manifest.items() if k not in ("shards", "splits", "interleave")}
+        sources = {s.get("source_id"): [s.get("weight", 1.0), s.get("major", True)] for s in (manifest.get("interleave") or {}).get("sources") or []}
+        _put(fs, f"{folder}/{COMMITS}/{0:020d}-taken-over.json", {"add": declared(manifest, None), "remove": [], "members": members, "sources": sources, "tokenizer": manifest.get("tokenizer")})
+
+
+def merged(found: list[dict]) -> dict:
+    """The manifest of commits, in order: a shard of the same path is replaced, a source has the weight it was last given."""
+    members: dict = {"schema_version": 1, "format": FORMAT, "eod_token_id": EOD}
+    shards: dict[str, dict] = {}
+    said: dict[str, list] = {}
+    for c in found:
+        members |= c.get("members") or {}
+        if own := c.get("tokenizer"):
+            if members.setdefault("tokenizer", own).get("sha256") != own.get("sha256"):
+                raise ValueError("the folder was made with another tokenizer")
+        for path in c["remove"]:
+            shards.pop(path, None)
+        shards |= {s["path"]: s for s in c["add"]}
+        said |= c.get("sources") or {s["source_id"]: [c["weight"], c["major"]] for s in c["add"] if c["split"] == "train"}
+    listed = [shards[k] for k in sorted(shards)]
+    splits = {}
+    for name in sorted({s.get("split") or "train" for s in listed}):
+        own = [s for s in listed if (s.get("split") or "train") == name]
+        counted = {k: sum(s[k] for s in own) for k in ("tokens", "documents") if all(k in s for s in own)}
+        splits[name] = counted | {"shards": own}
+    train = (splits.get("train") or {}).get("shards", [])
+    sources = [{"source_id": k, "weight": w, "major": m, "shards": own} for k, (w, m) in sorted(said.items()) if (own := [s for s in train if s.get("source_id") == k])]
+    return members | {"shards": listed, "splits": splits, "interleave": {"sources": sources}}
+
+
+def settle(fs: pyarrow.fs.FileSystem, folder: str) -> dict:
+    """Write the manifest of all commits, again and again until no commit has come in between."""
+    while True:
+        names, found = commits(fs, folder), []
+        for n in names:
+            with fs.open_input_file(f"{folder}/{COMMITS}/{n}") as f:
+                found.append(json.loads(f.read()))
+        manifest = merged(found)
+        _put(fs, f"{folder}/{MANIFEST}", manifest)
+        if commits(fs, folder) == names:
+            return manifest
+
+
 class ShardSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -108,7 +177,7 @@ class ShardSource(DataSource):
         return ShardReader(self.options["path"], self.options.get("split"))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return ShardWriter(self.options["path"], overwrite, self.options.get("split", "train"))
+        return ShardWriter(self.options["path"], overwrite, self.options.get("split", "train"), dict(self.options))
 
 
 class ShardReader(DataSourceReader):
@@ -184,8 +253,15 @@ class _Shard:
 
 
 class ShardWriter(DataSourceWriter):
-    def __init__(self, path: str, overwrite: bool = False, split: str = "train"):
+    """Options: split, and of its sources weight (1) and minor (false); tokenizer and tokenizer_sha256, which a folder has one of."""
+
+    def __init__(self, path: str, overwrite: bool = False, split: str = "train", options: dict[str, str] | None = None):
         self.path, self.overwrite, self.split, self.job = path, overwrite, split, uuid.uuid4().hex[:12]
+        said = options or {}
+        self.weight, self.major = float(said.get("weight", 1)), said.get("minor", "false").lower() != "true"
+        if not 0 < self.weight < float("inf"):
+            raise ValueError("a source's weight must be finite and positive")
+        self.tokenizer = {"path": said.get("tokenizer", ""), "sha256": said["tokenizer_sha256"], "vocab_size": VOCABULARY} if said.get("tokenizer_sha256") else None
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         fs, folder = _open(self.path)
@@ -201,10 +277,11 @@ class ShardWriter(DataSourceWriter):
         return Written([{"source_id": s, "split": self.split} | x.entry() for s, x in open_.items()])
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        """Rename every shard, write the manifest, and only then remove what an overwrite replaces. Names hold the job, so no
-        shard of another write is touched; an interrupted write leaves the manifest before it in force."""
+        """Rename every shard, write the commit, then the manifest, and only then remove what an overwrite replaces. Names hold the
+        job, so no shard of another write is touched; a write that is interrupted before its commit leaves things as they were."""
         fs, folder = _open(self.path)
-        fs.create_dir(folder, recursive=True)
+        fs.create_dir(f"{folder}/{COMMITS}", recursive=True)
+        begin(fs, folder, manifest_of(self.path))
         before = declared(manifest_of(self.path) or {}, None)
         new = []
         for m in messages:
@@ -213,13 +290,17 @@ class ShardWriter(DataSourceWriter):
                 fs.move(f"{stem}.bin.tmp", f"{folder}/{s['path']}")
                 fs.move(f"{stem}.idx.tmp", f"{folder}/{s['index']}")
                 new.append(s)
-        new.sort(key=lambda s: s["path"])
-        listed = new if self.overwrite else [*before, *new]
-        if not listed and not before and not messages:
+        if not new and not (self.overwrite and before):
             return
-        with fs.open_output_stream(f"{folder}/{MANIFEST}.{self.job}.tmp") as f:
-            f.write(json.dumps({"schema_version": 1, "format": FORMAT, "shards": listed}, ensure_ascii=False, sort_keys=True).encode())
-        fs.move(f"{folder}/{MANIFEST}.{self.job}.tmp", f"{folder}/{MANIFEST}")
+        name = f"{time.time_ns():020d}-{self.job}.json"
+        removed = [s["path"] for s in before] if self.overwrite else []
+        _put(fs, f"{folder}/{COMMITS}/{name}", {"add": new, "remove": removed, "split": self.split, "weight": self.weight, "major": self.major, "tokenizer": self.tokenizer})
+        try:
+            settle(fs, folder)
+        except ValueError:
+            fs.delete_file(f"{folder}/{COMMITS}/{name}")
+            settle(fs, folder)
+            raise
         for s in before if self.overwrite else ():
             for name in (s["path"], s["index"]):
                 if fs.get_file_info(f"{folder}/{safe_path(name)}").type != pyarrow.fs.FileType.NotFound:
@@ -233,7 +314,7 @@ class ShardWriter(DataSourceWriter):
                 fs.delete_file(i.path)
 
 
-def write_shards(df: DataFrame, path: str, split: str = "train", mode: str = "append") -> None:
+def write_shards(df: DataFrame, path: str, split: str = "train", mode: str = "append", **options: str) -> None:
     """Write (source_id, doc_seq, tokens) with each source's documents in order of doc_seq within a shard.
 
     Rows are dealt by range of source and document, so that a large source is many shards. Without rows there is nothing to train
@@ -243,4 +324,4 @@ def write_shards(df: DataFrame, path: str, split: str = "train", mode: str = "ap
         raise ValueError("there are no documents to write")
     df.sparkSession.dataSource.register(ShardSource)
     ordered = df.select("source_id", "doc_seq", "tokens").repartitionByRange("source_id", "doc_seq").sortWithinPartitions("source_id", "doc_seq")
-    ordered.write.format("token_shards").option("split", split).mode(mode).save(path)
+    ordered.write.format("token_shards").options(split=split, **options).mode(mode).save(path)

@@ -69,7 +69,7 @@ def test_written_shards_are_adapted(spark, tmp_path):
     S.write_shards(df.coalesce(1), str(tmp_path / "out"))
     got = M.adapted(M.frame(spark, M.parsed(spark, str(tmp_path / "out/manifest.json"))))
     checked = M.with_files(got, M.files(spark, str(tmp_path / "out"))).collect()
-    assert {(r.source_id, r.weight, r.major, r.adapter) for r in checked} == {("web-x", 1.0, True, M.LEGACY)} and sum(r.tokens for r in checked) == 12
+    assert {(r.source_id, r.weight, r.major, r.adapter) for r in checked} == {("web-x", 1.0, True, M.CANONICAL)} and sum(r.tokens for r in checked) == 12
 
 
 def test_validation_sources(spark, tmp_path):

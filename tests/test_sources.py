@@ -106,3 +106,59 @@ def test_packer_keeps_its_tail_over_restarts(spark, tmp_path):
         assert q.awaitTermination(90)
     rows = spark.read.parquet(str(tmp_path / "out")).orderBy("row").collect()
     assert [t for r in rows for t in r.tokens] == flat[:20] and [r.row for r in rows] == [0, 1, 2, 3]
+
+
+SHARD_SCHEMA = "source_id string, doc_seq long, tokens array<int>"
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    out = str(tmp_path / "out")
+
+    def write(k):
+        shards.write_shards(spark.createDataFrame([(f"s{k % 3}", d, [100 * k + d]) for d in range(4)], SHARD_SCHEMA), out, "validation" if k == 5 else "train", weight=str(k % 3 + 1))
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(write, range(6)))
+    assert tokens_of(spark, out) == sorted((100 * k + d,) for k in range(6) for d in range(4))
+    m = json.loads((tmp_path / "out/manifest.json").read_text())
+    assert {k: (v["tokens"], v["documents"]) for k, v in m["splits"].items()} == {"train": (20, 20), "validation": (4, 4)}
+    assert [(s["source_id"], s["weight"], s["major"], sum(x["tokens"] for x in s["shards"])) for s in m["interleave"]["sources"]] == [("s0", 1.0, True, 8), ("s1", 2.0, True, 8), ("s2", 3.0, True, 4)]
+    assert len(list((tmp_path / "out/_commits").glob("*.json"))) == 6 and not list((tmp_path / "out").rglob("*.tmp"))
+
+
+def test_a_commit_that_comes_in_between_is_put_in(tmp_path, monkeypatch):
+    """Another writer's commit after this one has listed them and before it writes the manifest."""
+    fs, folder = shards._open(str(tmp_path))
+    (tmp_path / "_commits").mkdir()
+    said = lambda k: {"add": [{"path": f"s-{k}.bin", "index": f"s-{k}.idx", "source_id": "s", "split": "train", "tokens": 1, "documents": 1}], "remove": [], "split": "train", "weight": 1.0, "major": True, "tokenizer": None}
+    shards._put(fs, f"{folder}/_commits/1.json", said(1))
+    put, late = shards._put, [said(2)]
+
+    def slow(fs, path, value):
+        if path.endswith("manifest.json") and late:
+            put(fs, f"{folder}/_commits/2.json", late.pop())
+        put(fs, path, value)
+
+    monkeypatch.setattr(shards, "_put", slow)
+    shards.settle(fs, folder)
+    assert [s["path"] for s in json.loads((tmp_path / "manifest.json").read_text())["shards"]] == ["s-1.bin", "s-2.bin"]
+
+
+def test_manifests_from_elsewhere_are_taken_over(spark, tmp_path):
+    np.array([5, 4], dtype="<u2").tofile(tmp_path / "old-train-00000.bin")
+    np.array([0, 2], dtype="<u8").tofile(tmp_path / "old-train-00000.idx")
+    record = {"source_id": "old", "path": "old-train-00000.bin", "index": "old-train-00000.idx", "tokens": 2, "documents": 1}
+    manifest = {"schema_version": 1, "format": "document-indexed-uint16-shards", "eod_token_id": 4, "tokenizer": {"path": "t", "sha256": "aa", "vocab_size": 49152}, "splits": {"train": {"tokens": 2, "documents": 1, "shards": [record]}}, "interleave": {"sources": [{"source_id": "old", "weight": 0.25, "major": False, "shards": [record]}]}, "validation_source_weights": {"x": 2.0}}
+    (tmp_path / "manifest.json").write_text(json.dumps(manifest))
+    df = spark.createDataFrame([("new", 0, [7, 8, 4])], SHARD_SCHEMA)
+    with pytest.raises(Exception, match="another tokenizer"):
+        shards.write_shards(df, str(tmp_path), tokenizer="u", tokenizer_sha256="bb")
+    shards.write_shards(df, str(tmp_path), minor="true", tokenizer="t", tokenizer_sha256="aa")
+    m = json.loads((tmp_path / "manifest.json").read_text())
+    assert m["validation_source_weights"] == {"x": 2.0} and m["tokenizer"]["sha256"] == "aa" and m["splits"]["train"]["tokens"] == 5
+    assert [(s["source_id"], s["weight"], s["major"]) for s in m["interleave"]["sources"]] == [("new", 1.0, False), ("old", 0.25, False)]
+    assert tokens_of(spark, str(tmp_path)) == [(5, 4), (7, 8, 4)]
+    with pytest.raises(Exception, match="positive"):
+        shards.write_shards(df, str(tmp_path), weight="0")
