@@ -66,23 +66,28 @@ def plain_windows(size: Column, seq: int) -> Column:
     return F.when(size > seq, F.floor((size - seq - 1) / seq) + 1).otherwise(F.lit(0))
 
 
-def validation_nll(windows: DataFrame, budget: int, weights: DataFrame | None = None) -> DataFrame:
-    """One row: weighted_nll, validation_tokens, sources. windows (shard, window, source, loss_sum, valid), read in that order.
+def source_nll(windows: DataFrame, budget: int, weights: DataFrame | None = None) -> DataFrame:
+    """(source, nll, tokens, weight) of windows (shard, window, source, loss_sum, valid), read in that order.
 
     Reading stops before the first window at which the budget of valid targets is used up over all sources. Weights are those
-    declared (an error if one is missing) or the share of tokens. Without windows weighted_nll is null. The running sum over
-    all windows is taken per shard first, so that no task sees them all.
+    declared (an error if one is missing) or the share of tokens. The running sum over all windows is taken per shard first, so
+    that no task sees them all.
     """
     per_shard = windows.groupBy("shard").agg(F.sum("valid").alias("n"))
     before = per_shard.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))  # a row per shard
     inside = F.sum("valid").over(Window.partitionBy("shard").orderBy("window")) - F.col("valid")
     used = windows.withColumn("inside", inside).join(before, "shard").where(F.col("inside") + F.col("before") < budget)
     per = used.groupBy("source").agg((F.sum("loss_sum") / F.sum("valid")).alias("nll"), F.sum("valid").alias("tokens"))
-    w = F.col("tokens").cast("double")
-    if weights is not None:
-        per = per.join(weights, "source", "left")
-        w = F.coalesce("weight", F.raise_error(F.concat(F.lit("no weight for "), "source")).cast("double"))
-    return per.withColumn("w", w).agg((F.sum(F.col("w") * F.col("nll")) / F.greatest(F.sum("w"), F.lit(maths.FLOOR))).alias("weighted_nll"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("validation_tokens"), F.count("*").alias("sources"))
+    if weights is None:
+        return per.withColumn("weight", F.col("tokens") / F.greatest(F.sum("tokens").over(Window.partitionBy()), F.lit(1)))  # a row per source
+    declared = weights.select("source", F.col("weight").cast("double").alias("weight"))
+    return per.join(declared, "source", "left").withColumn("weight", F.coalesce("weight", F.raise_error(F.concat(F.lit("no weight for "), "source")).cast("double")))
+
+
+def validation_nll(windows: DataFrame, budget: int, weights: DataFrame | None = None) -> DataFrame:
+    """One row: weighted_nll, validation_tokens, sources, of source_nll's rows. Without windows weighted_nll is null."""
+    w = F.col("weight")
+    return source_nll(windows, budget, weights).agg((F.sum(w * F.col("nll")) / F.greatest(F.sum(w), F.lit(maths.FLOOR))).alias("weighted_nll"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("validation_tokens"), F.count("*").alias("sources"))
 
 
 def steady_throughput(log: DataFrame, run: str, order: list[str], rate: str, peak: str, limit: float) -> DataFrame:

@@ -14,7 +14,7 @@ from millrace.operators import contamination as C
 from millrace.operators import contracts, interleave, matching, metrics, orders, packing, segments
 from millrace.plans import oracles
 from millrace.plans.settings import BENCHMARK, CHUNK, CHUNKS, COVERAGE_STEPS, LENGTH, MTP_WEIGHTS, RECENT, SEED, STEP, VALID
-from millrace.sources import benchmarks, indexes, interleaved, manifests
+from millrace.sources import benchmarks, indexes, interleaved, manifests, windows
 from millrace.sources import shards as token_shards
 from millrace.sources.folders import shared_folder
 
@@ -524,11 +524,29 @@ def weighted_validation(spark, sf_dir):
     return rounded(metrics.weighted(measured(spark, sf_dir), weights))
 
 
-@query
-def validation_nll(spark, sf_dir):
+def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     windows = e.groupBy(F.floor(F.col("event_id") / 500).alias("shard"), (F.floor(F.col("event_id") / 10) % 50).alias("window")).agg(F.sum(F.abs("value")).alias("loss_sum"), F.count("*").alias("valid"), F.max("event_id").alias("e"))
-    return rounded(metrics.validation_nll(windows.withColumn("source", F.concat(F.lit("s"), F.col("shard") % 4)), VALID), 5)
+    return windows.withColumn("source", F.concat(F.lit("s"), F.col("shard") % 4))
+
+
+@query
+def validation_nll(spark, sf_dir):
+    return rounded(metrics.validation_nll(losses(spark, sf_dir), VALID), 5)
+
+
+@query
+def validation_by_source(spark, sf_dir):
+    return rounded(metrics.source_nll(losses(spark, sf_dir), VALID), 5)
+
+
+@query
+def validation_windows(spark, sf_dir):
+    """What a validation of the packed corpus reads within its budget: windows and valid targets of each source."""
+    data = shared_folder(spark)
+    token_shards.write_shards(tokens(spark, sf_dir), data, "validation")
+    read = windows.read_windows(spark, data, LENGTH, VALID)
+    return read.groupBy("source").agg(F.count("*").alias("windows"), F.sum("valid").alias("valid"), F.sum(F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + t)).alias("ids"))
 
 
 @query

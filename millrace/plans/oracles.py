@@ -274,6 +274,12 @@ r AS (SELECT *, sum(valid) OVER (ORDER BY shard, win) - valid AS before FROM w),
 p AS (SELECT 's' || shard % 4 AS source, sum(loss_sum) / sum(valid) AS nll, sum(valid) AS tokens FROM r WHERE before < {VALID} GROUP BY ALL)
 SELECT round(sum(tokens * nll) / sum(tokens), 5) AS weighted_nll, sum(tokens)::BIGINT AS validation_tokens, count(*) AS sources FROM p
 """
+SQL["validation_by_source"] = f"""
+WITH w AS (SELECT event_id // 500 AS shard, event_id // 10 % 50 AS win, sum(abs(value)) AS loss_sum, count(*) AS valid FROM events GROUP BY ALL),
+r AS (SELECT *, sum(valid) OVER (ORDER BY shard, win) - valid AS before FROM w),
+p AS (SELECT 's' || shard % 4 AS source, sum(loss_sum) / sum(valid) AS nll, sum(valid)::BIGINT AS tokens FROM r WHERE before < {VALID} GROUP BY ALL)
+SELECT source, round(nll, 5) AS nll, tokens, round(tokens / sum(tokens) OVER (), 5) AS weight FROM p
+"""
 SQL["steady_throughput"] = """
 WITH n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)
 SELECT user_id, round(median(value) FILTER (k > 1), 6) AS steady_median, round(avg(value) FILTER (k > 1), 6) AS steady_mean, round(max(value), 6) AS peak, bool_and(value IS NOT NULL AND isfinite(value)) AS all_finite, count(*) AS steps,

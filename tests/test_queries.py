@@ -35,7 +35,7 @@ CONTAMINATION = {"contamination_span", "contamination_screen"}
 
 
 def test_the_rest_find_what_the_words_alone_find(spark):
-    assert set(catalogue.QUERIES) - set(catalogue.SQL) == CONTAMINATION | {"shard_order_pieces", "resumable_stream"}
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == CONTAMINATION | {"shard_order_pieces", "resumable_stream", "validation_windows"}
     rest = {name: catalogue.QUERIES[name](spark, SF).select("doc_id").distinct().collect() for name in CONTAMINATION}
     words = {r.doc_id for r in catalogue.QUERIES["contamination_word_span"](spark, SF).collect()}
     assert words and words <= {r.doc_id for r in rest["contamination_span"]}
