@@ -14,7 +14,7 @@ from millrace.operators import contamination as C
 from millrace.operators import contracts, interleave, matching, metrics, orders, packing, segments
 from millrace.plans import oracles
 from millrace.plans.settings import BENCHMARK, CHUNK, CHUNKS, COVERAGE_STEPS, LENGTH, MTP_WEIGHTS, RECENT, SEED, STEP, VALID
-from millrace.sources import benchmarks, indexes, interleaved, manifests, windows
+from millrace.sources import benchmarks, indexes, interleaved, manifests, text_files, windows
 from millrace.sources import shards as token_shards
 from millrace.sources.folders import shared_folder
 
@@ -64,6 +64,18 @@ def line_documents(spark, sf_dir):
     return lines.where(~T.is_blank(F.col("text"))).select("doc_id", F.col("line").cast("long").alias("line"), "text")
 
 
+@query
+def file_lines(spark, sf_dir):
+    """Lines of documents, written to text files one after the other and read back with their numbers."""
+    path = shared_folder(spark)
+    every = F.posexplode(T.lines_of(F.translate("text", "\r", "")))
+    written = table(spark, sf_dir, "documents").select("doc_id", every.alias("i", "line"))
+    written.select(F.concat(F.col("doc_id").cast("string"), F.lit("\t"), "line")).write.text(path)
+    read = text_files.lines(spark, path).withColumn("doc_id", F.substring_index("value", "\t", 1).cast("long"))
+    first = F.min("line").over(Window.partitionBy("path", "doc_id"))
+    return read.select("doc_id", (F.col("line") - first).alias("line"), F.expr("substr(value, instr(value, '\t') + 1)").alias("text"))
+
+
 @query
 def record_keys(spark, sf_dir):
     return records(spark, sf_dir).select("record_id", "key", F.char_length("key").cast("long").alias("key_chars"))

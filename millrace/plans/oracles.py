@@ -33,6 +33,10 @@ RECORDS = f"""rec AS (
 ), rc AS (SELECT record_id, pos, substr(c, pos + 1, 20) AS gram FROM cg
 ), rw AS (SELECT record_id, pos, array_to_string(w[pos + 1:pos + 13], ' ') AS gram FROM wg)"""
 
+SQL["file_lines"] = """
+WITH l AS (SELECT doc_id, string_split(replace(text, chr(13), ''), chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, unnest(range(0, len(l))) AS line, unnest(l) AS text FROM l
+"""
 SQL["record_keys"] = f"WITH {RECORDS} SELECT record_id, key, length(key) AS key_chars FROM rec"
 SQL["char_ngrams"] = f"WITH {RECORDS} SELECT record_id, pos, gram FROM rc"
 SQL["word_ngrams"] = f"WITH {RECORDS} SELECT record_id, pos, gram FROM rw"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -11,14 +11,19 @@ JSONL = r"\.jsonl(\.gz)?$"
 
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, line, value): lines in file order from 1, ended by \\n, \\r\\n or \\r; invalid UTF-8 is an error.
+    """(path, line, value): lines in file order from 1, ended by \\n, \\r\\n or \\r; invalid UTF-8 is an error. A byte order mark at a
+    file's start isn't part of its text.
 
-    A file is one row of the whole-text reader, as numbering its lines needs all of it: keep single files to a few hundred MB.
+    Files are read in splits, by many tasks. A first pass counts the lines of each split; what the splits before it hold, and the
+    place of a line in its own split, number it. Spark reads a split's lines in order, under numbers that rise by one.
     """
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.decode(F.col("value").cast("binary"), "UTF-8").alias("value"))
-    parts = F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")
-    split = whole.select("path", F.posexplode(parts).alias("i", "value"), F.size(parts).alias("n"))
-    return split.where((F.col("i") < F.col("n") - 1) | (F.col("value") != "")).select("path", (F.col("i") + 1).cast("long").alias("line"), "value")
+    own = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"))
+    read = spark.read.text(paths).select(own.alias("at"), F.monotonically_increasing_id().alias("id"), "value")
+    counted = read.groupBy("at").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    ahead = Window.partitionBy("at.path").orderBy("at.split").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    splits = counted.select("at", "first", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    line = F.col("before") + F.col("id") - F.col("first") + 1
+    return read.join(splits, "at").select("at.path", line.alias("line"), F.decode(F.col("value").cast("binary"), "UTF-8").alias("value"))
 
 
 def json_text(value: Column, where: Column) -> Column:

@@ -162,3 +162,38 @@ def test_manifests_from_elsewhere_are_taken_over(spark, tmp_path):
     assert tokens_of(spark, str(tmp_path)) == [(5, 4), (7, 8, 4)]
     with pytest.raises(Exception, match="positive"):
         shards.write_shards(df, str(tmp_path), weight="0")
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 17, 64, 1 << 20])
+def test_lines_are_numbered_over_splits_of_any_size(spark, tmp_path, size):
+    text = "a\r\nbb\rccc\n\n\r\r\n\u00e9\u00e9\u00e9\n  \r\nlast but one\r\r\n\nno end"
+    files = {"x.txt": text, "y.txt": text + "\r\n", "z.txt": "\r\n" * 9, "one.txt": "only", "none.txt": ""}
+    for name, t in files.items():
+        (tmp_path / name).write_bytes(t.encode())
+    with gzip.open(tmp_path / "packed.txt.gz", "wb") as f:
+        f.write(text.encode())
+    files["packed.txt.gz"] = text
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum") if spark.conf.get(k, None)}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = sorted((r.path.rsplit("/", 1)[1], r.line, r.value) for r in text_files.lines(spark, str(tmp_path)).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = []
+    for name, t in files.items():
+        cut = t.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+        want += [(name, k + 1, v) for k, v in enumerate(cut if cut[-1] else cut[:-1])]
+    assert got == sorted(want)
+
+
+def test_errors_name_the_line_in_a_later_split(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"text": "fine"}\n' * 40 + '{"text": 7}\n' + '{"text": "fine"}\n' * 40)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+        with pytest.raises(Exception, match="a.jsonl:41 needs a text field"):
+            text_files.read_documents(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
