@@ -11,7 +11,7 @@ from millrace.functions import maths, options
 from millrace.functions import text as T
 from millrace.functions.tables import spread
 from millrace.operators import contamination as C
-from millrace.operators import contracts, interleave, matching, metrics, orders, packing, segments
+from millrace.operators import contracts, interleave, matching, metrics, orders, packing, segments, tensors
 from millrace.plans import oracles
 from millrace.plans.settings import BENCHMARK, CHUNK, CHUNKS, COVERAGE_STEPS, LENGTH, MTP_WEIGHTS, RECENT, SEED, STEP, VALID
 from millrace.sources import benchmarks, indexes, interleaved, manifests, text_files, windows
@@ -487,6 +487,15 @@ def tensor_stats(spark, sf_dir):
     return rounded(metrics.tensor_stats(values(spark, sf_dir), ["label"], "v"))
 
 
+@query
+def buffer_stats(spark, sf_dir):
+    """tensor_stats over whole arrays, without a row for each value."""
+    e = table(spark, sf_dir, "embeddings").select("label", "embedding")
+    q = tensors.buffer_quantiles(e, ["label"], "embedding").withColumnRenamed("label", "__label")
+    m = tensors.moments(e, ["label"], "embedding")
+    return rounded(m.join(q, m["label"].eqNullSafe(q["__label"])).drop("__label"))
+
+
 @query
 def gate_stats(spark, sf_dir):
     return rounded(metrics.gate_stats(values(spark, sf_dir).withColumn("v", 1 / (1 + F.exp(-F.col("v") * 4))), ["label"], "v"))

@@ -238,6 +238,7 @@ def _stats(v: str) -> str:
 
 
 SQL["tensor_stats"] = f"WITH {VALUES} SELECT label, {_stats('v')} FROM v GROUP BY ALL"
+SQL["buffer_stats"] = SQL["tensor_stats"]
 SQL["gate_stats"] = f"""
 WITH {VALUES}, g AS (SELECT label, 1 / (1 + exp(-v * 4)) AS v FROM v)
 SELECT label, {_stats('v')}, round(avg((v < 0.01)::INT), 6) AS saturation_low, round(avg((v > 0.99)::INT), 6) AS saturation_high FROM g GROUP BY ALL
