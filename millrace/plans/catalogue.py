@@ -582,7 +582,16 @@ def recent_records(spark, sf_dir):
 
 @query
 def lr_schedule(spark, sf_dir):
-    return rounded(spark.range(0, 4000, 7).select(F.col("id").alias("step"), maths.learning_rate(F.col("id"), 200, 3000, 3e-4, 3e-5).alias("lr")), 10)
+    """The rate at the step of each order, four orders to a step."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("o_orderkey div 4").alias("step"))
+    return rounded(o.select("o_orderkey", "step", maths.learning_rate(F.col("step"), 200, 3000, 3e-4, 3e-5).alias("lr")), 10)
+
+
+@query
+def parameter_report(spark, sf_dir):
+    """Sizes by the first word of a name, and of all: parts stand for parameters."""
+    parts = table(spark, sf_dir, "part").select(F.concat_ws(".", "p_type", "p_brand").alias("name"), F.col("p_size").cast("long").alias("size"))
+    return metrics.totals_by_prefix(parts, "name", "size", ["ECONOMY.", "LARGE.", "MEDIUM.", "PROMO.", "SMALL.", "STANDARD."])
 
 
 @query

@@ -292,8 +292,11 @@ SELECT user_id, round(median(value) FILTER (k > 1), 6) AS steady_median, round(a
 """
 SQL["recent_records"] = f"SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= {RECENT}"
 SQL["lr_schedule"] = """
-SELECT s::BIGINT AS step, round(CASE WHEN s < 200 THEN 3e-4 * (s + 1) / 200 ELSE 3e-5 + 0.5 * (3e-4 - 3e-5) * (1 + cos(pi() * greatest(0, least(1, (s - 200) / 2800)))) END, 10) AS lr FROM range(0, 4000, 7) AS r(s)
+WITH o AS (SELECT o_orderkey, o_orderkey // 4 AS step FROM orders)
+SELECT o_orderkey, step, round(CASE WHEN step < 200 THEN 3e-4 * (step + 1) / 200 ELSE 3e-5 + 0.5 * (3e-4 - 3e-5) * (1 + cos(pi() * greatest(0, least(1, (step - 200) / 2800)))) END, 10) AS lr FROM o
 """
+_types = ", ".join(f"coalesce(sum(p_size) FILTER (p_type = '{t}'), 0)::BIGINT AS \"{t}\"" for t in ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD'))
+SQL["parameter_report"] = f"SELECT {_types}, sum(p_size)::BIGINT AS total FROM part"
 SQL["target_steps"] = "SELECT o_orderkey, ((o_orderkey * 1000003 + 1) + 65535) // 65536 AS steps FROM orders"
 SQL["activations"] = """
 SELECT event_id, round(4 * tanh(value / 50 / 4) / (1 + exp(-value / 50)), 5) AS gate, round(25 * tanh(value / 50 / 25), 5) AS softcap, round(exp(least(value / 50, 20)), 5) AS perplexity FROM events WHERE value IS NOT NULL
