@@ -34,7 +34,7 @@ def draws(seed: int, n: int) -> list[float]:
 def pick(weights: Sequence[float]) -> Callable[[np.ndarray], np.ndarray]:
     """Sources, by number, of uniform numbers: the first whose cumulative weight exceeds the number, the last if rounding leaves none."""
     if not all(0 < w < float("inf") for w in weights):
-        raise ValueError("source weights must be finite and positive")  # such a source would never be drawn
+        raise ValueError("a weight that draws a source is positive and not infinite")  # such a source would never be drawn
     upto = np.cumsum(weights)
     return lambda u: np.minimum(np.searchsorted(upto, u * upto[-1], "right"), len(upto) - 1)
 

@@ -51,7 +51,7 @@ def weighted(per: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted means of the per-source metrics (percentiles too); a source without a weight has 1. An error if they sum to 0 or less."""
     w = F.coalesce("weight", F.lit(1.0))
     fields = ("nll", "top1_accuracy", "correct_token_margin", "nll_p10", "nll_p90")
-    total = F.when(F.sum("w") > 0, F.sum("w")).otherwise(F.raise_error(F.lit("source weights must sum to a positive value")).cast("double"))
+    total = F.when(F.sum("w") > 0, F.sum("w")).otherwise(F.raise_error(F.lit("weights have to add up to a positive number")).cast("double"))
     got = per.join(weights, "source", "left").withColumn("w", w).agg(*((F.sum(F.col("w") * F.col(f)) / total).alias(f) for f in fields), total.alias("weight_sum"), F.sum("tokens").alias("tokens"))
     return got.withColumn("perplexity", maths.perplexity(F.col("nll")))
 
