@@ -37,13 +37,13 @@ CLOSES = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "
 NOISE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup login sidebar sidebars widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead toolbar share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies reviews copyright".split())
 #: First parts of names that say what a page has or hasn't, or what it is about.
 NEUTRAL = frozenset("has no not with without is category tag".split())
-#: Nested elements marked by name that a line counts; further ones inside change nothing.
-MARKS = 8
 #: What a head may hold; anything else ends it.
 HEAD = frozenset("title meta link script style base noscript template".split())
 #: Elements that such names don't mark.
 WHOLE = frozenset("html body main article".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: Containers that say themselves that they hold the content.
+NAMED = frozenset("article main".split())
 CONTAINERS = frozenset("article main section div td body html".split())
 SPACES = re.compile(r"\s+")
 PARTS = re.compile(r"[a-z]+")
@@ -52,12 +52,12 @@ SIGMA = 1.5
 
 
 class Line:
-    """at: the number of the innermost container around it."""
+    """at, mark: the numbers of the innermost container and of the innermost element marked by name around it (0: none)."""
 
-    __slots__ = ("at", "marks", "noise", "tags", "text")
+    __slots__ = ("at", "mark", "noise", "tags", "text")
 
-    def __init__(self, at: int, noise: bool, marks: tuple[int, ...]):
-        self.at, self.noise, self.marks, self.text, self.tags = at, noise, marks, [], 0
+    def __init__(self, at: int, noise: bool, mark: int):
+        self.at, self.noise, self.mark, self.text, self.tags = at, noise, mark, [], 0
 
 
 class Lines(HTMLParser):
@@ -66,19 +66,20 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        # tag, innermost container, noise, hidden, elements marked by name (each with what it inherits)
-        self.open: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
+        # tag, innermost container, noise, hidden, innermost element marked by name (each with what it inherits)
+        self.open: list[tuple[str, int, bool, bool, int]] = []
         self.within: Counter[str] = Counter()  # open elements by tag
         self.kinds: dict[int, str] = {0: ""}
         self.parent: dict[int, int] = {}  # of containers
+        self.marks: dict[int, tuple[int, int]] = {}  # the mark and the container around each element marked by name
         self.number = 0
         self.current: Line | None = None
         self.read, self.last_end, self.last_comment = "", -1, -1
 
     def line(self) -> Line:
         if self.current is None:
-            _, at, noise, _, marks = self.open[-1] if self.open else ("", 0, False, False, ())
-            self.current = Line(at, noise, marks)
+            _, at, noise, _, mark = self.open[-1] if self.open else ("", 0, False, False, 0)
+            self.current = Line(at, noise, mark)
             self.lines.append(self.current)
         return self.current
 
@@ -86,9 +87,7 @@ class Lines(HTMLParser):
         while self.open and (tag in CLOSES.get(self.open[-1][0], ()) or self.open[-1][0] == "head" and tag not in HEAD):
             self.within[self.open.pop()[0]] -= 1
         if tag in BLOCKS:
-            if tag != "p" and self.within["p"]:
-                self.close("p")
-            elif tag == "p" and any(t == "p" for t, *_ in self.open[-8:]):  # formatting elements may stand between
+            if self.within["p"]:  # formatting elements may stand between
                 self.close("p")
             self.current = None
         elif tag == "br" and self.current is not None:
@@ -96,16 +95,16 @@ class Lines(HTMLParser):
         self.line().tags += 1
         if tag in VOID:
             return
-        _, at, noise, hidden, marks = self.open[-1] if self.open else ("", 0, False, False, ())
+        _, at, noise, hidden, mark = self.open[-1] if self.open else ("", 0, False, False, 0)
         if not noise:
             noise = tag in BOILERPLATE or tag == "header" and not self.within["article"] + self.within["main"] or self.marked(attrs)
         self.number += 1
         inside = tag in TEXTS and self.within["article"] + self.within["main"]
-        if not noise and len(marks) < MARKS and (tag in SOFT or self.unseen(attrs) or tag not in WHOLE and not inside and self.named(attrs)):
-            marks = (*marks, self.number)
+        if not noise and (tag in SOFT or self.unseen(attrs) or tag not in WHOLE and not inside and self.named(attrs)):
+            self.marks[self.number], mark = (mark, at), self.number
         if tag in CONTAINERS:
             self.kinds[self.number], self.parent[self.number], at = tag, at, self.number
-        self.open.append((tag, at, noise, hidden or tag in HIDDEN, marks))
+        self.open.append((tag, at, noise, hidden or tag in HIDDEN, mark))
         self.within[tag] += 1
         if tag in BLOCKS:
             self.current = None
@@ -235,7 +234,7 @@ class Tree:
     """The containers of a page. Numbers rise in page order, so those inside a container follow it without a gap."""
 
     def __init__(self, p: Lines):
-        self.kinds, self.parent = p.kinds, p.parent
+        self.kinds, self.parent, self.marks = p.kinds, p.parent, p.marks
         self.last = {c: c for c in self.parent} | {0: 0}  # the last container inside each
         for c in sorted(self.parent, reverse=True):
             self.last[self.parent[c]] = max(self.last[self.parent[c]], self.last[c])
@@ -253,30 +252,54 @@ class Tree:
                 total[self.parent[c]] = total.get(self.parent[c], 0) + n
         return total
 
+    def named_below(self, held: dict[int, int]) -> dict[int, int]:
+        """Characters of the articles and main elements by the next such element around them (0: none), those inside not again."""
+        nearest, total = {0: 0}, {}
+        for c in sorted(self.parent):
+            p = self.parent[c]
+            nearest[c] = p if self.kinds[p] in NAMED else nearest[p]
+            if self.kinds[c] in NAMED:
+                total[nearest[c]] = total.get(nearest[c], 0) + held.get(c, 0)
+        return total
+
+    def named_around(self, at: int) -> list[int]:
+        """The articles and main elements that a container is or stands in, from the outermost."""
+        found = []
+        while at:
+            if self.kinds[at] in NAMED:
+                found.append(at)
+            at = self.parent[at]
+        return found[::-1]
+
 
 def _noise(tree: Tree, texts: list[tuple[Line, str]]) -> list[bool]:
     """Which lines are left out. Marks by name are passed over if they leave nothing, and at an element that holds most of the text,
     unless an article or main element that isn't around it holds a tenth as much without marks."""
     held: dict[int, int] = {}
-    first: dict[int, int] = {}  # the container of the first line under each mark
     seen = [(line, len(t)) for line, t in texts if not line.noise]
     for line, n in seen:
-        for m in line.marks:
-            held[m] = held.get(m, 0) + n
-            first.setdefault(m, line.at)
+        held[line.mark] = held.get(line.mark, 0) + n
+    for m in sorted(tree.marks, reverse=True):
+        if n := held.get(m):
+            held[tree.marks[m][0]] = held.get(tree.marks[m][0], 0) + n
     total = sum(n for _, n in seen)
+    most = [m for m in sorted(tree.marks) if 2 * held.get(m, 0) > total]  # each inside the one before: any two share a line
     passed = set()
-    most = [(m, n) for m, n in held.items() if 2 * n > total]
     if most:
-        named = [c for c, kind in tree.kinds.items() if kind in ("article", "main")]
-        plain = tree.held([line for line, _ in seen if not line.marks], [n for line, n in seen if not line.marks])
-        for m, n in most:
-            around = {c for c in named if c < m and tree.inside(first[m], c)}
-            own = [c for c in named if c not in around]
-            outer = [c for c in own if not any(p != c and tree.inside(c, p) for p in own)] if len(own) < 100 else own[:1]
-            if 10 * sum(plain.get(c, 0) for c in outer) < n:
+        plain = tree.held([line for line, _ in seen if not line.mark], [n for line, n in seen if not line.mark])
+        below = tree.named_below(plain)
+        around = tree.named_around(tree.marks[most[-1]][1])
+        elsewhere, k = below.get(0, 0), 0  # in the outermost articles and main elements that aren't around the mark
+        for m in most:
+            while k < len(around) and around[k] < m:
+                elsewhere += below.get(around[k], 0) - plain.get(around[k], 0)
+                k += 1
+            if 10 * elsewhere < held[m]:
                 passed.add(m)
-    noise = [line.noise or not passed.issuperset(line.marks) for line, _ in texts]
+    out = {0: False}  # whether a mark or one around it leaves out what it holds
+    for m in sorted(tree.marks):
+        out[m] = m not in passed or out[tree.marks[m][0]]
+    noise = [line.noise or out[line.mark] for line, _ in texts]
     return [line.noise for line, _ in texts] if all(noise) else noise
 
 

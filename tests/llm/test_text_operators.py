@@ -262,6 +262,16 @@ def test_names_inside_the_article_and_remarks_behind_it():
     assert html_text.extract(f"<main><article>{BODY}</article><article><p>{small}</p></article></main>") == f"{WHOLE}\n\n{small}"
 
 
+def test_any_number_of_articles_marks_and_open_elements_counts():
+    remark = "A remark of a reader that goes on and on, without any tag inside, so that it stands out from all items. " * 8
+    items = "".join(f"<article><p>Item <b>{k}</b> of <i>the</i> day</p></article>" for k in range(150))
+    assert html_text.extract(f"<body>{items}<div class='comments'><p>{remark}</p></div></body>") == "\n\n".join(f"Item {k} of the day" for k in range(150))
+    wrapped = "<div class='widget'>" * 9 + f"{BODY}<div class='advert'>Buy!</div>" + "</div>" * 9
+    assert html_text.extract(f"<body>{wrapped}</body>") == WHOLE
+    assert html_text.extract(f"<body>{'<div hidden><article>' * 20_000}{BODY}") == WHOLE
+    assert html_text.extract(f"<body><p class='share'>Tell{'<b>' * 9}<p>{REAL[0]}<p>{REAL[1]}</body>") == f"{REAL[0]}\n\n{REAL[1]}"
+
+
 HOSTILE = ["<a " * 340_000, "<!--" * 250_000, '<a x="' * 170_000, "</a " * 250_000, "<?x " * 250_000, "<!x " * 250_000, "<![x " * 200_000, '<a x="' * 170_000 + ">", "<!--" * 250_000 + ">", "<a/" * 300_000, "&#" * 500_000, "<p><!-- -->" * 90_000]
 
 
