@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from millrace.functions.tables import bounded
+
 # Fixed values.
 CHAR_GRAM, WORD_GRAM = 20, 13
 MIN_SHORT_KEY, MIN_SUBSTRING_KEY = 8, 12
@@ -34,6 +36,7 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 def with_nfkc(df: DataFrame, text: str = "text", out: str = "nfkc") -> DataFrame:
     """df plus the NFKC form of text. Only rows that can change pass through Python: the two kinds are split and united again."""
+    bounded(df.sparkSession)
     stable = F.coalesce(F.col(text).rlike(STABLE), F.lit(True))
     return df.where(stable).withColumn(out, F.col(text)).unionByName(df.where(~stable).withColumn(out, _nfkc(text)))
 

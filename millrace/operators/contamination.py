@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -49,12 +49,12 @@ def longest_runs(hits: DataFrame, keys: list[str], pos: str = "pos") -> DataFram
     return islands.groupBy(*keys).agg(F.max(F.struct("run", (-F.col("start")).alias("back"))).alias("x")).select(*keys, F.col("x.run").alias("run"), (-F.col("x.back")).alias("start"))
 
 
-def screened(hits: DataFrame, samples: int | None = SCREEN) -> DataFrame:
-    """(doc_id, screened): whether any sampled gram of either script is a hit; without samples any hit counts."""
+def sampled(samples: int | None = SCREEN) -> Column:
+    """Whether a hit is one of its text's sampled grams; without samples any is."""
     if samples is None:
-        return hits.select("doc_id", F.lit(True).alias("screened")).distinct()
+        return F.lit(True)
     step = F.greatest(F.lit(1), F.floor(F.col("n_grams") / samples))
-    return hits.groupBy("doc_id").agg(F.bool_or((F.pmod(F.col("pos"), step) == 0) & (F.floor(F.col("pos") / step) < samples)).alias("screened"))
+    return (F.pmod(F.col("pos"), step) == 0) & (F.floor(F.col("pos") / step) < samples)
 
 
 def spans(hits: DataFrame, samples: int | None = SCREEN) -> DataFrame:
@@ -65,19 +65,16 @@ def spans(hits: DataFrame, samples: int | None = SCREEN) -> DataFrame:
     unit = F.when(F.col("script") == "cjk", T.CHAR_GRAM).otherwise(T.WORD_GRAM)
     least = F.when(F.col("script") == "cjk", T.MIN_SPAN_CHARS).otherwise(T.MIN_SPAN_WORDS)
     w = Window.partitionBy("doc_id", "script").orderBy("pos")
-    islands = hits.withColumn("island", F.col("pos") - F.row_number().over(w))
-    grouped = islands.groupBy("doc_id", "script", "gram", "island").agg(F.count("*").alias("n"))  # of a gram: counted, not gathered
-    runs = grouped.groupBy("doc_id", "script", "island").agg(F.sum("n").alias("run")).groupBy("doc_id", "script").agg(F.max("run").alias("run"))
-    distinct = grouped.groupBy("doc_id", "script").agg(F.countDistinct("gram").alias("distinct"))
-    per = runs.join(distinct, ["doc_id", "script"])
-    per = per.withColumn("span", F.col("run") + unit - 1).where((F.col("distinct") >= T.MIN_DISTINCT) & (F.col("span") >= least))
-    if samples is not None:
-        per = per.join(screened(hits, samples).where("screened"), "doc_id", "left_semi")
+    starts = F.when(F.coalesce(F.col("pos") - F.lag("pos").over(w) > 1, F.lit(True)), F.col("pos"))
+    islands = hits.withColumn("__starts", starts).withColumn("__run", F.col("pos") - F.max("__starts").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1)
+    # hits are made from whole texts: they are read once
+    per = islands.groupBy("doc_id", "script").agg(F.max("__run").alias("run"), F.countDistinct("gram").alias("distinct"), F.bool_or(sampled(samples)).alias("sampled")).withColumn("span", F.col("run") + unit - 1)
+    long = (F.col("distinct") >= T.MIN_DISTINCT) & (F.col("span") >= least)
     best = per.groupBy("doc_id").agg(
-        F.max_by(F.struct("distinct", "span", "script"), F.struct("span", F.col("script") == "cjk")).alias("b"),
-        F.max(F.when(F.col("script") == "cjk", F.col("span"))).alias("span_cjk"), F.max(F.when(F.col("script") == "latin", F.col("span"))).alias("span_latin"),
+        F.max_by(F.when(long, F.struct("distinct", "span", "script")), F.when(long, F.struct("span", F.col("script") == "cjk"))).alias("b"),
+        F.max(F.when(long & (F.col("script") == "cjk"), F.col("span"))).alias("span_cjk"), F.max(F.when(long & (F.col("script") == "latin"), F.col("span"))).alias("span_latin"), F.bool_or("sampled").alias("sampled"),
     )
-    return best.select("doc_id", F.lit("ngram_span").alias("reason"), "b.distinct", "b.span", "b.script", "span_cjk", "span_latin")
+    return best.where("sampled and b is not null").select("doc_id", F.lit("ngram_span").alias("reason"), "b.distinct", "b.span", "b.script", "span_cjk", "span_latin")
 
 
 def exact_records(df: DataFrame, keys: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.functions.tables import spread
+from millrace.functions.tables import arrow_map, gathered, spread
 
 SCRIPTS = ("cjk", "latin")
 #: 64-bit words of a script's filter (8 MB), whatever the index's size; both scripts' filters are all that executors get at once.
 FILTER = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 LETTERS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
-SCHEMA = "doc_id long, script string, pos long, gram string, n_grams long"
+HITS = pa.schema([("doc_id", pa.int64()), ("script", pa.string()), ("pos", pa.int64()), ("gram", pa.string()), ("n_grams", pa.int64())])
+NEAR = pa.schema([("doc_id", pa.int64()), ("anchor", pa.string()), ("at", pa.int64()), ("around", pa.string())])
 
 
 def exploded(df: DataFrame, id_: str = "doc_id", text: str = "text", scripts: tuple[str, ...] = SCRIPTS) -> DataFrame:
@@ -84,7 +85,7 @@ def filter_of(index: DataFrame, size: int = FILTER, lengths: dict[str, int] = {"
             words, bits = _places(np.array(hashes, dtype=np.uint64), size)
             yield pa.RecordBatch.from_arrays([pa.array(scripts, pa.string()), pa.array(words.astype(np.int64)), pa.array(bits.view(np.int64))], ["script", "word", "bits"])
 
-    found = index.select("script", "gram").mapInArrow(rows, "script string, word long, bits long").groupBy("script", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = arrow_map(index.select("script", "gram"), rows, "script string, word long, bits long").groupBy("script", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = {s: np.zeros(size, dtype=np.uint64) for s in SCRIPTS}
     script = found.column("script").to_numpy(zero_copy_only=False)
     for s in SCRIPTS:
@@ -102,23 +103,21 @@ def candidates(df: DataFrame, filters: dict[str, np.ndarray], id_: str = "doc_id
         words, bits = _places(h, len(own))
         return np.flatnonzero(own[words] & bits == bits).tolist(), len(h)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            out: list[tuple] = []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                normal = t or ""
+            for d, t in zip(batch.column(0), batch.column(1), strict=True):
+                d, normal = d.as_py(), t.as_py() or ""
                 if "cjk" in shared.value:
                     chars = "".join(normal.split())
                     places, n = passed("cjk", char_ids(chars), T.CHAR_GRAM)
-                    out += [(d, "cjk", p, chars[p : p + T.CHAR_GRAM], n) for p in places]
+                    yield from ((d, "cjk", p, chars[p : p + T.CHAR_GRAM], n) for p in places)
                 if "latin" in shared.value:
                     words = normal.encode().translate(LETTERS).split()
                     places, n = passed("latin", word_ids(words), T.WORD_GRAM)
-                    out += [(d, "latin", p, b" ".join(words[p : p + T.WORD_GRAM]).decode(), n) for p in places]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], ["doc_id", "script", "pos", "gram", "n_grams"])
+                    yield from ((d, "latin", p, b" ".join(words[p : p + T.WORD_GRAM]).decode(), n) for p in places)
 
     normal = T.with_nfkc(spread(df.select(df[id_].cast("long").alias("doc_id"), df[text].alias("text"))))
-    return normal.select("doc_id", F.lower("nfkc")).mapInArrow(rows, SCHEMA)
+    return arrow_map(normal.select("doc_id", F.lower("nfkc")), lambda batches: gathered(found(batches), HITS), "doc_id long, script string, pos long, gram string, n_grams long")
 
 
 def around(docs: DataFrame, anchors: DataFrame, n: int, reach: int, size: int = FILTER) -> DataFrame:
@@ -131,22 +130,21 @@ def around(docs: DataFrame, anchors: DataFrame, n: int, reach: int, size: int =
     filters = filter_of(anchors.select(F.lit("cjk").alias("script"), F.col("anchor").alias("gram")), size, {"cjk": n})
     shared = docs.sparkSession.sparkContext.broadcast(filters["cjk"])  # of a fixed size
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         own = shared.value
         for batch in batches:
-            out: list[tuple] = []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                chars, words = "".join((t or "").split()), (t or "").encode().translate(LETTERS).split()
+            for d, t in zip(batch.column(0), batch.column(1), strict=True):
+                d, normal = d.as_py(), t.as_py() or ""
+                chars, words = "".join(normal.split()), normal.encode().translate(LETTERS).split()
                 if len(chars) < T.CHAR_GRAM and len(words) < T.WORD_GRAM:
                     continue
                 for text in (chars, b" ".join(words).decode()):
                     places, bits = _places(rolled(char_ids(text), n), size)
                     for p in np.flatnonzero(own[places] & bits == bits).tolist():
                         first = max(0, p - reach)
-                        out.append((d, text[p : p + n], p - first, text[first : p + reach]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string()))], ["doc_id", "anchor", "at", "around"])
+                        yield d, text[p : p + n], p - first, text[first : p + reach]
 
-    return docs.select(F.col("doc_id").cast("long"), "normal").mapInArrow(rows, "doc_id long, anchor string, at long, around string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "normal"), lambda batches: gathered(found(batches), NEAR), "doc_id long, anchor string, at long, around string")
 
 
 def hits(df: DataFrame, index: DataFrame, id_: str = "doc_id", text: str = "text", size: int = FILTER) -> DataFrame:

@@ -156,3 +156,26 @@ def test_many_short_records_equal_brute_force(spark):
             if len(own) >= 12 and (len(c) >= 20 or len(w) >= 13) and (own in c or own in " ".join(w)):
                 want.add((d, k))
     assert sorted(got) == sorted(want) and len(want) == 6
+
+
+def test_texts_are_handed_on_in_bounded_batches(spark):
+    from millrace.functions import tables
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    long = " ".join(f"w{k}" for k in range(1000))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(long).alias("text")).coalesce(1)
+    index = C.index_grams(C.records(spark.createDataFrame([(0, long)], "item_id long, text string"), "niilc"))
+    filters = grams.filter_of(index)
+    found = grams.candidates(docs.limit(100), filters)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    given = tables.arrow_map(T.with_nfkc(docs), sizes, "n long")
+    assert max(r.n for r in given.collect()) < 4000  # 20 MB: Spark's own bound is 10,000 rows
+    assert found.count() == 100 * (len(chars(long)) - 19 + 1000 - 12)
+    made = list(tables.gathered(iter([(k, "latin", k, "g", 1) for k in range(10)]), grams.HITS, 4))
+    assert [b.num_rows for b in made] == [4, 4, 2] and list(tables.gathered(iter([]), grams.HITS)) == []
