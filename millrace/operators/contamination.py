@@ -79,10 +79,7 @@ def spans(hits: DataFrame, samples: int | None = SCREEN) -> DataFrame:
 
 def exact_records(df: DataFrame, keys: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id) of documents that are, or have a line that is, one of the keys."""
-    whole = T.with_nfkc(df.select(id_, F.col(text).alias("text")))
-    parts = df.select(id_, F.explode(T.lines_of(F.col(text))).alias("text")).select(id_, T.stripped(F.col("text")).alias("text")).where("text != ''")
-    probe = whole.select(id_, T.key_of(F.col("text"), F.col("nfkc")).alias("key")).union(T.with_nfkc(parts).select(id_, T.key_of(F.col("text"), F.col("nfkc")).alias("key")))
-    return probe.where(F.char_length("key") >= T.MIN_SHORT_KEY).join(keys, "key", "left_semi").select(F.col(id_).alias("doc_id")).distinct()
+    return grams.keyed(df, keys, id_, text).join(keys, "key", "left_semi").select("doc_id").distinct()
 
 
 def check_documents(df: DataFrame, recs: DataFrame, samples: int | None = SCREEN, id_: str = "doc_id", text: str = "text") -> DataFrame:

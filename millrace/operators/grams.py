@@ -8,6 +8,8 @@ semi join. Nothing depends on the index's size but how many grams pass the filte
 from __future__ import annotations
 
 import functools
+import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -66,6 +68,10 @@ def word_ids(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words))
 
 
+def key_ids(keys: list[str]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.blake2b(k.encode(), digest_size=8).digest() for k in keys), dtype="<u8")
+
+
 def _places(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The word of each hash, and its two bits there."""
     one = np.uint64(1)
@@ -73,22 +79,22 @@ def _places(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def filter_of(index: DataFrame, size: int = FILTER, lengths: dict[str, int] = {"cjk": T.CHAR_GRAM, "latin": T.WORD_GRAM}) -> dict[str, np.ndarray]:  # noqa: B006
-    """Each script's filter, for grams of so many characters or words. Tasks hash them; at most `size` words of each script reach
-    the driver."""
+    """Each script's filter, for grams of so many characters or words (0: whole keys). Tasks hash them; at most `size` words of each
+    script reach the driver."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scripts, hashes = batch.column("script").to_pylist(), []
             for script, gram in zip(scripts, batch.column("gram").to_pylist(), strict=True):
                 ids = char_ids(gram) if script == "cjk" else word_ids(gram.encode().split())
-                hashes.append(int(rolled(ids, lengths[script])[0]))
+                hashes.append(int(rolled(ids, n)[0] if (n := lengths[script]) else key_ids([gram])[0]))
             words, bits = _places(np.array(hashes, dtype=np.uint64), size)
             yield pa.RecordBatch.from_arrays([pa.array(scripts, pa.string()), pa.array(words.astype(np.int64)), pa.array(bits.view(np.int64))], ["script", "word", "bits"])
 
     found = arrow_map(index.select("script", "gram"), rows, "script string, word long, bits long").groupBy("script", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = {s: np.zeros(size, dtype=np.uint64) for s in SCRIPTS}
+    out = {s: np.zeros(size, dtype=np.uint64) for s in lengths}
     script = found.column("script").to_numpy(zero_copy_only=False)
-    for s in SCRIPTS:
+    for s in lengths:
         own = script == s
         out[s][found.column("word").to_numpy()[own]] = found.column("bits").to_numpy()[own].view(np.uint64)
     return out
@@ -147,6 +153,35 @@ def around(docs: DataFrame, anchors: DataFrame, n: int, reach: int, size: int =
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "normal"), lambda batches: gathered(found(batches), NEAR), "doc_id long, anchor string, at long, around string")
 
 
+def keyed(df: DataFrame, keys: DataFrame, id_: str = "doc_id", text: str = "text", size: int = FILTER) -> DataFrame:
+    """(doc_id, key): documents and their lines, as functions.text.key_of gives their keys, where these may be one of the keys."""
+    shared = df.sparkSession.sparkContext.broadcast(filter_of(keys.select(F.lit("key").alias("script"), F.col("key").alias("gram")), size, {"key": 0})["key"])  # of a fixed size
+    other = re.compile(f"[^{T.CJK[1:-1]}]+")
+
+    def key_of(raw: str, normal: str) -> str:
+        if not raw.isascii() and len(other.sub("", raw)) / len(raw) >= T.CJK_SHARE:
+            return "".join(normal.split())
+        return b" ".join(normal.encode().translate(LETTERS).split()).decode()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            at, found = [], []
+            for i, (raw, normal) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                raw, normal = raw.as_py() or "", normal.as_py() or ""
+                # normal forms and lower case leave line ends as they are
+                parts = {key_of(raw, normal)}.union(key_of(r, n) for r, n in zip(map(str.strip, raw.split("\n")), normal.split("\n"), strict=True))
+                some = [k for k in parts if len(k) >= T.MIN_SHORT_KEY]
+                places, bits = _places(key_ids(some), size)
+                passed = np.flatnonzero(own[places] & bits == bits).tolist()
+                at += [i] * len(passed)
+                found += [some[p] for p in passed]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], ["doc_id", "key"])
+
+    both = T.with_nfkc(spread(df.select(df[id_].alias("doc_id"), df[text].alias("text")))).select("doc_id", "text", F.lower("nfkc").alias("normal"))
+    return arrow_map(both, rows, f"doc_id {both.schema['doc_id'].dataType.simpleString()}, key string")
+
+
 def hits(df: DataFrame, index: DataFrame, id_: str = "doc_id", text: str = "text", size: int = FILTER) -> DataFrame:
     """A row for each occurrence in df of a gram of the index (script, gram): doc_id, script, pos, gram, n_grams of its script."""
     own = index.select("script", "gram").distinct()

@@ -179,3 +179,18 @@ def test_texts_are_handed_on_in_bounded_batches(spark):
     assert found.count() == 100 * (len(chars(long)) - 19 + 1000 - 12)
     made = list(tables.gathered(iter([(k, "latin", k, "g", 1) for k in range(10)]), grams.HITS, 4))
     assert [b.num_rows for b in made] == [4, 4, 2] and list(tables.gathered(iter([]), grams.HITS)) == []
+
+
+def test_lines_and_texts_are_compared_in_one_pass(spark):
+    odd = ["\u3000 Ｆｕｌｌ width line, of words \x85", "ΑΒΣ ΟΔΟΣ aaaa bbbb cccc\u2028", "かな混じりの一行です。ﾊﾝｶｸ", "e\u0301 \u0301x İstanbul line here", "short", "", "12345678", "a-b-c-d-e"]
+    docs = [(k, "\n".join(odd[:k]) or None) for k in range(len(odd) + 1)] + [(20, " " + odd[0] + "\n"), (21, odd[2] + " words of it"), (22, "x\n" + odd[1].lower()), (23, "\r\n".join(odd[::-1]))]
+
+    def key(t):
+        share = sum("぀" <= c <= "ヿ" or "一" <= c <= "鿿" for c in t) / len(t) if t else 0
+        return chars(t) if share >= 0.15 else " ".join(words(t))
+
+    keys = {k for k in map(key, odd[::2] + ["\n".join(odd[:6])]) if len(k) >= 8}
+    want = {d for d, t in docs if t and any(key(x) in keys for x in [t, *map(str.strip, t.split("\n"))])}
+    found = C.exact_records(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([(k,) for k in sorted(keys)], "key string"))
+    assert {r.doc_id for r in found.collect()} == want and len(want) > 3 and found.schema["doc_id"].dataType.simpleString() == "int"
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1  # texts and lines were normalised apart
