@@ -27,9 +27,11 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from millrace.functions.tables import bounded
+
 SCHEMA = "source_id string, shard string, doc_seq long, tokens array<int>"
 FORMAT, MANIFEST, COMMITS = "document-indexed-uint16-shards", "manifest.json", "_commits"
 # End of document, size of the vocabulary.
@@ -235,8 +237,7 @@ class _Shard:
         self.offsets, self.digest = [0], hashlib.sha256()
         self.file = fs.open_output_stream(f"{self.stem}.bin.tmp")
 
-    def add(self, tokens: list[int]) -> None:
-        ids = np.array(tokens, dtype=np.int64)
+    def add(self, ids: np.ndarray) -> None:
         if ids.size and (ids.min() < 0 or ids.max() > 65535):
             raise ValueError("a token id doesn't fit 16 bits")
         raw = ids.astype("<u2").tobytes()
@@ -252,7 +253,7 @@ class _Shard:
         return {"path": f"{self.name}.bin", "index": f"{self.name}.idx", "tokens": self.offsets[-1], "documents": len(self.offsets) - 1, "sha256": self.digest.hexdigest(), "index_sha256": hashlib.sha256(index).hexdigest(), "stem": self.stem}
 
 
-class ShardWriter(DataSourceWriter):
+class ShardWriter(DataSourceArrowWriter):
     """Options: split, and of its sources weight (1) and minor (false); tokenizer and tokenizer_sha256, which a folder has one of."""
 
     def __init__(self, path: str, overwrite: bool = False, split: str = "train", options: dict[str, str] | None = None):
@@ -263,17 +264,21 @@ class ShardWriter(DataSourceWriter):
             raise ValueError("a source's weight must be finite and positive")
         self.tokenizer = {"path": said.get("tokenizer", ""), "sha256": said["tokenizer_sha256"], "vocab_size": VOCABULARY} if said.get("tokenizer_sha256") else None
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, folder = _open(self.path)
         fs.create_dir(folder, recursive=True)
         context, open_ = TaskContext.get(), {}
-        for row in iterator:
-            source = row["source_id"]
-            if source not in open_:
-                if not re.fullmatch(r"[A-Za-z0-9_.-]+", source or "") or ".." in source:
-                    raise ValueError(f"a source id must be made of letters, digits, '_', '.' and '-': {source!r}")
-                open_[source] = _Shard(fs, folder, f"{source}-{self.split}-{self.job}-{context.partitionId():05d}", context.taskAttemptId())
-            open_[source].add(row["tokens"] or [])
+        for batch in iterator:
+            tokens = batch.column("tokens")
+            if tokens.values.null_count:
+                raise ValueError("a token id is null")
+            ids, offsets = tokens.values.to_numpy(zero_copy_only=False), tokens.offsets.to_numpy()  # a null list is empty
+            for i, source in enumerate(batch.column("source_id").to_pylist()):
+                if source not in open_:
+                    if not re.fullmatch(r"[A-Za-z0-9_.-]+", source or "") or ".." in source:
+                        raise ValueError(f"a source id must be made of letters, digits, '_', '.' and '-': {source!r}")
+                    open_[source] = _Shard(fs, folder, f"{source}-{self.split}-{self.job}-{context.partitionId():05d}", context.taskAttemptId())
+                open_[source].add(ids[offsets[i] : offsets[i + 1]])
         return Written([{"source_id": s, "split": self.split} | x.entry() for s, x in open_.items()])
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -323,5 +328,6 @@ def write_shards(df: DataFrame, path: str, split: str = "train", mode: str = "ap
     if df.isEmpty():
         raise ValueError("there are no documents to write")
     df.sparkSession.dataSource.register(ShardSource)
+    bounded(df.sparkSession)
     ordered = df.select("source_id", "doc_seq", "tokens").repartitionByRange("source_id", "doc_seq").sortWithinPartitions("source_id", "doc_seq")
     ordered.write.format("token_shards").options(split=split, **options).mode(mode).save(path)

@@ -197,3 +197,17 @@ def test_errors_name_the_line_in_a_later_split(spark, tmp_path):
             text_files.read_documents(spark, str(tmp_path)).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_shards_are_written_from_bounded_arrow_batches(spark, tmp_path):
+    from pyspark.sql.datasource import DataSourceArrowWriter
+
+    from millrace.functions.tables import BATCH_BYTES
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = [("a", 0, [1, 2, 65535]), ("a", 1, None), ("b", 0, []), ("a", 2, [7])]
+    df = spark.createDataFrame(rows, "source_id string, doc_seq long, tokens array<int>")
+    shards.write_shards(df, str(tmp_path / "w"))
+    assert issubclass(shards.ShardWriter, DataSourceArrowWriter)  # rows as Python lists of integers are many times larger
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(BATCH_BYTES)
+    read = spark.read.format("token_shards").load(str(tmp_path / "w"))
+    assert sorted((r.source_id, r.tokens) for r in read.collect()) == [("a", []), ("a", [1, 2, 65535]), ("a", [7]), ("b", [])]
