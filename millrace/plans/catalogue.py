@@ -121,10 +121,9 @@ def contamination_screen(spark, sf_dir):
 
 @query
 def contamination_word_span(spark, sf_dir):
-    """The join form, words only."""
-    docs = C.grams.exploded(table(spark, sf_dir, "documents"), scripts=("latin",))
+    """Words only."""
     index = C.index_grams(records(spark, sf_dir)).where("script = 'latin'")
-    return C.spans(docs.join(index, ["script", "gram"], "left_semi"), None).select("doc_id", "distinct", "span")
+    return C.spans(C.grams.hits(table(spark, sf_dir, "documents"), index), None).select("doc_id", "distinct", "span")
 
 
 @query

@@ -194,3 +194,10 @@ def test_lines_and_texts_are_compared_in_one_pass(spark):
     found = C.exact_records(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([(k,) for k in sorted(keys)], "key string"))
     assert {r.doc_id for r in found.collect()} == want and len(want) > 3 and found.schema["doc_id"].dataType.simpleString() == "int"
     assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1  # texts and lines were normalised apart
+
+
+def test_the_word_span_query_makes_no_rows_of_all_grams(spark):
+    from millrace.plans import catalogue
+
+    plan = catalogue.QUERIES["contamination_word_span"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # only grams that pass the filter meet the index
