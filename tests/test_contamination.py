@@ -201,3 +201,10 @@ def test_the_word_span_query_makes_no_rows_of_all_grams(spark):
 
     plan = catalogue.QUERIES["contamination_word_span"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1  # only grams that pass the filter meet the index
+
+
+def test_the_screen_reads_texts_once(spark):
+    from millrace.plans import catalogue
+
+    plan = catalogue.QUERIES["contamination_screen"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # runs, distinct grams and samples were made from the texts each for itself
