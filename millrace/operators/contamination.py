@@ -43,10 +43,11 @@ def index_stats(recs: DataFrame) -> DataFrame:
 
 
 def longest_runs(hits: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
-    """(keys, run, start) of the longest run of consecutive positions, the first of equals. Positions must be distinct."""
+    """(keys, matched, run, start): all positions, and the longest run of consecutive ones, the first of equals. Positions must be distinct."""
     w = Window.partitionBy(*keys).orderBy(pos)
     islands = hits.withColumn("__island", F.col(pos) - F.row_number().over(w)).groupBy(*keys, "__island").agg(F.count("*").alias("run"), F.min(pos).alias("start"))
-    return islands.groupBy(*keys).agg(F.max(F.struct("run", (-F.col("start")).alias("back"))).alias("x")).select(*keys, F.col("x.run").alias("run"), (-F.col("x.back")).alias("start"))
+    best = islands.groupBy(*keys).agg(F.sum("run").alias("matched"), F.max(F.struct("run", (-F.col("start")).alias("back"))).alias("x"))
+    return best.select(*keys, "matched", F.col("x.run").alias("run"), (-F.col("x.back")).alias("start"))
 
 
 def sampled(samples: int | None = SCREEN) -> Column:

@@ -20,6 +20,8 @@ RULES = {
 #: Benchmarks that are replaced by their parts, and the parts' columns.
 PARTS = {"gsm8k": ("question", "answer"), "humaneval": ("prompt", "solution"), "mbpp": ("prompt", "solution")}
 SHOWN = 300
+#: Columns of a pair that follow from the grams it shares.
+RUNS = ["doc_id", "record_id", "benchmark", "record_chars", "record_ngrams", "matched", "coverage", "contiguous_ngrams", "contiguous_units", "contiguous_fraction", "matched_text"]
 #: Parts of a record's anchor in the join, so that a passage that many documents share isn't one task's.
 SALTS = 16
 
@@ -50,6 +52,30 @@ def record_facts(recs: DataFrame) -> DataFrame:
     return recs.select("record_id", "benchmark", "cjk", "key", F.char_length("key").cast("long").alias("record_chars"), F.size(own_grams()).cast("long").alias("record_ngrams"), T.chars_of(F.col("nfkc")).alias("chars"), T.words_of(F.col("nfkc")).alias("words"))
 
 
+def runs(df: DataFrame, recs: DataFrame, table: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """The pairs of analyse without substring and contaminated, for which alone texts are read a second time."""
+    facts = record_facts(recs).join(F.broadcast(table), "benchmark")  # table: a row per benchmark
+    rows = df.select(F.col(id_).alias("doc_id"))
+    found, short = _pairs(df, recs, facts, id_, text).join(rows, "doc_id").select(*RUNS), short_keys(facts)
+    if short.isEmpty():
+        return found
+    docs = T.with_nfkc(df.select(F.col(id_).alias("doc_id"), F.col(text).alias("text")))
+    return found.unionByName(short_records(docs, short).select(*RUNS))
+
+
+def _pairs(df: DataFrame, recs: DataFrame, facts: DataFrame, id_: str, text: str) -> DataFrame:
+    """Pairs that share a gram, with the record's facts, what is matched of it, and its longest run."""
+    rg = record_grams(recs)
+    have = grams.hits(df, rg.select("script", "gram"), id_, text).select("doc_id", "gram").distinct()
+    matched = have.join(rg.select("record_id", "pos", "gram"), "gram").select("doc_id", "record_id", "pos")
+    pairs = contamination.longest_runs(matched, ["doc_id", "record_id"]).join(facts, "record_id")
+    units = F.col("run") + F.when(F.col("cjk"), T.CHAR_GRAM).otherwise(T.WORD_GRAM) - 1
+    share, part = F.col("matched") / F.col("record_ngrams"), F.col("run") / F.col("record_ngrams")
+    start = (F.col("start") + 1).cast("int")
+    shown = F.when(F.col("cjk"), F.substring(F.col("chars"), start, units.cast("int"))).otherwise(F.array_join(F.slice("words", start, units.cast("int")), " "))
+    return pairs.withColumns({"contiguous_ngrams": F.col("run"), "contiguous_units": units, "coverage": share, "contiguous_fraction": part, "matched_text": F.left(shown, F.lit(SHOWN))})
+
+
 def analyse(df: DataFrame, recs: DataFrame, table: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """Every pair of a document and a record that shares a gram and whose benchmark has a rule, and whether the rule decides.
 
@@ -58,28 +84,15 @@ def analyse(df: DataFrame, recs: DataFrame, table: DataFrame, id_: str = "doc_id
     document's grams of both scripts; substrings count only between pairs that share a gram. Records without grams match
     documents that have some, as substrings alone, with matched_text null.
     """
-    rg = record_grams(recs)
     facts = record_facts(recs).join(F.broadcast(table), "benchmark")  # table: a row per benchmark
-    have = grams.hits(df, rg.select("script", "gram"), id_, text).select("doc_id", "gram").distinct()
-    matched = have.join(rg.select("record_id", "pos", "gram"), "gram").select("doc_id", "record_id", "pos")
-    runs = contamination.longest_runs(matched, ["doc_id", "record_id"])
-    pairs = matched.groupBy("doc_id", "record_id").agg(F.count("*").alias("matched")).join(runs, ["doc_id", "record_id"]).join(facts, "record_id")
+    pairs = _pairs(df, recs, facts, id_, text)
     docs = T.with_nfkc(df.select(F.col(id_).alias("doc_id"), F.col(text).alias("text")))
     near = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", T.chars_of(F.col("nfkc")).alias("doc_chars"), F.array_join(T.words_of(F.col("nfkc")), " ").alias("doc_words"))
     inside = F.col("doc_chars").contains(F.col("key")) | F.col("doc_words").contains(F.col("key"))
-    units = F.col("run") + F.when(F.col("cjk"), T.CHAR_GRAM).otherwise(T.WORD_GRAM) - 1
-    share, part = F.col("matched") / F.col("record_ngrams"), F.col("run") / F.col("record_ngrams")
     sub = F.col("allow_substring") & (F.col("record_chars") >= T.MIN_SUBSTRING_KEY) & inside
     decided = F.col("substring") | ((F.col("coverage") >= F.col("min_coverage")) & ((F.col("min_contiguous") == 0) | (F.col("contiguous_fraction") >= F.col("min_contiguous")))) | ((F.col("min_units") > 0) & (F.col("contiguous_units") >= F.col("min_units")))
-    start = (F.col("start") + 1).cast("int")
-    shown = F.when(F.col("cjk"), F.substring(F.col("chars"), start, units.cast("int"))).otherwise(F.array_join(F.slice("words", start, units.cast("int")), " "))
-    full = (
-        pairs.join(near, "doc_id")
-        .withColumns({"contiguous_units": units, "coverage": share, "contiguous_fraction": part, "substring": sub, "matched_text": F.left(shown, F.lit(SHOWN))})
-        .withColumn("contaminated", decided)
-    )
-    columns = ["doc_id", "record_id", "benchmark", "record_chars", "record_ngrams", "matched", "coverage", F.col("run").alias("contiguous_ngrams"), "contiguous_units", "contiguous_fraction", "substring", "matched_text", "contaminated"]
-    found, short = full.select(*columns), short_keys(facts)
+    full = pairs.join(near, "doc_id").withColumn("substring", sub).withColumn("contaminated", decided)
+    found, short = full.select(*RUNS[:-1], "substring", "matched_text", "contaminated"), short_keys(facts)
     return found if short.isEmpty() else found.unionByName(short_records(docs, short))
 
 

@@ -208,3 +208,18 @@ def test_the_screen_reads_texts_once(spark):
 
     plan = catalogue.QUERIES["contamination_screen"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1  # runs, distinct grams and samples were made from the texts each for itself
+
+
+def test_longest_runs_read_texts_once(spark):
+    from millrace.plans import catalogue
+
+    w = EN.split()
+    recs = [(0, "jnli", EN), (1, "nosuch", EN), (2, "gsm8k_answer", " ".join(w[:14] + ["x"] + w[2:])), (4, "jnli", "short but long enough"), (5, "jsquad_context", JP)]
+    r = C.records(spark.createDataFrame(recs, "item_id long, benchmark string, text string"))
+    texts = [(0, EN), (1, " ".join(w[:15] + ["y"] + w[1:])), (3, "so short but long enough and then ten more words to have any gram"), (4, JP + JP), (4, "a repeated id"), (None, EN), (6, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got, want = (sorted(map(repr, f(docs, r, matching.rules(spark)).select(*matching.RUNS).collect())) for f in (matching.runs, matching.analyse))
+    assert got == want and len(want) == 7
+    plan = catalogue.QUERIES["record_longest_run"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    reads = [line for line in plan.splitlines() if "Relation [doc_id" in line]
+    assert plan.count("MapInArrow") == 1 and len(reads) == 3  # both kinds of text, and ids alone; texts were joined as a whole besides
