@@ -24,6 +24,8 @@ from millrace.functions.tables import arrow_map, gathered, spread
 SCRIPTS = ("cjk", "latin")
 #: 64-bit words of a script's filter (8 MB), whatever the index's size; both scripts' filters are all that executors get at once.
 FILTER = 1 << 20
+#: Characters or words whose hashes are rolled at once: a text of any length takes a worker no more.
+BLOCK = 1 << 16
 BASE = 0x9E3779B97F4A7C15
 LETTERS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 HITS = pa.schema([("doc_id", pa.int64()), ("script", pa.string()), ("pos", pa.int64()), ("gram", pa.string()), ("n_grams", pa.int64())])
@@ -78,6 +80,14 @@ def _places(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(40)) % np.uint64(size), (one << (h & np.uint64(63))) | (one << ((h >> np.uint64(6)) & np.uint64(63)))
 
 
+def passing(items: str | list[bytes], n: int, own: np.ndarray) -> Iterator[int]:
+    """Places of the runs of n characters or words that pass a filter, from one block after the other."""
+    ids_of = char_ids if isinstance(items, str) else word_ids
+    for first in range(0, len(items) - n + 1, BLOCK - n + 1):
+        places, bits = _places(rolled(ids_of(items[first : first + BLOCK]), n), len(own))
+        yield from (np.flatnonzero(own[places] & bits == bits) + first).tolist()
+
+
 def filter_of(index: DataFrame, size: int = FILTER, lengths: dict[str, int] = {"cjk": T.CHAR_GRAM, "latin": T.WORD_GRAM}) -> dict[str, np.ndarray]:  # noqa: B006
     """Each script's filter, for grams of so many characters or words (0: whole keys). Tasks hash them; at most `size` words of each
     script reach the driver."""
@@ -104,23 +114,18 @@ def candidates(df: DataFrame, filters: dict[str, np.ndarray], id_: str = "doc_id
     """Every gram of the documents that passes its script's filter: doc_id, script, pos, gram, n_grams of its script."""
     shared = df.sparkSession.sparkContext.broadcast({s: f for s, f in filters.items() if f.any()})  # two filters of a fixed size
 
-    def passed(script: str, ids: np.ndarray, n: int) -> tuple[list[int], int]:
-        h, own = rolled(ids, n), shared.value[script]
-        words, bits = _places(h, len(own))
-        return np.flatnonzero(own[words] & bits == bits).tolist(), len(h)
-
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for d, t in zip(batch.column(0), batch.column(1), strict=True):
                 d, normal = d.as_py(), t.as_py() or ""
                 if "cjk" in shared.value:
                     chars = "".join(normal.split())
-                    places, n = passed("cjk", char_ids(chars), T.CHAR_GRAM)
-                    yield from ((d, "cjk", p, chars[p : p + T.CHAR_GRAM], n) for p in places)
+                    n = len(chars) - T.CHAR_GRAM + 1
+                    yield from ((d, "cjk", p, chars[p : p + T.CHAR_GRAM], n) for p in passing(chars, T.CHAR_GRAM, shared.value["cjk"]))
                 if "latin" in shared.value:
                     words = normal.encode().translate(LETTERS).split()
-                    places, n = passed("latin", word_ids(words), T.WORD_GRAM)
-                    yield from ((d, "latin", p, b" ".join(words[p : p + T.WORD_GRAM]).decode(), n) for p in places)
+                    n = len(words) - T.WORD_GRAM + 1
+                    yield from ((d, "latin", p, b" ".join(words[p : p + T.WORD_GRAM]).decode(), n) for p in passing(words, T.WORD_GRAM, shared.value["latin"]))
 
     normal = T.with_nfkc(spread(df.select(df[id_].cast("long").alias("doc_id"), df[text].alias("text"))))
     return arrow_map(normal.select("doc_id", F.lower("nfkc")), lambda batches: gathered(found(batches), HITS), "doc_id long, script string, pos long, gram string, n_grams long")
@@ -145,8 +150,7 @@ def around(docs: DataFrame, anchors: DataFrame, n: int, reach: int, size: int =
                 if len(chars) < T.CHAR_GRAM and len(words) < T.WORD_GRAM:
                     continue
                 for text in (chars, b" ".join(words).decode()):
-                    places, bits = _places(rolled(char_ids(text), n), size)
-                    for p in np.flatnonzero(own[places] & bits == bits).tolist():
+                    for p in passing(text, n, own):
                         first = max(0, p - reach)
                         yield d, text[p : p + n], p - first, text[first : p + reach]
 

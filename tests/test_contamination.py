@@ -223,3 +223,39 @@ def test_longest_runs_read_texts_once(spark):
     plan = catalogue.QUERIES["record_longest_run"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     reads = [line for line in plan.splitlines() if "Relation [doc_id" in line]
     assert plan.count("MapInArrow") == 1 and len(reads) == 3  # both kinds of text, and ids alone; texts were joined as a whole besides
+
+
+def test_memory_of_a_worker_is_a_few_times_its_longest_text(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    letters = "abcdefghij klmno pqrstu vwxyz "
+    long = letters * 60_000 + EN + " " + letters * 60_000
+    filters = grams.filter_of(C.index_grams(C.records(spark.createDataFrame([(0, EN)], "item_id long, text string"), "niilc")))
+    monkeypatch.setattr(grams, "arrow_map", lambda df, rows, schema: rows)
+    rows = grams.candidates(spark.createDataFrame([(0, "")], "doc_id long, text string"), filters)
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([long])], ["doc_id", "text"])
+    tracemalloc.start()
+    found = [x for b in rows(iter([batch])) for x in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = both(EN)
+    assert {g for s in want for g in want[s]} <= {x["gram"] for x in found} and len(found) < 0.01 * len(long)
+    assert {x["n_grams"] for x in found} == {len(chars(long)) - 19, len(words(long)) - 12}
+    assert peak < 30 * len(long)  # all hashes of a text at once took over 60 bytes a character
+
+
+@pytest.mark.parametrize("block", [20, 21, 64])
+def test_blocks_lose_no_gram(monkeypatch, block):
+    import numpy as np
+
+    monkeypatch.setattr(grams, "BLOCK", block)
+    full = np.full(4, -1, dtype=np.int64).view(np.uint64)
+    own = np.zeros(1 << 10, dtype=np.uint64)
+    places, bits = grams._places(grams.rolled(grams.char_ids(JP[3:23]), 20), len(own))
+    own[places] = bits
+    for k in (0, 19, 20, 21, 40, 41, 200):
+        for items, n in ((("ab" * k)[:k], 20), ([b"w%d" % i for i in range(k)], 13)):
+            assert list(grams.passing(items, n, full)) == list(range(max(0, k - n + 1)))
+        assert list(grams.passing("x" * k + JP, 20, own)) == [k + 3]
