@@ -259,3 +259,11 @@ def test_blocks_lose_no_gram(monkeypatch, block):
         for items, n in ((("ab" * k)[:k], 20), ([b"w%d" % i for i in range(k)], 13)):
             assert list(grams.passing(items, n, full)) == list(range(max(0, k - n + 1)))
         assert list(grams.passing("x" * k + JP, 20, own)) == [k + 3]
+
+
+def test_ascii_texts_need_no_expression(spark):
+    texts = ["plain", "", None, "é", "ﬁ", "x\ny\x00", "é", "Ａ"]
+    df = T.with_nfkc(spark.createDataFrame(list(enumerate(texts)), "i int, text string"))
+    assert {r.i: r.nfkc for r in df.collect()} == {i: t and unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(octet_length(text") == 2 and plan.index("octet_length") < plan.index("RLIKE")  # lengths are compared first
